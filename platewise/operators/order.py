@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.expr import hash_text, nsjoin
+from platewise.session import cut_lineage
 
 SKETCH_ACCURACY = 10_000
 BRACKET = 5.0 / SKETCH_ACCURACY
@@ -38,7 +39,8 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     sorted whole; of a larger one only the rows between the sketched quantiles
     at p -/+ BRACKET are, everything below being counted map-side. The sketch's
     rank error is a fifth of the bracket, so the wanted ranks lie inside; the
-    job fails rather than return another value should they ever not.
+    job fails rather than return another value should they ever not. The result,
+    one row per group, is written once so that its users do not repeat the passes.
     """
     gk = list(keys) or ["_all"]
     src = df if keys else df.withColumn("_all", F.lit(0))
@@ -87,7 +89,7 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     aggs = [F.max(F.when(F.col("_name") == n, F.col("_x"))).alias(n) for n in probs]
     if count_as:
         aggs.append(F.max("_n").alias(count_as))
-    out = picked.groupBy(*gk).agg(*aggs)
+    out = cut_lineage(picked.groupBy(*gk).agg(*aggs))
     return out if keys else out.drop("_all")
 
 
@@ -103,7 +105,7 @@ def group_median_mad(df: DataFrame, keys: list[str], value: str, median: str = "
     spread = group_median(dev, keys, "_dev", mad)
     if scale != 1.0:
         spread = spread.withColumn(mad, F.col(mad) * F.lit(scale))
-    return nsjoin(med, spread, keys)
+    return nsjoin(med, spread, keys)  # two written tables of one row per group
 
 
 def order_bucket(df: DataFrame, value: str, name: str = "_b", coarse: int = COARSE) -> DataFrame:

@@ -19,6 +19,7 @@ def local_session(cores: int | str = 8, app: str = "platewise") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
@@ -48,6 +49,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, for tables that feed an iteration or several branches."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write a table to the shared folder once and read it back.
+
+    For summaries that feed several branches or an iteration. Unlike a cached
+    table it outlives lost executors, and its file size tells Spark exactly
+    whether it may be broadcast.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
