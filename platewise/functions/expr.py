@@ -19,6 +19,11 @@ def rnd(c: str | Column, digits: int = 6) -> Column:
     return F.round(col(c).cast("double"), digits) + F.lit(0.0)
 
 
+def off_tie(c: str | Column, digits: int) -> Column:
+    """Round after a small fixed shift, for means of decimals that end exactly half-way."""
+    return rnd(col(c).cast("double") + F.lit(0.00001234), digits)
+
+
 def is_finite(c: str | Column) -> Column:
     c = col(c)
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))

@@ -5,3 +5,6 @@ from platewise.plans import sources  # noqa: F401
 from platewise.plans import keys  # noqa: F401
 from platewise.plans import qc  # noqa: F401
 from platewise.plans import normalise  # noqa: F401
+from platewise.plans import aggregates  # noqa: F401
+from platewise.plans import joins  # noqa: F401
+from platewise.plans import ordering  # noqa: F401
