@@ -29,7 +29,7 @@ COARSE = 32
 
 
 def _mid(name: str) -> str:
-    return f"_{name}"
+    return f"_run_{name}"
 
 
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], count_as: str | None = None) -> DataFrame:

@@ -8,3 +8,4 @@ from platewise.plans import normalise  # noqa: F401
 from platewise.plans import aggregates  # noqa: F401
 from platewise.plans import joins  # noqa: F401
 from platewise.plans import ordering  # noqa: F401
+from platewise.plans import stats  # noqa: F401

@@ -91,7 +91,7 @@ def join_positional(t):
 
 
 @query("complete_grid", f"""WITH {OBJ}, c AS (SELECT well % 24 AS col, conc, count(*) AS n FROM obj GROUP BY ALL)
-SELECT col, conc, coalesce(n, 0) AS n FROM (SELECT DISTINCT col FROM c), (SELECT DISTINCT conc FROM c) LEFT JOIN c USING (col, conc)""")
+SELECT col, conc, coalesce(n, 0) AS n FROM (SELECT * FROM (SELECT DISTINCT col FROM c) CROSS JOIN (SELECT DISTINCT conc FROM c)) LEFT JOIN c USING (col, conc)""")
 def complete_grid(t):
     c = t.wells.groupBy((F.col("well") % 24).alias("col"), "conc").agg(F.count(F.lit(1)).alias("n"))
     return J.complete_grid(c, ["col"], ["conc"], "n")
