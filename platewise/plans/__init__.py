@@ -9,3 +9,6 @@ from platewise.plans import aggregates  # noqa: F401
 from platewise.plans import joins  # noqa: F401
 from platewise.plans import ordering  # noqa: F401
 from platewise.plans import stats  # noqa: F401
+from platewise.plans import models  # noqa: F401
+from platewise.plans import variants  # noqa: F401
+from platewise.plans import completeness  # noqa: F401
