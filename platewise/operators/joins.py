@@ -80,23 +80,23 @@ def join_interval_count(intervals: DataFrame, reads: DataFrame, ids: list[str],
     before its start. Read ends are counted per bin and per position, so a deep
     region is reduced map-side and no (interval, read) pair is formed.
     """
-    ends = reads.select(chrom, F.explode(F.array(
-        F.struct(F.lit("s").alias("kind"), F.col(read_start).cast("long").alias("at")),
-        F.struct(F.lit("e").alias("kind"), F.col(read_stop).cast("long").alias("at")))).alias("x")).select(chrom, "x.kind", "x.at")
-    at = ends.groupBy(chrom, "kind", "at").agg(F.count(F.lit(1)).alias("c")).withColumn("_bin", F.floor(F.col("at") / width))
-    asks = intervals.select(*ids, chrom, F.explode(F.array(
-        F.struct(F.lit("s").alias("kind"), (F.col(stop).cast("long")).alias("at")),          # starts < stop
-        F.struct(F.lit("e").alias("kind"), (F.col(start).cast("long") + 1).alias("at")))).alias("x")  # ends <= start
-    ).select(*ids, chrom, "x.kind", F.col("x.at").alias("q")).withColumn("_bin", F.floor(F.col("q") / width))
+    both = lambda x, y: F.explode(F.array(
+        F.struct(F.lit("s").alias("_kind"), x.cast("long").alias("_at")), F.struct(F.lit("e").alias("_kind"), y.cast("long").alias("_at"))))
+    bin_of = F.floor(F.col("_at") / width).alias("_bin")
+    ends = reads.select(chrom, both(F.col(read_start), F.col(read_stop)).alias("_x")).select(chrom, "_x.*")
+    at = ends.groupBy(chrom, "_kind", "_at").agg(F.count(F.lit(1)).alias("_c")).select("*", bin_of)
+    # reads starting before the stop, reads ending before start + 1
+    asks = intervals.select(*ids, chrom, both(F.col(stop), F.col(start) + 1).alias("_x")).select(*ids, chrom, "_x.*").select("*", bin_of)
     # whole bins before, as a running sum over (chrom, kind)'s bins, blocks of bins first
-    bins = at.groupBy(chrom, "kind", "_bin").agg(F.sum("c").alias("c"))
-    marks = asks.select(chrom, "kind", "_bin").distinct().withColumn("c", F.lit(0).cast("long"))
-    both = bins.unionByName(marks).groupBy(chrom, "kind", "_bin").agg(F.sum("c").alias("c")).withColumn("_block", F.floor(F.col("_bin") / 10_000))
-    before = running(both, [chrom, "kind"], "_block", [F.col("_bin").asc()], {"c": F.col("c")}).select(chrom, "kind", "_bin", "before_c")
-    asked = nsjoin(asks, before, [chrom, "kind", "_bin"])
-    within = nsjoin(asked.select(*ids, chrom, "kind", "_bin", "q"), at, [chrom, "kind", "_bin"]).where("at < q").groupBy(*ids, "kind").agg(F.sum("c").alias("_w"))
-    upto = nsjoin(asked, within, [*ids, "kind"], "left").withColumn("_u", F.col("before_c") + F.coalesce("_w", F.lit(0)))
-    counts = upto.groupBy(*ids).agg(F.sum(F.when(F.col("kind") == "s", F.col("_u")).otherwise(-F.col("_u"))).alias("count"))
+    bins = at.groupBy(chrom, "_kind", "_bin").agg(F.sum("_c").alias("_c"))
+    marks = asks.select(chrom, "_kind", "_bin").distinct().withColumn("_c", F.lit(0).cast("long"))
+    cells = bins.unionByName(marks).groupBy(chrom, "_kind", "_bin").agg(F.sum("_c").alias("_c")).withColumn("_block", F.floor(F.col("_bin") / 10_000))
+    before = running(cells, [chrom, "_kind"], "_block", [F.col("_bin").asc()], {"c": F.col("_c")}).select(chrom, "_kind", "_bin", "before_c")
+    asked = nsjoin(asks, before, [chrom, "_kind", "_bin"])
+    inner = at.select(chrom, "_kind", "_bin", F.col("_at").alias("_pos"), "_c")
+    within = nsjoin(asked.select(*ids, chrom, "_kind", "_bin", "_at"), inner, [chrom, "_kind", "_bin"]).where("_pos < _at").groupBy(*ids, "_kind").agg(F.sum("_c").alias("_w"))
+    upto = nsjoin(asked, within, [*ids, "_kind"], "left").withColumn("_u", F.col("before_c") + F.coalesce("_w", F.lit(0)))
+    counts = upto.groupBy(*ids).agg(F.sum(F.when(F.col("_kind") == "s", F.col("_u")).otherwise(-F.col("_u"))).alias("count"))
     return nsjoin(intervals, counts, ids, "left")
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +25,10 @@ from platewise.session import cut_lineage
 
 SKETCH_ACCURACY = 10_000
 BRACKET = 5.0 / SKETCH_ACCURACY
+SMALL_GROUP = 100_000  # rows a single aggregate buffer may hold
 WHOLE_GROUP = 10_000
-COARSE = 32
+BUCKETS = 4096  # most pieces the order axis is cut into
+ROWS_PER_BUCKET = 50_000
 
 
 def _mid(name: str) -> str:
@@ -35,8 +38,9 @@ def _mid(name: str) -> str:
 def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], count_as: str | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per group (numpy / R type 7).
 
-    Null and NaN values are left out. Groups of up to ``WHOLE_GROUP`` rows are
-    sorted whole; of a larger one only the rows between the sketched quantiles
+    Null and NaN values are left out. The groups are counted first. If none has
+    more than ``SMALL_GROUP`` rows, Spark's exact ``percentile`` does it. Otherwise
+    groups of up to ``WHOLE_GROUP`` rows are sorted whole; of a larger one only the rows between the sketched quantiles
     at p -/+ BRACKET are, everything below being counted map-side. The sketch's
     rank error is a fifth of the bracket, so the wanted ranks lie inside; the
     job fails rather than return another value should they ever not. The result,
@@ -46,6 +50,12 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     src = df if keys else df.withColumn("_all", F.lit(0))
     v = F.col(value).cast("double")
     base = src.select(*gk, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    largest = base.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if largest is None or largest <= SMALL_GROUP:
+        plain = base.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n"), F.percentile("_v", list(probs.values())).alias("_q"))
+        named = [F.col("_q")[i].alias(n) for i, n in enumerate(probs)]
+        out = cut_lineage(plain.select(*gk, *named, *([F.col("_n").alias(count_as)] if count_as else [])))
+        return out if keys else out.drop("_all")
     marks: list[float] = []
     for p in probs.values():
         marks += [max(p - BRACKET, 0.0), min(p + BRACKET, 1.0)]
@@ -108,23 +118,33 @@ def group_median_mad(df: DataFrame, keys: list[str], value: str, median: str = "
     return nsjoin(med, spread, keys)  # two written tables of one row per group
 
 
-def order_bucket(df: DataFrame, value: str, name: str = "_b", coarse: int = COARSE) -> DataFrame:
-    """Monotone bucket number of a numeric column, about coarse² buckets.
+def cut_points(df: DataFrame, value: str) -> list[float]:
+    """Ascending cut points of a whole column, at most BUCKETS of them, from one sketch.
 
-    Cut points are a bounded sketch over the whole column. A group's share of a
-    bucket is at most the bucket's rows, so hot groups are cut as finely as the
-    column. The lookup is two steps of ``coarse`` comparisons.
+    Their number follows the row count; a small column gets none. A value that
+    fills several buckets is repeated.
     """
-    size = coarse * coarse
-    marks = [(i + 0.5) / size for i in range(size)]
     x = F.col(value).cast("double")
-    cuts = df.agg(F.percentile_approx(x, marks, SKETCH_ACCURACY).alias("_cuts")).scalar()
-    heads = F.transform(F.sequence(F.lit(0), F.lit(coarse - 1)), lambda i: F.get(F.col("_cuts"), i * coarse))
-    out = df.withColumn("_cuts", cuts)
-    out = out.withColumn("_h", F.size(F.filter(heads, lambda c: c <= x)) - 1)
-    inner = F.size(F.filter(F.slice(F.col("_cuts"), F.greatest(F.col("_h"), F.lit(0)) * coarse + 1, F.lit(coarse)), lambda c: c <= x))
-    out = out.withColumn(name, F.when(x.isNull() | F.col("_cuts").isNull(), -1).when(F.col("_h") < 0, 0).otherwise(F.col("_h") * coarse + inner))
-    return out.drop("_cuts", "_h")
+    marks = [(i + 0.5) / BUCKETS for i in range(BUCKETS)]
+    n, cuts = df.agg(F.count(x), F.percentile_approx(x, marks, SKETCH_ACCURACY)).first()
+    wanted = min(BUCKETS, n // ROWS_PER_BUCKET)
+    if wanted < 2:
+        return []
+    return [c for c in cuts[:: BUCKETS // wanted] if not math.isnan(c)]
+
+
+def order_bucket(df: DataFrame, value: str, name: str = "_b", cuts: list[float] | None = None) -> DataFrame:
+    """Monotone bucket number of a numeric column: how many cut points are at or below it.
+
+    A group's share of a bucket is at most the bucket's rows, so hot groups are cut
+    as finely as the column.
+    """
+    cuts = sorted(set(cut_points(df, value) if cuts is None else cuts))
+    x = F.col(value).cast("double")
+    if len(cuts) < 2:
+        return df.withColumn(name, F.lit(0))
+    split = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_x", outputCol="_bx", handleInvalid="keep")
+    return split.transform(df.withColumn("_x", x)).withColumn(name, F.when(x.isNull(), -1).otherwise(F.col("_bx").cast("int"))).drop("_x", "_bx")
 
 
 def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], sums: dict[str, Column],
@@ -190,26 +210,24 @@ def row_order(df: DataFrame, keys: list[str], value: str, tie: list[str], name:
               descending: bool = False, total_as: str | None = None) -> DataFrame:
     """Unique 1-based position by value, ties in md5 order of ``tie``.
 
-    Rows equal to a cut point open their bucket and are spread over 16
-    sub-buckets by the leading md5 digit, so one value that fills a third of the
-    table is still sorted in pieces.
+    A value that fills several buckets shows as a repeated cut point. Its rows open
+    their bucket and are spread over 4096 sub-buckets by leading md5 digits, so one
+    value that holds a third of the table is still sorted in pieces.
     """
-    size = COARSE * COARSE
-    marks = [(i + 0.5) / size for i in range(size)]
-    x = F.col(value).cast("double")
-    src = df.withColumn("_t", hash_text(*tie))
-    cuts = df.agg(F.percentile_approx(x, marks, SKETCH_ACCURACY).alias("_c")).scalar()
-    src = order_bucket(src, value).withColumn("_c", cuts)
-    at_cut = F.array_contains(F.coalesce(F.col("_c"), F.array().cast("array<double>")), x)
-    piece = F.conv(F.substring("_t", 1, 1), 16, 10).cast("int")
-    # ascending: the cut value is the smallest of its bucket; descending: the largest comes last
+    cuts = cut_points(df, value)
+    massed = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+    src = order_bucket(df.withColumn("_t", hash_text(*tie)), value, cuts=cuts)
+    hit = F.col(value).cast("double").isin(massed) if massed else F.lit(False)
+    src = src.withColumn("_massed", F.coalesce(hit, F.lit(False)))
+    piece = F.conv(F.substring("_t", 1, 3), 16, 10).cast("int")
+    # ascending: the massed value is the smallest of its bucket; descending: it comes last
     if descending:
-        src = src.withColumn("_b", F.col("_b") * 32 + F.when(at_cut, F.lit(15) - piece).otherwise(F.lit(16)))
+        src = src.withColumn("_b", F.col("_b") * 8192 + F.when(F.col("_massed"), F.lit(4095) - piece).otherwise(F.lit(4096)))
         order = [F.col(value).desc(), F.col("_t").asc()]
     else:
-        src = src.withColumn("_b", F.col("_b") * 32 + F.when(at_cut, piece).otherwise(F.lit(16)))
+        src = src.withColumn("_b", F.col("_b") * 8192 + F.when(F.col("_massed"), piece).otherwise(F.lit(4096)))
         order = [F.col(value).asc(), F.col("_t").asc()]
-    out = running(src.drop("_c"), keys, "_b", order, {"one": F.lit(1).cast("long")}, descending)
+    out = running(src.drop("_massed"), keys, "_b", order, {"one": F.lit(1).cast("long")}, descending)
     out = out.withColumn(name, F.col("before_one") + 1)
     if total_as:
         out = out.withColumn(total_as, F.col("total_one"))

@@ -162,11 +162,11 @@ def pair_moments(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     gk = list(keys) or ["_all"]
     s = cut_lineage(cross_products(df if keys else df.withColumn("_all", F.lit(0)), gk, vector))
     n = s.where("i = 0 AND j = 0").select(*gk, F.col("s").alias("n"))
-    means = nsjoin(s.where("i = 0 AND j > 0").select(*gk, F.col("j").alias("k"), F.col("s").alias("_s")), n, gk).withColumn("_m", F.col("_s") / F.col("n"))
-    squares = s.where("i = j AND i > 0").select(*gk, F.col("i").alias("k"), F.col("s").alias("_q"))
-    one = nsjoin(means, squares, [*gk, "k"]).select(*gk, "k", "n", "_m", F.sqrt(F.greatest(F.col("_q") / F.col("n") - F.col("_m") * F.col("_m"), F.lit(0.0))).alias("_sd"))
-    first = one.select(*gk, F.col("k").alias("i"), "n", F.col("_m").alias("_mi"), F.col("_sd").alias("sd_i"))
-    second = one.select(*gk, F.col("k").alias("j"), F.col("_m").alias("_mj"), F.col("_sd").alias("sd_j"))
+    means = nsjoin(s.where("i = 0 AND j > 0").select(*gk, F.col("j").alias("_k"), F.col("s").alias("_s")), n, gk).withColumn("_m", F.col("_s") / F.col("n"))
+    squares = s.where("i = j AND i > 0").select(*gk, F.col("i").alias("_k"), F.col("s").alias("_q"))
+    one = nsjoin(means, squares, [*gk, "_k"]).select(*gk, "_k", "n", "_m", F.sqrt(F.greatest(F.col("_q") / F.col("n") - F.col("_m") * F.col("_m"), F.lit(0.0))).alias("_sd"))
+    first = one.select(*gk, F.col("_k").alias("i"), "n", F.col("_m").alias("_mi"), F.col("_sd").alias("sd_i"))
+    second = one.select(*gk, F.col("_k").alias("j"), F.col("_m").alias("_mj"), F.col("_sd").alias("sd_j"))
     pairs = nsjoin(nsjoin(s.where("i > 0"), first, [*gk, "i"]), second, [*gk, "j"])
     out = pairs.withColumn("cov", F.col("s") / F.col("n") - F.col("_mi") * F.col("_mj"))
     out = out.select(*gk, "i", "j", "n", "cov", "sd_i", "sd_j", ratio("cov", F.col("sd_i") * F.col("sd_j")).alias("corr"))

@@ -158,7 +158,7 @@ def contingency_mc_test(df: DataFrame, row: str, column: str, replicates: int =
             yield pd.DataFrame({"statistic": out})
 
     sim = reps.mapInPandas(simulate, "statistic double")
-    hits = F.count_if(F.col("statistic") <= observed * (1 + F.signum(-observed) * 1e-9))
+    hits = F.count_if(F.col("statistic") <= observed + F.abs(observed) * 1e-9)
     return sim.agg(observed.alias("statistic"), F.count(F.lit(1)).alias("replicates"), ((hits + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
 
 

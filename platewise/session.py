@@ -14,8 +14,6 @@ def local_session(cores: int | str = 8, app: str = "platewise") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
@@ -25,6 +23,23 @@ def local_session(cores: int | str = 8, app: str = "platewise") -> SparkSession:
     )
 
 
+# Runtime settings the operators rely on. The last one lets Spark split a skewed join
+# even where the next step groups by the same keys, at the price of one more shuffle.
+RUNTIME = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Set the adaptive-execution switches on a session; sizes are left to the cluster."""
+    for key, value in RUNTIME.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and written intermediates.
 

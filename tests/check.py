@@ -107,7 +107,8 @@ def main(argv: list[str]) -> int:
     for n in names:
         t0 = time.time()
         try:
-            got = qs[n](spark, folder).toPandas()
+            df = qs[n](spark, folder)
+            got = df.toPandas()
             t1 = time.time()
             res = "rows only" if n not in sql else compare(got, con.execute(sql[n]).df())
             if len(got) == 0:
@@ -116,6 +117,9 @@ def main(argv: list[str]) -> int:
             t1 = time.time()
             got = []
             res = "ERROR " + str(e)[:900].replace("\n", " ")
+        if not res.startswith("ERROR"):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            res += "".join(f" [{k}]" for k in ("CartesianProduct", "BroadcastNestedLoopJoin") if k in plan)
         flag = "" if res.startswith(("ok", "rows only")) and "EMPTY" not in res and "digits" not in res else "  <<<<<<"
         print(f"{n:32s} {t1 - t0:6.2f}s duck {time.time() - t1:5.2f}s rows {len(got):7d} {res}{flag}", flush=True)
         if flag:
