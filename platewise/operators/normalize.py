@@ -30,11 +30,16 @@ def _widen(stats: DataFrame, keys: list[str], features: list[str], values: list[
 def plate_effects(df: DataFrame, line: str, plate: str, control: Column, features: list[str]) -> DataFrame:
     """Per (line, plate, feature): control median and MAD, and over the line's plates
     the median of medians (centre) and of MADs (spread)."""
-    ctrl = _long(df.where(control), [line, plate], features)
+    return _line_effects(_long(df.where(control), [line, plate], features), line, plate)
+
+
+def _line_effects(ctrl: DataFrame, line: str, plate: str) -> DataFrame:
     plates = group_median_mad(ctrl, [line, plate, "feature"], "value", "middle", "dev")
-    centre = group_median(plates, [line, "feature"], "middle", "centre")
-    spread = group_median(plates, [line, "feature"], "dev", "spread")
-    return nsjoin(nsjoin(plates, centre, [line, "feature"]), spread, [line, "feature"])
+    both = plates.unpivot([line, "feature"], ["middle", "dev"], "_stat", "_v")
+    med = group_median(both, [line, "feature", "_stat"], "_v", "_med")
+    lines = med.groupBy(line, "feature").agg(
+        F.max(F.when(F.col("_stat") == "middle", F.col("_med"))).alias("centre"), F.max(F.when(F.col("_stat") == "dev", F.col("_med"))).alias("spread"))
+    return nsjoin(plates, lines, [line, "feature"])
 
 
 def plate_effect_correct(df: DataFrame, line: str, plate: str, control: Column, features: list[str]) -> DataFrame:
@@ -53,10 +58,7 @@ def plate_effect_correct(df: DataFrame, line: str, plate: str, control: Column,
 def plate_effect_correct_vector(df: DataFrame, line: str, plate: str, control: Column, vector: str = "features") -> DataFrame:
     """The same on an array column: only control rows are exploded for the statistics."""
     ctrl = df.where(control).select(line, plate, F.posexplode(vector).alias("feature", "value"))
-    plates = group_median_mad(ctrl, [line, plate, "feature"], "value", "middle", "dev")
-    centre = group_median(plates, [line, "feature"], "middle", "centre")
-    spread = group_median(plates, [line, "feature"], "dev", "spread")
-    eff = nsjoin(nsjoin(plates, centre, [line, "feature"]), spread, [line, "feature"])
+    eff = _line_effects(ctrl, line, plate)
     eff = eff.select(line, plate, F.struct("feature", "middle", "centre", ratio("spread", "dev").alias("factor")).alias("_e"))
     packed = eff.groupBy(line, plate).agg(F.sort_array(F.collect_list("_e")).alias("_fx"))
     out = nsjoin(df, packed, [line, plate], "left")
@@ -167,13 +169,16 @@ def dmso_center_zscore(df: DataFrame, line: str, control: Column, features: list
 
 def global_scale(df: DataFrame, features: list[str], keys: list[str] | None = None) -> DataFrame:
     """Centre and z-scale on all rows (or within keys)."""
-    keys = keys or ["_all"]
-    src = df.withColumn("_all", F.lit(0)) if keys == ["_all"] else df
     aggs = [a for f in features for a in (F.avg(f).alias(f"_m_{f}"), F.stddev_samp(f).alias(f"_s_{f}"))]
-    out = nsjoin(src, src.groupBy(*keys).agg(*aggs), keys)
+    if keys:
+        out = nsjoin(df, df.groupBy(*keys).agg(*aggs), keys)
+    else:
+        one = df.agg(*aggs)
+        out = df.withColumn("_st", one.select(F.struct(*one.columns)).scalar())
+        out = out.select(*df.columns, *[F.col(f"_st._{k}_{f}").alias(f"_{k}_{f}") for f in features for k in "ms"])
     for f in features:
         out = out.withColumn(f, ratio(F.col(f) - F.col(f"_m_{f}"), f"_s_{f}")).drop(f"_m_{f}", f"_s_{f}")
-    return out.drop("_all")
+    return out
 
 
 def trimmed_stats(df: DataFrame, keys: list[str], value: str, trim: float = 0.1) -> DataFrame:

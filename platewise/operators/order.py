@@ -35,10 +35,17 @@ def _mid(name: str) -> str:
     return f"_run_{name}"
 
 
-def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], count_as: str | None = None) -> DataFrame:
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the biggest group, one number for choosing a strategy."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+
+
+def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], count_as: str | None = None,
+                    largest: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per group (numpy / R type 7).
 
-    Null and NaN values are left out. The groups are counted first. If none has
+    Null and NaN values are left out. The groups are counted first, unless the
+    caller knows the size of the largest. If none has
     more than ``SMALL_GROUP`` rows, Spark's exact ``percentile`` does it. Otherwise
     groups of up to ``WHOLE_GROUP`` rows are sorted whole; of a larger one only the rows between the sketched quantiles
     at p -/+ BRACKET are, everything below being counted map-side. The sketch's
@@ -50,8 +57,9 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     src = df if keys else df.withColumn("_all", F.lit(0))
     v = F.col(value).cast("double")
     base = src.select(*gk, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    largest = base.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    if largest is None or largest <= SMALL_GROUP:
+    if largest is None:
+        largest = largest_group(base, gk)
+    if largest <= SMALL_GROUP:
         plain = base.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n"), F.percentile("_v", list(probs.values())).alias("_q"))
         named = [F.col("_q")[i].alias(n) for i, n in enumerate(probs)]
         out = cut_lineage(plain.select(*gk, *named, *([F.col("_n").alias(count_as)] if count_as else [])))
@@ -103,16 +111,18 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     return out if keys else out.drop("_all")
 
 
-def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median", count_as: str | None = None) -> DataFrame:
-    return group_quantiles(df, keys, value, {name: 0.5}, count_as)
+def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median", count_as: str | None = None,
+                 largest: int | None = None) -> DataFrame:
+    return group_quantiles(df, keys, value, {name: 0.5}, count_as, largest)
 
 
 def group_median_mad(df: DataFrame, keys: list[str], value: str, median: str = "median", mad: str = "mad",
                      count_as: str | None = None, scale: float = 1.0) -> DataFrame:
     """Median and median absolute deviation (raw unless ``scale`` is given)."""
-    med = group_median(df, keys, value, median, count_as)
+    largest = largest_group(df, keys)
+    med = group_median(df, keys, value, median, count_as, largest)
     dev = nsjoin(df.select(*keys, value), med.select(*keys, median), keys).withColumn("_dev", F.abs(F.col(value) - F.col(median)))
-    spread = group_median(dev, keys, "_dev", mad)
+    spread = group_median(dev, keys, "_dev", mad, largest=largest)
     if scale != 1.0:
         spread = spread.withColumn(mad, F.col(mad) * F.lit(scale))
     return nsjoin(med, spread, keys)  # two written tables of one row per group

@@ -235,11 +235,13 @@ def wilcoxon_rank_sum(df: DataFrame, keys: list[str], group: Column, value: str)
 
 def ols_factor(df: DataFrame, keys: list[str], y: str, factor: str, reference: str) -> DataFrame:
     """lm(y ~ factor): one coefficient per level against the reference, in closed form."""
-    g = df.groupBy(*keys, factor).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("_m"), F.var_pop(y).alias("_v"))
-    fit = g.groupBy(*keys).agg(
+    gk = keys or ["_all"]
+    src = df if keys else df.withColumn("_all", F.lit(0))
+    g = src.groupBy(*gk, factor).agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("_m"), F.var_pop(y).alias("_v"))
+    fit = g.groupBy(*gk).agg(
         F.sum(F.col("n") * F.col("_v")).alias("_rss"), F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_k"),
         F.max(F.when(F.col(factor) == reference, F.col("_m"))).alias("_m0"), F.max(F.when(F.col(factor) == reference, F.col("n"))).alias("_n0"))
-    t = nsjoin(g, fit, keys) if keys else g.join(fit.withColumn("_j", F.lit(1)), F.lit(1) == F.col("_j")).drop("_j")
+    t = nsjoin(g, fit, gk)
     df_res = F.col("_n") - F.col("_k")
     s2 = ratio("_rss", df_res)
     base = F.col(factor) == reference
