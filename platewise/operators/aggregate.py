@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.expr import MAD_TO_SD, nsjoin, with_group_stats
-from platewise.operators.order import group_median, group_median_mad, group_quantiles, row_order, running, value_order
+from platewise.operators.order import group_median, group_median_mad, group_quantiles, one_bucket, row_order, running, value_order
 
 
 def well_median_mad(df: DataFrame, keys: list[str], features: list[str], first: list[str]) -> DataFrame:
@@ -182,6 +182,6 @@ def coverage_matrix(df: DataFrame, interval: str, sample: str, reads: str, sampl
 
 
 def running_share(df: DataFrame, order: str, value: str) -> DataFrame:
-    """value / sum and its running sum in ``order``."""
-    r = running(df.withColumn("_b", F.lit(0)), [], "_b", [F.col(order).asc()], {"v": F.col(value)})
+    """value / sum and its running sum in ``order``, for a short list such as components."""
+    r = running(df.withColumn("_b", one_bucket(order)), [], "_b", [F.col(order).asc()], {"v": F.col(value)})
     return r.withColumn("share", F.col(value) / F.col("total_v")).withColumn("cumulative", (F.col("before_v") + F.col(value)) / F.col("total_v")).drop("_b", "before_v", "total_v")

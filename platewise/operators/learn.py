@@ -20,7 +20,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.functions.expr import hash_unit, nsjoin, ratio, with_group_stats
+from platewise.functions.expr import hash_text, hash_unit, nsjoin, ratio, with_group_stats
 from platewise.operators.joins import key_grid
 from platewise.operators.order import group_median, group_quantiles, hash_order, row_order, value_order
 from platewise.operators.pairs import block_pairs, cross_products
@@ -216,15 +216,18 @@ def classifier_permutation_p(df: DataFrame, groups: list[str], drug: str, contro
                              permutations: int, c: float = 1e-2, folds: int = MODEL_FOLDS, seed: str = "perm") -> DataFrame:
     """(#{perm >= auc} + 1) / (B + 1) with labels permuted inside each (group, drug).
 
-    Permutation 0 is the real labelling. The first n_drug rows in hash order are the
-    permuted cases, found by threshold: the hash below which n_drug rows lie is exact from the ranks.
+    Permutation 0 is the real labelling. A permutation's cases are the n_drug rows of
+    smallest hash; the hash of the last of them is found once per (group, drug,
+    permutation), and every later pass only compares with it.
     """
     keys = [*groups, drug]
     rows = case_control_rows(df.select(*groups, drug, *ids, *features, control.alias("_ctrl")), groups, drug, F.col("_ctrl"))
-    cases = rows.groupBy(*keys).agg(F.sum("label").alias("_cases"))
-    many = rows.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    ranked = hash_order(many, [*keys, "perm"], [*ids, "perm"], salt=seed, name="_i")
-    permuted = nsjoin(ranked, cases, keys).withColumn("label", F.when(F.col("_i") <= F.col("_cases"), 1.0).otherwise(0.0)).drop("_i", "_cases")
+    cases = cut_lineage(rows.groupBy(*keys).agg(F.sum("label").alias("_cases")))
+    many = rows.select(*keys, *ids).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    h = hash_text(*ids, "perm", salt=seed)
+    ranked = nsjoin(hash_order(many, [*keys, "perm"], [*ids, "perm"], salt=seed, name="_i"), cases, keys)
+    limits = cut_lineage(ranked.where(F.col("_i") == F.col("_cases")).select(*keys, "perm", h.alias("_limit")))
+    permuted = nsjoin(rows, limits, keys).withColumn("label", F.when(h <= F.col("_limit"), 1.0).otherwise(0.0)).drop("_limit")
     both = rows.withColumn("perm", F.lit(0)).unionByName(permuted)
     res = drug_classifier(both, [*keys, "perm"], ids, features, c_grid=[c], folds=folds, seed=seed)
     real = res.where("perm = 0").select(*keys, F.col("auc_mean").alias("auc"), F.col("auc_std"))

@@ -143,6 +143,11 @@ def cut_points(df: DataFrame, value: str) -> list[float]:
     return [c for c in cuts[:: BUCKETS // wanted] if not math.isnan(c)]
 
 
+def one_bucket(column: str) -> Column:
+    """0 for every row, as a column Spark keeps as an ordinary join key."""
+    return F.pmod(F.hash(F.col(column)), F.lit(1))
+
+
 def order_bucket(df: DataFrame, value: str, name: str = "_b", cuts: list[float] | None = None) -> DataFrame:
     """Monotone bucket number of a numeric column: how many cut points are at or below it.
 
@@ -152,7 +157,7 @@ def order_bucket(df: DataFrame, value: str, name: str = "_b", cuts: list[float]
     cuts = sorted(set(cut_points(df, value) if cuts is None else cuts))
     x = F.col(value).cast("double")
     if len(cuts) < 2:
-        return df.withColumn(name, F.lit(0))
+        return df.withColumn(name, one_bucket(value))
     split = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_x", outputCol="_bx", handleInvalid="keep")
     return split.transform(df.withColumn("_x", x)).withColumn(name, F.when(x.isNull(), -1).otherwise(F.col("_bx").cast("int"))).drop("_x", "_bx")
 
@@ -164,14 +169,13 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], su
     Adds ``before_<name>`` and ``total_<name>``. The window over ``keys`` sees one
     row per bucket; the window over rows sees one (keys, bucket) cell.
     """
-    gk = list(keys) or ["_all"]
-    src = df if keys else df.withColumn("_all", F.lit(0))
+    gk, src = list(keys), df
     for name, c in sums.items():
         src = src.withColumn(_mid(name), c)
     cells = src.groupBy(*gk, bucket).agg(*[F.sum(_mid(n)).alias(_mid(n)) for n in sums])
     b = F.col(bucket).desc() if descending else F.col(bucket).asc()
-    before = Window.partitionBy(*gk).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*gk)
+    whole = Window.partitionBy(*(gk or [F.lit(0)]))
+    before = whole.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select(
         *gk, bucket,
         *[F.coalesce(F.sum(_mid(n)).over(before), F.lit(0)).alias(f"_off_{n}") for n in sums],
@@ -184,8 +188,7 @@ def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], su
     out = nsjoin(out, offsets, gk + [bucket])
     for n in sums:
         out = out.withColumn(f"before_{n}", F.col(f"_off_{n}") + F.col(f"_in_{n}"))
-    out = out.drop(*[_mid(n) for n in sums], *[f"_off_{n}" for n in sums], *[f"_in_{n}" for n in sums])
-    return out if keys else out.drop("_all")
+    return out.drop(*[_mid(n) for n in sums], *[f"_off_{n}" for n in sums], *[f"_in_{n}" for n in sums])
 
 
 def value_order(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None = None,

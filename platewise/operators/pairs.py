@@ -53,8 +53,9 @@ def block_pairs(df: DataFrame, keys: list[str], id_col: str, vector: str, metric
     """
     gk = list(keys) or ["_all"]
     src = (df if keys else df.withColumn("_all", F.lit(0))).select(*gk, F.col(id_col).alias("_id"), F.col(vector).cast("array<double>").alias("_v"))
-    blocks = src.groupBy(*gk).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("_nb"))
-    own = nsjoin(src, blocks, gk).withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_nb")))
+    size = F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("long").alias("_nb")
+    sized = nsjoin(src, src.groupBy(*gk).agg(size), gk) if keys else src.withColumn("_nb", src.agg(size).scalar())
+    own = sized.withColumn("_own", F.pmod(F.xxhash64("_id"), F.col("_nb")))
     spread = own.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1)))
     spread = spread.select(*gk, "_id", "_v", "_own", F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q"))
     types = {f.name: f.dataType.simpleString() for f in spread.schema}
