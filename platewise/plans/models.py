@@ -244,11 +244,11 @@ def multi_view_table(t):
         "expression": o.groupBy("sample", F.concat(F.lit("probe"), F.col("part") % 10).alias("feature")).agg(off_tie(F.avg("price"), 4).alias("value"))})
 
 
-@query("group_crosswalk", """WITH a AS (SELECT DISTINCT s_nationkey AS line, 'HC1092-' || (s_suppkey % 12) AS screen FROM supplier), b AS (SELECT DISTINCT c_nationkey AS line, c_mktsegment AS batch FROM customer),
+@query("group_crosswalk", """WITH a AS (SELECT DISTINCT s_nationkey AS line, 'SCREEN-' || (s_suppkey % 12) AS screen FROM supplier), b AS (SELECT DISTINCT c_nationkey AS line, c_mktsegment AS batch FROM customer),
 e AS (SELECT line, batch, dense_rank() OVER (ORDER BY batch) AS expr_group FROM b)
 SELECT line, screen, split_part(screen, '-', 2)::BIGINT AS img_group, batch, expr_group, split_part(screen, '-', 2) || '_' || expr_group AS overall_group FROM a JOIN e USING (line)""")
 def group_crosswalk(t):
-    a = t.supplier.select(F.col("s_nationkey").alias("line"), F.concat(F.lit("HC1092-"), F.col("s_suppkey") % 12).alias("screen"))
+    a = t.supplier.select(F.col("s_nationkey").alias("line"), F.concat(F.lit("SCREEN-"), F.col("s_suppkey") % 12).alias("screen"))
     b = t.customer.select(F.col("c_nationkey").alias("line"), F.col("c_mktsegment").alias("batch"))
     return L.group_crosswalk(a, b, "line", "screen", "batch")
 

@@ -11,12 +11,12 @@ from platewise.plans.registry import FEATURES, LONG, OBJ, query
 PLATE = f"""{LONG}, med AS (SELECT line, plate, feature, median(value) AS m FROM long WHERE ctrl GROUP BY ALL),
 mad AS (SELECT line, plate, feature, any_value(m) AS m, median(abs(value - m)) AS d FROM long JOIN med USING (line, plate, feature) WHERE ctrl GROUP BY ALL),
 cen AS (SELECT line, feature, median(m) AS cm, median(d) AS cd FROM mad GROUP BY ALL),
-fix AS (SELECT uuid, feature, round((value - m) * CASE WHEN d <> 0 THEN cd / d END + cm, 4) AS value
+fix AS (SELECT uuid, conc, long.rep, ctrl, feature, round((value - m) * CASE WHEN d <> 0 THEN cd / d END + cm, 4) AS value
         FROM long LEFT JOIN mad USING (line, plate, feature) LEFT JOIN cen USING (line, feature))"""
 
 
 def wide_sql(table: str, digits: int | None = None) -> str:
-    return "SELECT uuid, " + ", ".join(f"max(value) FILTER (feature = '{f}') AS {f}" for f in FEATURES) + f" FROM {table} GROUP BY uuid"
+    return "SELECT uuid, " + ", ".join(f"max(value) FILTER (feature = '{f}') AS {f}" for f in FEATURES) + f" FROM {table} GROUP BY uuid, conc, rep, ctrl"
 
 
 def _rounded(df, digits=4):
@@ -41,7 +41,7 @@ m AS (SELECT feature, batch, median(value) AS med FROM b GROUP BY ALL),
 d AS (SELECT feature, batch, any_value(med) AS med, median(abs(value - med)) AS mad FROM b JOIN m USING (feature, batch) GROUP BY ALL),
 s AS (SELECT feature, max(med) FILTER (batch = 1) - max(med) FILTER (batch = 2) AS shift, max(mad) FILTER (batch = 1) / max(mad) FILTER (batch = 2) AS stretch FROM d GROUP BY 1),
 own AS (SELECT line, feature, median(value) AS own FROM long WHERE line % 2 = 1 GROUP BY ALL),
-fix AS (SELECT uuid, feature, round(CASE WHEN line % 2 = 1 THEN (value - own) * stretch + own + shift ELSE value END, 4) AS value FROM long JOIN s USING (feature) LEFT JOIN own USING (line, feature))
+fix AS (SELECT uuid, conc, long.rep, ctrl, feature, round(CASE WHEN line % 2 = 1 THEN (value - own) * stretch + own + shift ELSE value END, 4) AS value FROM long JOIN s USING (feature) LEFT JOIN own USING (line, feature))
 {wide_sql('fix')}""")
 def batch_effect_correct(t):
     ln = F.col("line")
@@ -55,19 +55,19 @@ def boxcox_transform(t):
 
 
 @query("dmso_center_zscore", f"""WITH {LONG}, s AS (SELECT line, feature, avg(value) FILTER (ctrl) AS c, avg(value) AS m, stddev_samp(value) AS sd FROM long GROUP BY ALL),
-fix AS (SELECT uuid, feature, round((value - c - (m - c)) / sd, 5) AS value FROM long JOIN s USING (line, feature)) {wide_sql('fix')}""")
+fix AS (SELECT uuid, conc, long.rep, ctrl, feature, round((value - c - (m - c)) / sd, 5) AS value FROM long JOIN s USING (line, feature)) {wide_sql('fix')}""")
 def dmso_center_zscore(t):
     return _rounded(N.dmso_center_zscore(t.objects.select("uuid", "line", "ctrl", *FEATURES), "line", F.col("ctrl"), FEATURES), 5)
 
 
 @query("dmso_center_control_sd", f"""WITH {LONG}, s AS (SELECT line, feature, avg(value) FILTER (ctrl) AS c, stddev_samp(value) FILTER (ctrl) AS sd FROM long GROUP BY ALL),
-fix AS (SELECT uuid, feature, round((value - c) / sd, 5) AS value FROM long JOIN s USING (line, feature)) {wide_sql('fix')}""")
+fix AS (SELECT uuid, conc, long.rep, ctrl, feature, round((value - c) / sd, 5) AS value FROM long JOIN s USING (line, feature)) {wide_sql('fix')}""")
 def dmso_center_control_sd(t):
     return _rounded(N.dmso_center_zscore(t.objects.select("uuid", "line", "ctrl", *FEATURES), "line", F.col("ctrl"), FEATURES, by_control=True), 5)
 
 
 @query("global_scale", f"""WITH {LONG}, s AS (SELECT feature, avg(value) AS m, stddev_samp(value) AS sd FROM long GROUP BY ALL),
-fix AS (SELECT uuid, feature, round((value - m) / sd, 5) AS value FROM long JOIN s USING (feature)) {wide_sql('fix')}""")
+fix AS (SELECT uuid, conc, long.rep, ctrl, feature, round((value - m) / sd, 5) AS value FROM long JOIN s USING (feature)) {wide_sql('fix')}""")
 def global_scale(t):
     return _rounded(N.global_scale(t.objects.select("uuid", *FEATURES), FEATURES), 5)
 
@@ -84,7 +84,7 @@ def trimmed_robust_z(t):
 
 
 @query("dmso_trimmed_norm", f"""WITH {LONG}, c AS (SELECT * FROM long WHERE ctrl), {trim_sql('c', 'line, feature', 'value', 0.1)},
-fix AS (SELECT uuid, feature, round((value - tm) / tsd, 5) AS value FROM long JOIN ts USING (line, feature)) {wide_sql('fix')}""")
+fix AS (SELECT uuid, conc, long.rep, ctrl, feature, round((value - tm) / tsd, 5) AS value FROM long JOIN ts USING (line, feature)) {wide_sql('fix')}""")
 def dmso_trimmed_norm(t):
     return _rounded(N.dmso_trimmed_norm(t.objects.select("uuid", "line", "ctrl", *FEATURES), "line", F.col("ctrl"), FEATURES), 5)
 
@@ -98,7 +98,7 @@ def replicate_robust_z(t):
 
 
 @query("dmso_median_subtract", f"""WITH {LONG}, m AS (SELECT line, rep, feature, median(value) AS med FROM long WHERE ctrl GROUP BY ALL),
-fix AS (SELECT uuid, feature, round(value - med, 4) AS value FROM long JOIN m USING (line, rep, feature)) {wide_sql('fix')}""")
+fix AS (SELECT uuid, conc, long.rep, ctrl, feature, round(value - med, 4) AS value FROM long JOIN m USING (line, rep, feature)) {wide_sql('fix')}""")
 def dmso_median_subtract(t):
     return _rounded(N.dmso_median_subtract(t.objects.select("uuid", "line", "rep", "ctrl", *FEATURES), ["line", "rep"], F.col("ctrl"), FEATURES))
 

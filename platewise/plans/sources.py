@@ -90,10 +90,17 @@ def scan_columns_pushdown(t):
         F.col("l_suppkey").alias("plate"), F.col("l_partkey").alias("part"), F.col("l_tax").alias("tax"))
 
 
+_STORES: dict[tuple[str, str], str] = {}
+
+
 def _stored(t) -> str:
-    path = fresh_path(t.spark, "features")
-    store.write_features(t.objects, path, ["uuid", "line", "plate", "well", "drug", "conc", "rep"], FEATURES)
-    return path
+    """The objects as a feature store, written once per application and data folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _STORES:
+        path = fresh_path(t.spark, "features")
+        store.write_features(t.objects, path, ["uuid", "line", "plate", "well", "drug", "conc", "rep"], FEATURES)
+        _STORES[key] = path
+    return _STORES[key]
 
 
 @query("combine_wells", """
