@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platewise.session import cut_lineage
+
 MAD_TO_SD = 1.4826  # factor that makes the MAD of a normal sample equal its sd
 
 
@@ -98,7 +100,17 @@ def nsjoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
     return left.join(other, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def attach(df: DataFrame, stats: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join a summary to the rows it was made from.
+
+    The summary is written first: its file size is then known when the join is
+    planned, so a small one is broadcast and the big side is not shuffled, and a
+    large one is not broadcast.
+    """
+    return nsjoin(df, cut_lineage(stats), keys, how)
+
+
 def with_group_stats(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     """Attach group aggregates to every row: aggregate then join, so that a hot
     group is reduced map-side and never gathered in one window task."""
-    return nsjoin(df, df.groupBy(*keys).agg(*aggs), keys)
+    return attach(df, df.groupBy(*keys).agg(*aggs), keys)

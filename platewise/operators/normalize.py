@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.functions.expr import MAD_TO_SD, nsjoin, ratio
+from platewise.functions.expr import MAD_TO_SD, attach, nsjoin, ratio
 from platewise.operators.order import group_median, group_median_mad, row_order, value_order
 from platewise.session import cut_lineage
 
@@ -24,7 +24,7 @@ def _long(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
 def _widen(stats: DataFrame, keys: list[str], features: list[str], values: list[str]) -> DataFrame:
     """One row per key with ``_<value>_<feature>`` columns."""
     aggs = [F.max(F.when(F.col("feature") == f, F.col(v))).alias(f"_{v}_{f}") for f in features for v in values]
-    return stats.groupBy(*keys).agg(*aggs)
+    return cut_lineage(stats.groupBy(*keys).agg(*aggs))
 
 
 def plate_effects(df: DataFrame, line: str, plate: str, control: Column, features: list[str]) -> DataFrame:
@@ -61,7 +61,7 @@ def plate_effect_correct_vector(df: DataFrame, line: str, plate: str, control: C
     eff = _line_effects(ctrl, line, plate)
     eff = eff.select(line, plate, F.struct("feature", "middle", "centre", ratio("spread", "dev").alias("factor")).alias("_e"))
     packed = eff.groupBy(line, plate).agg(F.sort_array(F.collect_list("_e")).alias("_fx"))
-    out = nsjoin(df, packed, [line, plate], "left")
+    out = attach(df, packed, [line, plate], "left")
     fixed = F.zip_with(vector, "_fx", lambda x, e: (x - e["middle"]) * e["factor"] + e["centre"])
     return out.withColumn(vector, fixed).drop("_fx")
 
@@ -159,7 +159,7 @@ def dmso_center_zscore(df: DataFrame, line: str, control: Column, features: list
         aggs.append(F.avg(F.when(control, F.col(f))).alias(f"_c_{f}"))
         aggs.append(F.avg(f).alias(f"_m_{f}"))
         aggs.append((F.stddev_samp(F.when(control, F.col(f))) if by_control else F.stddev_samp(f)).alias(f"_s_{f}"))
-    out = nsjoin(df, df.groupBy(line).agg(*aggs), [line])
+    out = attach(df, df.groupBy(line).agg(*aggs), [line])
     for f in features:
         x = F.col(f) - F.col(f"_c_{f}")
         z = x if by_control else x - (F.col(f"_m_{f}") - F.col(f"_c_{f}"))
@@ -171,7 +171,7 @@ def global_scale(df: DataFrame, features: list[str], keys: list[str] | None = No
     """Centre and z-scale on all rows (or within keys)."""
     aggs = [a for f in features for a in (F.avg(f).alias(f"_m_{f}"), F.stddev_samp(f).alias(f"_s_{f}"))]
     if keys:
-        out = nsjoin(df, df.groupBy(*keys).agg(*aggs), keys)
+        out = attach(df, df.groupBy(*keys).agg(*aggs), keys)
     else:
         one = df.agg(*aggs)
         out = df.withColumn("_st", one.select(F.struct(*one.columns)).scalar())
@@ -198,7 +198,7 @@ def trimmed_stats(df: DataFrame, keys: list[str], value: str, trim: float = 0.1)
 
 def trimmed_robust_z(df: DataFrame, keys: list[str], value: str, name: str, trim: float = 0.1) -> DataFrame:
     """(x - trimmed mean) / trimmed sd."""
-    out = nsjoin(df, trimmed_stats(df, keys, value, trim), keys)
+    out = attach(df, trimmed_stats(df, keys, value, trim), keys)
     return out.withColumn(name, ratio(F.col(value) - F.col("trim_mean"), "trim_sd")).drop("trim_mean", "trim_sd")
 
 
@@ -212,7 +212,7 @@ def dmso_trimmed_norm(df: DataFrame, line: str, control: Column, features: list[
         out = out.withColumn(f, ratio(F.col(f) - F.col(f"_trim_mean_{f}"), f"_trim_sd_{f}"))
     out = out.drop(*[f"_{v}_{f}" for f in features for v in ("trim_mean", "trim_sd")])
     ok = out.groupBy(line).agg(*[F.min((F.col(f).isNotNull() & ~F.isnan(f) & (F.abs(f) != float("inf"))).cast("int")).alias(f"_ok_{f}") for f in features])
-    out = nsjoin(out, ok, [line])
+    out = attach(out, ok, [line])
     for f in features:
         out = out.withColumn(f, F.when(F.col(f"_ok_{f}") == 1, F.col(f)).otherwise(F.lit(0.0)))
     return out.drop(*[f"_ok_{f}" for f in features])
@@ -286,7 +286,7 @@ def well_surface_correct(df: DataFrame, screen: str, row: str, col: str, value:
     types = {f.name: f.dataType.simpleString() for f in cells.schema}
     schema = f"`{screen}` {types[screen]}, `{row}` {types[row]}, `{col}` {types[col]}, norm_fac double, _shift double"
     surface = cells.groupBy(screen).applyInPandas(fit, schema)
-    out = nsjoin(df, surface, [screen, row, col])
+    out = attach(df, surface, [screen, row, col])
     return out.withColumn(f"{value}_norm", F.col(value) - F.col("_shift")).drop("_shift")
 
 
@@ -304,21 +304,21 @@ def quantile_normalize(df: DataFrame, sample: str, item: str, value: str, name:
     """Give all samples the mean distribution by rank; samples must be equally long."""
     ranked = row_order(df, [sample], value, [item], "_rank")
     means = ranked.groupBy("_rank").agg(F.avg(value).alias(name))
-    return nsjoin(ranked, means, ["_rank"]).drop("_rank")
+    return attach(ranked, means, ["_rank"]).drop("_rank")
 
 
 def feature_scale_by_view(df: DataFrame, keys: list[str], value: str, view: str, scale_only: list[str], name: str) -> DataFrame:
     """z-scale within (feature, view); the listed views are divided by sd without centring."""
     st = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
     centre = F.when(F.col(view).isin(scale_only), 0.0).otherwise(F.col("_m"))
-    return nsjoin(df, st, keys).withColumn(name, ratio(F.col(value) - centre, "_s")).drop("_m", "_s")
+    return attach(df, st, keys).withColumn(name, ratio(F.col(value) - centre, "_s")).drop("_m", "_s")
 
 
 def matrix_center_scale(df: DataFrame, keys: list[str], value: str, name: str, center: bool = True, scale: bool = True) -> DataFrame:
     """Column-wise centring and/or scaling of a long matrix; keys name the column."""
     st = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
     x = F.col(value) - F.col("_m") if center else F.col(value)
-    return nsjoin(df, st, keys).withColumn(name, ratio(x, "_s") if scale else x).drop("_m", "_s")
+    return attach(df, st, keys).withColumn(name, ratio(x, "_s") if scale else x).drop("_m", "_s")
 
 
 def center_by_group_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

@@ -125,7 +125,7 @@ def group_median_mad(df: DataFrame, keys: list[str], value: str, median: str = "
     spread = group_median(dev, keys, "_dev", mad, largest=largest)
     if scale != 1.0:
         spread = spread.withColumn(mad, F.col(mad) * F.lit(scale))
-    return nsjoin(med, spread, keys)  # two written tables of one row per group
+    return cut_lineage(nsjoin(med, spread, keys))
 
 
 def cut_points(df: DataFrame, value: str) -> list[float]:

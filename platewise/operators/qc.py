@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.functions.expr import hash_unit, is_finite, nsjoin, ratio
+from platewise.functions.expr import attach, hash_unit, is_finite, nsjoin, ratio
 from platewise.operators.order import group_quantiles, hash_order, running
 from platewise.session import cut_lineage
 
@@ -74,7 +74,7 @@ def blur_feature_select(sample: DataFrame, features: list[str], key_features: li
 def scale_in_group(df: DataFrame, keys: list[str], features: list[str], suffix: str = "") -> DataFrame:
     """(x - mean) / sd of the group, 0 where the group is constant."""
     aggs = [a for f in features for a in (F.avg(f).alias(f"_m_{f}"), F.stddev_pop(f).alias(f"_s_{f}"))]
-    out = nsjoin(df, df.groupBy(*keys).agg(*aggs), keys)
+    out = attach(df, df.groupBy(*keys).agg(*aggs), keys)
     for f in features:
         z = F.coalesce(ratio(F.col(f) - F.col(f"_m_{f}"), f"_s_{f}"), F.lit(0.0))
         out = out.withColumn(f"{f}{suffix}", z).drop(f"_m_{f}", f"_s_{f}")
