@@ -92,3 +92,11 @@ def op9(t: Tables):
     from platewise.llm.substring_dedup import remove_repeats
 
     return remove_repeats(t.documents, 35)
+
+
+@query("op10_near_duplicates")
+def op10(t: Tables):
+    """Component of near copies of every document, at a similarity of 0.85."""
+    from platewise.llm.near_dedup import near_components
+
+    return near_components(t.documents, percent=85)
