@@ -100,3 +100,11 @@ def op10(t: Tables):
     from platewise.llm.near_dedup import near_components
 
     return near_components(t.documents, percent=85)
+
+
+@query("op4_benchmark_leaks")
+def op4(t: Tables):
+    """Every document and benchmark item that it leaks."""
+    from platewise.llm.decontaminate import find_leaks
+
+    return find_leaks(t.documents, t.benchmark)

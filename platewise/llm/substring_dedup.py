@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from platewise.llm.common import U64, WordHashes, batch_of, column, covered, mixed, rolling, slices, texts, window_starts
 
-BUCKET_WORDS = 2_000_000  # windows in a bucket, about
-CHUNK_BYTES = 16 << 20  # text hashed by a task before it sends the entries
+BUCKET_WORDS = 1_000_000  # windows in a bucket, about
+CHUNK_BYTES = 6 << 20  # text hashed by a task before it sends the entries
 NAMES = ["probe_high", "probe_low", "k1", "k2", "runs", "gaps", "high", "low", "told"]
 ENTRIES = "bucket int, " + ", ".join(f"{n} binary" for n in NAMES)
 HITS = "k1 long, k2 long, at binary"
@@ -46,12 +46,31 @@ def split_at(groups: np.ndarray, *arrays: np.ndarray):
     yield from zip(groups[np.concatenate([[0], cut])].tolist(), *(np.split(x, cut) for x in arrays), strict=True)
 
 
-def halves(h: np.ndarray) -> tuple[bytes, bytes]:
-    return (h >> U64(32)).astype(np.uint32).tobytes(), h.astype(np.uint32).tobytes()
+def steps(values: np.ndarray) -> np.ndarray:
+    """Differences of rising values in the fewest bytes that hold them all."""
+    gaps = np.diff(values, prepend=0)
+    top = int(gaps.max(initial=0))
+    return gaps.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
 
 
-def joined_halves(high: bytes, low: bytes) -> np.ndarray:
-    return np.frombuffer(high, np.uint32).astype(U64) << U64(32) | np.frombuffer(low, np.uint32)
+def from_steps(raw: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // n]).astype(np.int64)
+
+
+def halves(h: np.ndarray, exact: bool, rising: bool) -> tuple[bytes, bytes]:
+    """High and low half of 64-bit hashes, or of 32-bit ones; the high half as steps if they rise."""
+    bits, low = (32, np.uint32) if exact else (16, np.uint16)
+    high = (h >> U64(bits)).astype(np.int64)
+    return (steps(high) if rising else high.astype(low)).tobytes(), h.astype(low).tobytes()
+
+
+def joined_halves(high: bytes, low: bytes, exact: bool, rising: bool) -> np.ndarray:
+    bits, kind = (32, np.uint32) if exact else (16, np.uint16)
+    low_ = np.frombuffer(low, kind)
+    high_ = np.cumsum(from_steps(high, len(low_))) if rising else np.frombuffer(high, kind)
+    return high_.astype(U64) << U64(bits) | low_
 
 
 def pack(owner: np.ndarray, place: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> list[bytes]:
@@ -60,7 +79,7 @@ def pack(owner: np.ndarray, place: np.ndarray, k1: np.ndarray, k2: np.ndarray) -
     gaps = np.diff(place, prepend=0)
     gaps[new] = place[new]
     top = int(gaps.max())
-    gaps = gaps.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32)
+    gaps = gaps.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
     at = owner[new]
     return [k1[at].tobytes(), k2[at].tobytes(), np.diff(np.append(new, len(owner))).astype(np.uint32).tobytes(), gaps.tobytes()]
 
@@ -72,15 +91,19 @@ def unpack(row: dict) -> tuple[np.ndarray, ...]:
     n = int(runs.sum())
     if not n:
         return k1, k2, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    gaps = np.frombuffer(row["gaps"], {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(row["gaps"]) // n]).astype(np.int64)
+    gaps = from_steps(row["gaps"], n)
     owner = np.repeat(np.arange(len(runs)), runs)
     total = np.cumsum(gaps)
     first = np.cumsum(runs) - runs
     return k1, k2, owner, total - np.repeat(total[first] - gaps[first], runs)
 
 
-def send(h: np.ndarray, owner: np.ndarray, place: np.ndarray, block: np.ndarray, k1: np.ndarray, k2: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows of a chunk for the buckets: bare hashes, blocks with places, and blocks found twice in the chunk ("told")."""
+def send(h: np.ndarray, owner: np.ndarray, place: np.ndarray, block: np.ndarray, k1: np.ndarray, k2: np.ndarray, buckets: int, exact: bool) -> pa.RecordBatch:
+    """Rows of a chunk for the buckets: bare hashes, blocks with places, and blocks found twice in the chunk ("told").
+
+    The upper half of a hash picks the bucket. If a later step verifies, only the lower half is
+    sent: in a bucket of a million windows, some tens of blocks are anchors by mistake, at any size.
+    """
     h = mixed(h)
     order = np.argsort(h, kind="stable")
     sh = h[order]
@@ -94,16 +117,19 @@ def send(h: np.ndarray, owner: np.ndarray, place: np.ndarray, block: np.ndarray,
     told &= block
     rows: dict[int, list[bytes]] = {}
     empty = [b""] * len(NAMES)
+    sent = h if exact else h & U64(0xFFFFFFFF)
     bare = sh[first & ~placed[order]]
-    bucket = bare % U64(buckets)
-    by = np.argsort(bucket, kind="stable")
+    bucket = (bare >> U64(32)) % U64(buckets)
+    if not exact:
+        bare = bare & U64(0xFFFFFFFF)
+    by = np.lexsort((bare, bucket))
     for b, part in split_at(bucket[by], bare[by]):
-        rows.setdefault(b, [*empty])[:2] = halves(part)
+        rows.setdefault(b, [*empty])[:2] = halves(part, exact, True)
     at = np.flatnonzero(placed)
-    bucket = h[at] % U64(buckets)
+    bucket = (h[at] >> U64(32)) % U64(buckets)
     by = np.argsort(bucket, kind="stable")
     for b, part in split_at(bucket[by], at[by]):
-        rows.setdefault(b, [*empty])[2:8] = [*pack(owner[part], place[part], k1, k2), *halves(h[part])]
+        rows.setdefault(b, [*empty])[2:8] = [*pack(owner[part], place[part], k1, k2), *halves(sent[part], exact, False)]
     out = [[b, *r] for b, r in rows.items()]
     at = np.flatnonzero(told)
     for o, part in split_at(owner[at], place[at]):
@@ -141,12 +167,12 @@ def probe_blocks(texts_: DataFrame, block: int, buckets: int) -> DataFrame:
                 h = rolling(hashes.all([w for ws in lists for w in ws]), block)[starts]
                 place = starts - first[owner]
                 k1, k2 = longs(part, "k1"), longs(part, "k2")
-                yield send(h, owner, place, place % block == 0, k1, k2, buckets)
+                yield send(h, owner, place, place % block == 0, k1, k2, buckets, False)
 
     return texts_.select("text", "k1", "k2").mapInArrow(run, ENTRIES)
 
 
-def bucket_hits(entries: DataFrame) -> DataFrame:
+def bucket_hits(entries: DataFrame, exact: bool) -> DataFrame:
     """Places whose hash has come from another place too, by text, and those that a chunk has told."""
 
     def one(table: pa.Table) -> pa.Table:
@@ -159,8 +185,8 @@ def bucket_hits(entries: DataFrame) -> DataFrame:
         k1, k2 = (np.concatenate([none, *(p[i] for p in parts)]) for i in (0, 1))
         owner = np.concatenate([none, *(p[2] + b for p, b in zip(parts, base, strict=False))])
         place = np.concatenate([none, *(p[3] for p in parts)])
-        h = np.concatenate([np.zeros(0, U64), *(joined_halves(r["high"], r["low"]) for r in rows)])
-        bare = np.sort(np.concatenate([np.zeros(0, U64), *(joined_halves(r["probe_high"], r["probe_low"]) for r in rows)]))
+        h = np.concatenate([np.zeros(0, U64), *(joined_halves(r["high"], r["low"], exact, False) for r in rows)])
+        bare = np.sort(np.concatenate([np.zeros(0, U64), *(joined_halves(r["probe_high"], r["probe_low"], exact, True) for r in rows)]))
         del parts, rows
         order = np.argsort(h, kind="stable")
         sh = h[order]
@@ -205,7 +231,7 @@ def window_entries(joined: DataFrame, block: int, width: int, buckets: int) -> D
                     continue
                 h = rolling(hashes.all([w for ws in lists for w in ws]), width)[starts]
                 k1, k2 = longs(part, "k1"), longs(part, "k2")
-                yield send(h, owner, starts - first[owner], np.ones(len(h), bool), k1, k2, buckets)
+                yield send(h, owner, starts - first[owner], np.ones(len(h), bool), k1, k2, buckets, True)
 
     return joined.mapInArrow(run, ENTRIES)
 
@@ -224,9 +250,10 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     buckets = max(1, -(-n_bytes // (6 * BUCKET_WORDS)))
     rows = keyed(docs, id_col, text_col)
     entries = probe_blocks(rows, block, buckets)
-    anchors = by_text(bucket_hits(entries))
-    longer = window_entries(rows.join(anchors, ["k1", "k2"]).select("text", "k1", "k2", "at"), block, width, buckets)
-    repeats = by_text(bucket_hits(longer))
+    anchors = by_text(bucket_hits(entries, False))
+    # both joins read the same columns of the texts, so Spark shuffles them once
+    longer = window_entries(rows.join(anchors, ["k1", "k2"]).select("id", "text", "k1", "k2", "at"), block, width, buckets)
+    repeats = by_text(bucket_hits(longer, True))
     joined = rows.join(repeats, ["k1", "k2"], "left").select("id", "text", "at")
 
     def run(batches):
