@@ -237,3 +237,13 @@ def near_components(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
     ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def keep_representatives(docs: DataFrame, percent: int = 80, width: int = 5, trees: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that are the first of their component, with all their columns; rows of one id that repeat stay together."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key, at = (f"c{names.index(c)}" for c in (id_col, text_col))
+    gone = near_components(plain, percent, width, trees, key, at).filter(~F.col("kept")).select(F.col(key).alias("gone")).distinct()
+    # a null id is never the least of a component with other ids, and stays where it is alone
+    return plain.join(gone, F.col(key).eqNullSafe(F.col("gone")), "left_anti").toDF(*names)

@@ -108,3 +108,11 @@ def op4(t: Tables):
     from platewise.llm.decontaminate import find_leaks
 
     return find_leaks(t.documents, t.benchmark)
+
+
+@query("op2_near_lines")
+def op2(t: Tables):
+    """Class, number of links and verdict of every line, at two edits."""
+    from platewise.llm.line_dedup import dedup_lines
+
+    return dedup_lines(t.documents, tau=2).drop("rid")
