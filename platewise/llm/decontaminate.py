@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from platewise.llm.common import U64, arrow_map, batch_of, column, once, rolling, slices, text_bytes, texts
 
@@ -187,6 +188,7 @@ def window_sets(benchmark: DataFrame, rate: float, item_col: str, text_col: str)
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and item it leaks: ids, windows found, least edits of a window."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
     for items, name in window_sets(benchmark, rate, item_col, item_text_col):
 
@@ -198,7 +200,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, id_col
                 got = leaks_in(texts(part), windows)
                 if got:
                     d, i, n, e = (list(x) for x in zip(*got, strict=True))
-                    named = pa.array([windows.ids[x] for x in i])
+                    named = pa.array([windows.ids[x] for x in i], item_type)
                     schema = pa.schema([("id", ids.type), ("item", named.type), ("n_windows", pa.int64()), ("edits", pa.int64())])
                     yield batch_of(schema, id=ids.take(pa.array(d)), item=named, n_windows=n, edits=e)
 
