@@ -56,8 +56,8 @@ def hash_text(*cols: str | Column, salt: str | Column = "") -> Column:
 
 
 def hash_unit(*cols: str | Column, salt: str | Column = "") -> Column:
-    """Uniform number in [0, 1) made from the first 8 hex digits of the key's md5."""
-    return F.conv(F.substring(hash_text(*cols, salt=salt), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    """Uniform number in [0, 1) made from the first 13 hex digits (52 bits) of the key's md5."""
+    return F.conv(F.substring(hash_text(*cols, salt=salt), 1, 13), 16, 10).cast("double") / F.lit(4503599627370496.0)
 
 
 def dot(a: Column, b: Column) -> Column:

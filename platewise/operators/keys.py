@@ -106,8 +106,11 @@ def feature_class_tag(dim: DataFrame, name: str = "name") -> DataFrame:
 
 
 def channel_feature_filter(dim: DataFrame, channel: str, channels: list[str]) -> DataFrame:
-    """Features whose channel letters all belong to ``channels`` or to the shape channel 0."""
-    allowed = F.array(*[F.lit(c) for c in [*channels, "0"]])
+    """Features whose channel letters all belong to ``channels`` or to B, the one all share.
+
+    Features of channel 0 (shape) have none of these letters and go.
+    """
+    allowed = F.array(*[F.lit(c) for c in [*channels, "B"]])
     return dim.where(F.size(F.array_except(F.split(channel, ""), allowed)) == 0)
 
 

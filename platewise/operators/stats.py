@@ -117,13 +117,21 @@ def contingency_chisq(df: DataFrame, row: str, column: str) -> DataFrame:
 
 
 def _draw_hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n)) if n and good else 0
-    # beyond numpy's range: normal with the exact mean and variance, rounded into the support
+    """One draw at any size: inversion over the ratios of neighbouring probabilities around the mode.
+
+    Twelve standard deviations and 50 counts on either side leave out less than a double resolves.
+    """
+    low, high = max(0, n - bad), min(good, n)
+    if low == high:
+        return low
     t = good + bad
-    var = n * (good / t) * (bad / t) * ((t - n) / (t - 1))
-    x = round(rng.normal(n * good / t, math.sqrt(var)))
-    return int(min(max(x, n - bad, 0), good, n))
+    mode = min(max((n + 1) * (good + 1) // (t + 2), low), high)
+    reach = int(12 * math.sqrt(n * (good / t) * (bad / t) * ((t - n) / max(t - 1, 1)))) + 50
+    k = np.arange(max(low, mode - reach), min(high, mode + reach) + 1, dtype=float)
+    ratio_ = np.log(good - k[:-1]) + np.log(n - k[:-1]) - np.log(k[:-1] + 1) - np.log(bad - n + k[:-1] + 1)
+    log_p = np.concatenate([[0.0], np.cumsum(ratio_)])
+    p = np.cumsum(np.exp(log_p - log_p.max()))
+    return int(k[np.searchsorted(p, rng.random() * p[-1], side="right").clip(max=len(k) - 1)])
 
 
 def contingency_mc_test(df: DataFrame, row: str, column: str, replicates: int = 2000, seed: int = 1) -> DataFrame:
@@ -547,14 +555,20 @@ def weibull_fit(df: DataFrame, keys: list[str], value: str, passes: int = 8) ->
     return x.groupBy(*keys, "n", "shape").agg((F.first("_top") * F.pow(F.sum(F.col("_c") * F.exp(F.col("shape") * F.col("_l"))) / F.col("n"), 1 / F.col("shape"))).alias("scale"))
 
 
-def poisson_one(u: Column) -> Column:
-    """Poisson(1) count from a uniform number; 12 and more together have probability 1e-9."""
+def poisson_edges() -> list[float]:
+    """Cumulative probabilities of a Poisson(1) count, as far as a double resolves them."""
     edges, total, p = [], 0.0, math.exp(-1)
-    for k in range(12):
+    while total + p > total:
         total += p
         edges.append(total)
-        p /= k + 1
-    return F.coalesce(*[F.when(u < e, F.lit(k)) for k, e in enumerate(edges)], F.lit(12))
+        p /= len(edges)
+    return [e for e in edges if e < 1.0]
+
+
+def poisson_one(u: Column) -> Column:
+    """Poisson(1) count from a uniform number."""
+    edges = poisson_edges()
+    return F.coalesce(*[F.when(u < e, F.lit(k)) for k, e in enumerate(edges)], F.lit(len(edges)))
 
 
 def bootstrap_moments(df: DataFrame, ids: list[str], value: str, replicates: int, seed: str = "boot") -> DataFrame:

@@ -30,21 +30,23 @@ def _known(value: Column) -> Column:
     return F.when(v.isNull() | (v == "."), F.lit(MISSING)).otherwise(v)
 
 
+def _last(pairs: Column, key: str) -> Column:
+    """Value of the last pair with a key; a key may repeat within a line."""
+    return F.get(F.reverse(F.filter(pairs, lambda x: x["k"] == key)), F.lit(0))["v"]
+
+
 def vcf_format_fields(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """Values of FORMAT paired with DATA, one column per kept field."""
-    names, data = F.split("FORMAT", ":"), F.split("DATA", ":")
-    size = F.least(F.size(names), F.size(data))
-    df = df.withColumn("_m", F.map_from_arrays(F.slice(names, F.lit(1), size), F.slice(data, F.lit(1), size)))
-    return df.select(*[c for c in df.columns if c != "_m"], *[_known(F.col("_m")[f]).alias(f) for f in (fields or ["GT", "AD", "AF"])]).drop("_m")
+    pairs = F.zip_with(F.split("FORMAT", ":"), F.split("DATA", ":"), lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    return df.select("*", *[_known(_last(pairs, f)).alias(f) for f in (fields or ["GT", "AD", "AF"])])
 
 
 def vcf_info_fields(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """k=v pairs of INFO before the annotation, one column per kept field."""
     head = F.regexp_replace(F.substring_index("INFO", "CSQ=", 1), ";$", "")
     pairs = F.filter(F.split(head, ";"), lambda x: x.contains("="))
-    m = F.map_from_arrays(F.transform(pairs, lambda x: F.split_part(x, F.lit("="), F.lit(1))), F.transform(pairs, lambda x: F.split_part(x, F.lit("="), F.lit(2))))
-    df = df.withColumn("_m", m)
-    return df.select(*[c for c in df.columns if c != "_m"], *[_known(F.col("_m")[f]).alias(f) for f in (fields or CALL_FIELDS[:8])]).drop("_m")
+    pairs = F.transform(pairs, lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)).alias("k"), F.split_part(x, F.lit("="), F.lit(2)).alias("v")))
+    return df.select("*", *[_known(_last(pairs, f)).alias(f) for f in (fields or CALL_FIELDS[:8])])
 
 
 def vep_explode(df: DataFrame, fields: list[str] | None = None) -> DataFrame:

@@ -94,13 +94,13 @@ def rename_clean(t):
     return K.rename_clean(messy)
 
 
-FEATURE_NAMES_SQL = """f AS (SELECT p_partkey, 'x.' || ['0', 'a', 'b', 'c', 'ab', 'abc'][p_size % 6 + 1] || '.' || ['s', 'b', 'h', 'm', 'q'][p_partkey % 5 + 1] || '.' || p_size AS name FROM part)"""
+FEATURE_NAMES_SQL = """f AS (SELECT p_partkey, 'x.' || ['0', 'a', 'b', 'c', 'ab', 'abc', 'B', 'aB', 'Bc'][p_size % 9 + 1] || '.' || ['s', 'b', 'h', 'm', 'q'][p_partkey % 5 + 1] || '.' || p_size AS name FROM part)"""
 
 
 def _feature_names(t):
     pick = lambda names, i: F.element_at(F.array(*[F.lit(n) for n in names]), i)
     return t.part.select("p_partkey", F.concat_ws(
-        ".", F.lit("x"), pick(["0", "a", "b", "c", "ab", "abc"], F.col("p_size") % 6 + 1),
+        ".", F.lit("x"), pick(["0", "a", "b", "c", "ab", "abc", "B", "aB", "Bc"], F.col("p_size") % 9 + 1),
         pick(["s", "b", "h", "m", "q"], (F.col("p_partkey") % 5 + 1).cast("int")), F.col("p_size").cast("string")).alias("name"))
 
 
@@ -112,7 +112,7 @@ def feature_class_tag(t):
 
 
 @query("channel_feature_filter", f"""WITH {FEATURE_NAMES_SQL}
-SELECT p_partkey, name FROM f WHERE string_split(name, '.')[2] IN ('0', 'a', 'b', 'ab')""")
+SELECT p_partkey, name FROM f WHERE string_split(name, '.')[2] IN ('a', 'b', 'ab', 'B', 'aB')""")
 def channel_feature_filter(t):
     tagged = K.feature_class_tag(_feature_names(t))
     return K.channel_feature_filter(tagged, "channel", ["a", "b"]).select("p_partkey", "name")

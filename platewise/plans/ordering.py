@@ -51,7 +51,7 @@ def rank_transform(t):
     return S.rank_transform(t.events, ["event_type"], "value").select("event_id", "rank")
 
 
-UNIT = "('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0"
+UNIT = "('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0"
 
 
 @query("sample_fraction", f"SELECT event_id FROM events WHERE {UNIT.format(chr(39) + chr(39) + ' || event_id || ' + chr(39) + '_s1' + chr(39))} < 0.05")

@@ -35,11 +35,11 @@ ITEM = """item AS (SELECT l_suppkey AS plate, l_orderkey || '_' || l_linenumber
   l_extendedprice AS price, l_tax AS tax, l_quantity AS quantity FROM lineitem)"""
 BLUR = f"""{ITEM}, s AS (SELECT *, greatest(quantity, tax * 500) AS score FROM item),
 c AS (SELECT plate, quantile_cont(score, .5) AS good, quantile_cont(score, .3) AS bad FROM s GROUP BY 1),
-lab AS (SELECT plate, uuid, 'good' AS label FROM s JOIN c USING (plate) WHERE score >= good
+lab AS MATERIALIZED (SELECT plate, uuid, 'good' AS label FROM s JOIN c USING (plate) WHERE score >= good
         UNION ALL SELECT plate, uuid, 'blurry' FROM s JOIN c USING (plate) WHERE score <= bad),
-ord AS (SELECT *, row_number() OVER (PARTITION BY plate, label ORDER BY md5(uuid || '_blur')) AS i, count(*) OVER (PARTITION BY plate, label) AS size FROM lab),
+ord AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY plate, label ORDER BY md5(uuid || '_blur')) AS i, count(*) OVER (PARTITION BY plate, label) AS size FROM lab),
 least_size AS (SELECT plate, CASE WHEN count(*) = 2 THEN min(n) ELSE 0 END AS draws FROM (SELECT plate, label, count(*) AS n FROM lab GROUP BY ALL) GROUP BY 1),
-draw AS (SELECT plate, label, ord.i AS draw, floor(('0x' || substr(md5(plate || '_' || label || '_' || i || '_blur'), 1, 8))::BIGINT / 4294967296.0 * size)::BIGINT + 1 AS i
+draw AS MATERIALIZED (SELECT plate, label, ord.i AS draw, floor(('0x' || substr(md5(plate || '_' || label || '_' || i || '_blur'), 1, 13))::BIGINT / 4503599627370496.0 * size)::BIGINT + 1 AS i
          FROM ord JOIN least_size USING (plate) WHERE ord.i <= draws)"""
 
 
@@ -67,7 +67,7 @@ def blur_feature_select(t):
 
 @query("blur_classifier_filter")
 def blur_classifier_filter(t):
-    kept = Q.blur_classifier_filter(_items(t), ["plate"], FEATURES, ["quantity", "tax500"], ["uuid"], trees=20)
+    kept = Q.blur_classifier_filter(_items(t), ["plate"], FEATURES, ["quantity", "tax500"], ["uuid"], trees=100)
     return kept.select("plate", "uuid")
 
 

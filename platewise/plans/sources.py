@@ -55,9 +55,7 @@ def scan_gene_sets(t):
     rows = head.unionByName(sets).withColumn("file", F.col("p_type"))
     rows.select("file", "symbol").write.partitionBy("file").text(path)
     # the set's file name is its directory here: file=<set>/part-*.txt
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"file=([^/]+)/", 1)
-    lines = t.spark.read.text(path).select(F.trim("value").alias("symbol"), name.alias("gs_name"))
-    return readers.keep_symbols(lines)
+    return readers.scan_gene_sets(t.spark, path, r"file=([^/]+)/")
 
 
 @query("scan_many_files", """

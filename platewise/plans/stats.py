@@ -106,7 +106,7 @@ def corr_distance(t):
     return c.select("i", "j", rnd(T.corr_distance("corr")).alias("distance"))
 
 
-ENRICH = f"""{OBJ}, it AS (SELECT DISTINCT line, part AS item, conc AS cluster FROM obj WHERE quantity > 45),
+ENRICH = f"""{OBJ}, it AS (SELECT DISTINCT line, part AS item, conc AS cluster FROM obj),
 tg AS (SELECT DISTINCT line, item, cluster, target AS label FROM it JOIN (SELECT DISTINCT part AS item, target FROM obj) USING (item)),
 cs AS (SELECT line, cluster, count(*) AS cluster_size FROM it GROUP BY ALL), tot AS (SELECT line, count(DISTINCT item) AS n FROM it GROUP BY 1),
 ls AS (SELECT line, label, count(*) AS label_size FROM tg GROUP BY ALL), hit AS (SELECT line, cluster, label, count(*) AS a FROM tg GROUP BY ALL),
@@ -116,7 +116,7 @@ fp AS (SELECT *, list_sum([exp(lgamma(cluster_size + 1) + lgamma(n - cluster_siz
 
 
 def _enriched(t):
-    o = t.objects.where("quantity > 45").select("line", F.col("part").alias("item"), F.col("conc").alias("cluster"), F.col("target").alias("label"))
+    o = t.objects.select("line", F.col("part").alias("item"), F.col("conc").alias("cluster"), F.col("target").alias("label"))
     return T.cluster_label_enrichment(o, ["line"], "item", "cluster", "label", min_cluster=3)
 
 
@@ -128,12 +128,15 @@ def cluster_label_enrichment(t):
     return e.select("line", "cluster", "label", "a", rnd("odds_ratio").alias("odds_ratio"), rnd("p_value", 7).alias("p_value"))
 
 
+LABELS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
 @query("log_odds_matrix", f"""WITH {ENRICH}, o AS (SELECT line, label, max(CASE WHEN b = 0 OR c = 0 THEN 'Infinity'::DOUBLE ELSE a * d / (b * c)::DOUBLE END) AS o FROM x GROUP BY ALL),
 v AS (SELECT line, label, CASE WHEN o = 'Infinity' THEN (SELECT max(o) FROM o WHERE o < 'Infinity') ELSE o END AS o FROM o)
-SELECT line, {', '.join(f"round(coalesce(max(CASE WHEN o <> 0 THEN log2(o) ELSE 0 END) FILTER (label = '{k}'), 0), 6) AS {k}" for k in ("ECONOMY", "SMALL", "LARGE"))} FROM v GROUP BY line""")
+SELECT line, {', '.join(f"round(coalesce(max(CASE WHEN o <> 0 THEN log2(o) ELSE 0 END) FILTER (label = '{k}'), 0), 6) AS {k}" for k in LABELS)} FROM v GROUP BY line""")
 def log_odds_matrix(t):
     m = T.log_odds_matrix(_enriched(t), "line", "label", "odds_ratio")
-    return r6(m.select("line", "ECONOMY", "SMALL", "LARGE"), "ECONOMY", "SMALL", "LARGE")
+    return r6(m.select("line", *LABELS), *LABELS)
 
 
 CHI = f"""{OBJ}, c AS (SELECT drug, conc, count(*) AS n FROM obj GROUP BY ALL), r AS (SELECT drug, sum(n) AS r FROM c GROUP BY 1), k AS (SELECT conc, sum(n) AS k FROM c GROUP BY 1),
@@ -155,7 +158,7 @@ def contingency_chisq_p(t):
 
 @query("contingency_mc_test")
 def contingency_mc_test(t):
-    return T.contingency_mc_test(t.objects.where("NOT ctrl"), "target", "conc", replicates=500)
+    return T.contingency_mc_test(t.objects.where("NOT ctrl"), "target", "conc")
 
 
 @query("multinom_aic", f"""WITH {OBJ}, m AS (SELECT 'intercept' AS model, '' AS level, rep AS y FROM obj UNION ALL SELECT 'line', line::VARCHAR, rep FROM obj UNION ALL SELECT 'plate', plate::VARCHAR, rep FROM obj UNION ALL SELECT 'target', target, rep FROM obj),
@@ -395,15 +398,15 @@ def weibull_fit(t):
     return r6(T.weibull_fit(t.objects, ["line"], "quantity"), "shape", "scale")
 
 
-POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402, 0.9999998885745217, 0.9999999899522337, 0.9999999991683892]
+POISSON = T.poisson_edges()
 
 
-@query("bootstrap_moments", f"""WITH x AS (SELECT rep, p_retailprice - (SELECT avg(p_retailprice) FROM part) AS d, {UNIT.format("p_partkey || '_' || rep || '_boot'")} AS u FROM part CROSS JOIN (SELECT unnest(range(1, 101)) AS rep)),
-w AS (SELECT rep, d, CASE {' '.join(f'WHEN u < {e} THEN {k}' for k, e in enumerate(POISSON))} ELSE 12 END AS w FROM x),
+@query("bootstrap_moments", f"""WITH x AS (SELECT rep, p_retailprice - (SELECT avg(p_retailprice) FROM part) AS d, {UNIT.format("p_partkey || '_' || rep || '_boot'")} AS u FROM part CROSS JOIN (SELECT unnest(range(1, 1001)) AS rep)),
+w AS (SELECT rep, d, CASE {' '.join(f'WHEN u < {e} THEN {k}' for k, e in enumerate(POISSON))} ELSE {len(POISSON)} END AS w FROM x),
 s AS (SELECT rep, sum(w) AS n, sum(w * d) / sum(w) AS a, sum(w * d ** 2) / sum(w) AS b, sum(w * d ** 3) / sum(w) AS c, sum(w * d ** 4) / sum(w) AS e FROM w GROUP BY 1)
 SELECT rep::INT AS replicate, n::BIGINT AS n, round((c - 3 * a * b + 2 * a ** 3) / (b - a * a) ** 1.5, 5) AS skewness, round((e - 4 * a * c + 6 * a * a * b - 3 * a ** 4) / (b - a * a) ** 2, 5) AS kurtosis FROM s""")
 def bootstrap_moments(t):
-    return r6(T.bootstrap_moments(t.part, ["p_partkey"], "p_retailprice", 100), "skewness", "kurtosis", digits=5)
+    return r6(T.bootstrap_moments(t.part, ["p_partkey"], "p_retailprice", 1000), "skewness", "kurtosis", digits=5)
 
 
 @query("ecdf", f"WITH {OBJ} SELECT line, price, count(*) AS n, round(sum(count(*)) OVER (PARTITION BY line ORDER BY price) / sum(count(*)) OVER (PARTITION BY line), 6) AS ecdf FROM obj GROUP BY line, price")
@@ -436,12 +439,12 @@ def assay_discordance(t):
 
 
 @query("drug_mutation_matrix", f"""WITH {MUT}, g AS (SELECT drug, genotype, count(*) AS n, avg(auc) - (SELECT avg(auc) FROM la) AS d FROM la JOIN mut USING (line) GROUP BY ALL)
-SELECT genotype, {', '.join(f'round(max(CASE WHEN d < 0 THEN log10(1.0 / (n + 1)) ELSE -log10(1.0 / (n + 1)) END) FILTER (drug = {chr(39)}Brand#{i}{chr(39)}), 6) AS "Brand#{i}"' for i in (1, 2, 3))} FROM g GROUP BY 1""")
+SELECT genotype, {', '.join(f'round(max(CASE WHEN d < 0 THEN log10(1.0 / (n + 1)) ELSE -log10(1.0 / (n + 1)) END) FILTER (drug = {chr(39)}Brand#{i}{chr(39)}), 6) AS "Brand#{i}"' for i in range(1, 26))} FROM g GROUP BY 1""")
 def drug_mutation_matrix(t):
     la = _line_auc(t)
     mean = la.agg(F.avg("auc")).scalar()
     g = la.join(_mutations(t), "line").groupBy("drug", "genotype").agg(F.count(F.lit(1)).alias("n"), F.avg("auc").alias("m")).withColumn("d", F.col("m") - mean).withColumn("p", F.lit(1.0) / (F.col("n") + 1))
-    m = T.drug_mutation_matrix(g, "drug", "genotype", "d", "p", ["Brand#1", "Brand#2", "Brand#3"])
+    m = T.drug_mutation_matrix(g, "drug", "genotype", "d", "p", [f"Brand#{i}" for i in range(1, 26)])
     return r6(m, *[c for c in m.columns if c != "genotype"])
 
 

@@ -80,10 +80,13 @@ def consequence_normalise(t):
     return _normal(t).groupBy(F.col("Consequence").alias("consequence")).agg(F.count(F.lit(1)).alias("n"))
 
 
+GENES = ["ANVIL", "BOLT", "GEAR", "GIZMO", "PLATE", "RING", "ROD", "WIDGET"]
+
+
 @query("variant_matrix", f"""WITH {ANNO}, {KEEP}, {NORM}, d AS (SELECT sample, symbol, string_agg(consequence, ';' ORDER BY consequence) AS c FROM (SELECT DISTINCT sample, symbol, consequence FROM nrm) GROUP BY ALL)
-SELECT sample, {', '.join(f"max(c) FILTER (symbol = '{g}') AS {g}" for g in ("RING", "WIDGET", "GEAR"))} FROM d GROUP BY sample""")
+SELECT sample, {', '.join(f"max(c) FILTER (symbol = '{g}') AS {g}" for g in GENES)} FROM d GROUP BY sample""")
 def variant_matrix(t):
-    return V.variant_matrix(_normal(t), "sample", "SYMBOL", "Consequence", ["RING", "WIDGET", "GEAR"])
+    return V.variant_matrix(_normal(t), "sample", "SYMBOL", "Consequence", GENES)
 
 
 @query("variant_final_table", f"WITH {ANNO}, {KEEP}, {NORM} SELECT DISTINCT sample, chrom, pos::VARCHAR AS pos, symbol, consequence FROM nrm")

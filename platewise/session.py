@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,17 +37,47 @@ RUNTIME = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Set the adaptive-execution switches on a session; sizes are left to the cluster."""
+    """Set the adaptive-execution switches on a session; sizes are left to the cluster.
+
+    The package is shipped too, since Python workers import its functions by name.
+    """
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand the package to the Python workers, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join(os.path.basename(root), os.path.relpath(path, root)))
+    # Spark copies the file from here and serves it to the executors
+    folder = tempfile.mkdtemp(prefix="platewise-package-")
+    target = os.path.join(folder, "platewise.zip")
+    with open(target, "wb") as f:
+        f.write(data.getvalue())
+    sc.addPyFile(target)
+    SHIPPED.add(sc.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and written intermediates.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a temporary folder is made, once per application.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the
+    master is local (tests on one machine) a temporary folder is made, once per
+    application; on a cluster a folder of the driver's would lose data, so that raises.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -52,6 +85,8 @@ def shared_dir(spark: SparkSession) -> str:
     if base is None:
         if known is not None:
             return known
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="platewise-")
     if known is None:
         sc.setCheckpointDir(base)

@@ -37,12 +37,12 @@ def keep_symbols(lines: DataFrame) -> DataFrame:
     return lines.where((symbol != "") & ~symbol.startswith(">") & (symbol != F.col("gs_name"))).select("gs_name", "symbol")
 
 
-def scan_gene_sets(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def scan_gene_sets(spark: SparkSession, path: str | list[str], pattern: str = r"([^/]+)\.txt$") -> DataFrame:
     """Set files: name, a '>' description line, one symbol per line -> (gs_name, symbol).
 
-    The set's name is the file name, so files can be split and read in any order.
+    The set's name is what ``pattern`` finds in the path, so files can be split and read in any order.
     """
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1)
+    name = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
     return keep_symbols(spark.read.text(path).select(F.trim("value").alias("symbol"), name.alias("gs_name")))
 
 

@@ -2,7 +2,8 @@
 
 State per plate is the set of wells seen, at most the plate format's size. A plate is
 emitted once; a plate that stays incomplete past the event-time timeout is reported as
-late and its state dropped.
+late and its state dropped. Arrivals of wells outside the plate format are reported as
+invalid, with their number, and don't count.
 """
 
 from __future__ import annotations
@@ -37,7 +38,10 @@ def plate_completeness(stream: DataFrame, n_wells: int, patience: str = "2 hours
         wells, last, done = state.get if state.exists else ([], None, False)
         seen = set(wells)
         for pdf in batches:
-            seen.update(int(w) for w in pdf["well"].dropna() if 0 <= w < n_wells)
+            outside = pdf["well"].isna() | (pdf["well"] < 0) | (pdf["well"] >= n_wells)
+            if outside.any():
+                yield pd.DataFrame({"plate": [key[0]], "n_wells": [int(outside.sum())], "status": ["invalid"]})
+            seen.update(int(w) for w in pdf.loc[~outside, "well"])
             top = pdf["ts"].max()
             last = top if last is None or top > last else last
         now = len(seen) == n_wells
@@ -52,12 +56,6 @@ def plate_completeness(stream: DataFrame, n_wells: int, patience: str = "2 hours
     return arrivals.groupBy("plate").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def plate_counts(stream: DataFrame, n_wells: int) -> DataFrame:
-    """The built-in form for bounded runs: wells counted per plate, update mode, no timeout."""
-    arrivals = stream.where((F.col("well") >= 0) & (F.col("well") < n_wells))
-    return arrivals.groupBy("plate").agg(F.approx_count_distinct("well", 0.01).alias("n_wells"))
-
-
 def run_to_table(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """Run a stream over what is there, into a Parquet table with exactly-once files, and read it."""
     path, check = fresh_path(spark, name), fresh_path(spark, f"{name}-checkpoint")
