@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from platewise.llm import oracles
 from platewise.plans.registry import Tables
 
 QUERIES: dict = {}
@@ -52,7 +53,7 @@ def op3(t: Tables):
     return find_personal_data(t.documents)
 
 
-@query("op5_line_quality")
+@query("op5_line_quality", oracles.QUALITY)
 def op5(t: Tables):
     """Line-first quality verdict of every document."""
     from platewise.llm.quality import judge_quality
@@ -76,17 +77,15 @@ def op7(t: Tables):
     return count_tokens(t.documents, tokenizer("word_bpe_49k.json")).withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-@query("op8_url_rules")
+@query("op8_url_rules", oracles.urls(RULES))
 def op8(t: Tables):
     """Verdict on the url of every page."""
     from platewise.llm.url_filter import filter_urls
 
-    found = filter_urls(t.pages, RULES)
-    # a rule of a whole host is named with the slash of its path
-    return found.select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(t.pages, RULES)
 
 
-@query("op9_repeated_passages")
+@query("op9_repeated_passages", oracles.PASSAGES)
 def op9(t: Tables):
     """Every document without the words of repeated 35-word windows."""
     from platewise.llm.substring_dedup import remove_repeats
@@ -94,7 +93,7 @@ def op9(t: Tables):
     return remove_repeats(t.documents, 35)
 
 
-@query("op10_near_duplicates")
+@query("op10_near_duplicates", oracles.NEAR)
 def op10(t: Tables):
     """Component of near copies of every document, at a similarity of 0.85."""
     from platewise.llm.near_dedup import near_components
