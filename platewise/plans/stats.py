@@ -149,7 +149,8 @@ def contingency_chisq(t):
     return c.withColumn("residual", rnd("residual")).withColumn("chisq", rnd("chisq", 5))
 
 
-@query("contingency_chisq_p")
+@query("contingency_chisq_p", f"""WITH {CHI}, one AS (SELECT sum((n - e) ** 2 / e) AS chisq, (count(DISTINCT drug) - 1) * (count(DISTINCT conc) - 1) AS df FROM g)
+SELECT round(chisq, 5) AS chisq, df, round(list_sum([exp(k * ln(chisq / 2) - chisq / 2 - lgamma(k + 1)) for k in range(df // 2)]), 8) AS p_value FROM one""")  # a finite sum: df is even
 def contingency_chisq_p(t):
     c = T.contingency_chisq(t.objects, "drug", "conc")
     one = c.agg(F.first("chisq").alias("chisq"), ((F.count_distinct("drug") - 1) * (F.count_distinct("conc") - 1)).alias("df"))
@@ -201,7 +202,17 @@ def ttest_welch(t):
     return w.select("genotype", "drug", "n0", "n1", rnd("mean0").alias("mean0"), rnd("mean1").alias("mean1"), rnd("t", 5).alias("t"), rnd("df", 4).alias("df"))
 
 
-@query("ttest_welch_pvalues")
+def beta_series(x: str, a: str, b: str) -> str:
+    """Incomplete beta ratio I_x(a, b) by its series of positive terms, for x up to a half."""
+    return (f"exp({a} * ln({x}) + {b} * ln(1 - {x}) - ln({a}) - lgamma({a}) - lgamma({b}) + lgamma({a} + {b}))"
+            f" * list_sum([exp(lgamma({a} + {b} + k) - lgamma({a} + {b}) - lgamma({a} + 1 + k) + lgamma({a} + 1) + k * ln({x})) for k in range(200)])")
+
+
+T_P = f"CASE WHEN t = 0 THEN 1 WHEN t * t < df THEN 1 - {beta_series('(t * t / (df + t * t))', '0.5', '(df / 2)')} ELSE {beta_series('(df / (df + t * t))', '(df / 2)', '0.5')} END"
+
+
+@query("ttest_welch_pvalues", f"""WITH {WELCH}, w AS (SELECT genotype, drug, (mean0 - mean1) / sqrt(a + b) AS t, (a + b) ** 2 / (a * a / (n0 - 1) + b * b / (n1 - 1)) AS df FROM s WHERE n0 > 1 AND n1 > 1)
+SELECT genotype, drug, round(t, 5) AS t, round(df, 4) AS df, round({T_P}, 8) AS p_value FROM w""")
 def ttest_welch_pvalues(t):
     w = T.ttest_welch(_status_rows(t), ["genotype", "drug"], F.col("pos") == 1, "auc")
     return w.select("genotype", "drug", rnd("t", 5).alias("t"), rnd("df", 4).alias("df"), rnd("p_value", 8).alias("p_value"))
@@ -222,16 +233,26 @@ def permutation_test(t):
     return r6(p.drop("p_adj"), "estimate", "variance", "p_value")
 
 
-@query("wilcoxon_rank_sum", f"""WITH {OBJ}, r AS (SELECT line, ctrl, price, rank() OVER (PARTITION BY line ORDER BY price) + (count(*) OVER (PARTITION BY line, price) - 1) / 2 AS rk FROM obj),
+WILCOXON = f"""{OBJ}, r AS (SELECT line, ctrl, price, rank() OVER (PARTITION BY line ORDER BY price) + (count(*) OVER (PARTITION BY line, price) - 1) / 2 AS rk FROM obj),
 tie AS (SELECT line, sum(n ** 3 - n) AS ties FROM (SELECT line, price, count(*) AS n FROM obj GROUP BY ALL) GROUP BY 1),
 s AS (SELECT line, count_if(ctrl)::BIGINT AS n1, count_if(NOT ctrl)::BIGINT AS n0, sum(rk) FILTER (ctrl) AS rs FROM r GROUP BY 1),
-w AS (SELECT *, rs - n1 * (n1 + 1) / 2 AS w, sqrt(n1 * n0 / 12.0 * ((n1 + n0 + 1) - ties / ((n1 + n0) * (n1 + n0 - 1)))) AS sigma FROM s JOIN tie USING (line))
+w AS (SELECT *, rs - n1 * (n1 + 1) / 2 AS w, sqrt(n1 * n0 / 12.0 * ((n1 + n0 + 1) - ties / ((n1 + n0) * (n1 + n0 - 1)))) AS sigma FROM s JOIN tie USING (line))"""
+
+
+@query("wilcoxon_rank_sum", f"""WITH {WILCOXON}
 SELECT line, n1, n0, w, round((w - n1 * n0 / 2 - sign(w - n1 * n0 / 2) * 0.5) / sigma, 6) AS z FROM w""")
 def wilcoxon_rank_sum(t):
     return r6(T.wilcoxon_rank_sum(t.objects, ["line"], F.col("ctrl"), "price"), "z")
 
 
-@query("wilcoxon_pvalues")
+# erf as its series of positive terms; beyond 6 it is 1 to all digits
+ERF = "2 / sqrt(pi()) * exp(-x * x) * list_sum([exp(k * ln(2) + (2 * k + 1) * ln(x) - (lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1))) for k in range(160)])"
+
+
+@query("wilcoxon_pvalues", f"""WITH {WILCOXON}, z AS (SELECT line, n1, n0, w, (w - n1 * n0 / 2 - sign(w - n1 * n0 / 2) * 0.5) / sigma AS z FROM w),
+p AS (SELECT *, CASE WHEN x = 0 THEN 1 ELSE greatest(0, 1 - {ERF}) END AS p FROM (SELECT *, least(abs(z) / sqrt(2), 6) AS x FROM z)),
+rr AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS raw FROM p)
+SELECT line, n1, n0, w, round(z, 6) AS z, round(p, 6) AS p_value, round(least(1, min(raw) OVER (ORDER BY p DESC)), 6) AS p_adj FROM rr""")
 def wilcoxon_pvalues(t):
     w = T.wilcoxon_rank_sum(t.objects, ["line"], F.col("ctrl"), "price").withColumn("p_value", normal_pvalue("z"))
     from platewise.session import cut_lineage
