@@ -50,9 +50,8 @@ def plate_effect_correct(df: DataFrame, line: str, plate: str, control: Column,
     eff = plate_effects(df, line, plate, control, features).withColumn("factor", ratio("spread", "dev"))
     wide = _widen(eff, [line, plate], features, ["middle", "centre", "factor"])
     out = nsjoin(df, wide, [line, plate], "left")
-    for f in features:
-        out = out.withColumn(f, (F.col(f) - F.col(f"_middle_{f}")) * F.col(f"_factor_{f}") + F.col(f"_centre_{f}"))
-    return out.drop(*[f"_{v}_{f}" for f in features for v in ("middle", "centre", "factor")])
+    fixed = {f: ((F.col(f) - F.col(f"_middle_{f}")) * F.col(f"_factor_{f}") + F.col(f"_centre_{f}")).alias(f) for f in features}
+    return out.select(*[fixed.get(c, F.col(c)) for c in df.columns])
 
 
 def plate_effect_correct_vector(df: DataFrame, line: str, plate: str, control: Column, vector: str = "features") -> DataFrame:
@@ -83,22 +82,21 @@ def batch_effect_correct(df: DataFrame, line: str, batch1: Column, batch2: Colum
     own = group_median(_long(df.where(target), ids, features), [*ids, "feature"], "value", "own")
     wide = _widen(nsjoin(own, shift, ["feature"]), ids, features, ["own", "shift", "stretch"])
     out = nsjoin(df, wide, ids, "left")
-    for f in features:
-        moved = (F.col(f) - F.col(f"_own_{f}")) * F.col(f"_stretch_{f}") + F.col(f"_own_{f}") + F.col(f"_shift_{f}")
-        out = out.withColumn(f, F.when(target, moved).otherwise(F.col(f)))
-    return out.drop(*[f"_{v}_{f}" for f in features for v in ("own", "shift", "stretch")])
+    moved = lambda f: (F.col(f) - F.col(f"_own_{f}")) * F.col(f"_stretch_{f}") + F.col(f"_own_{f}") + F.col(f"_shift_{f}")
+    fixed = {f: F.when(target, moved(f)).otherwise(F.col(f)).alias(f) for f in features}
+    return out.select(*[fixed.get(c, F.col(c)) for c in df.columns])
 
 
 def _boxcox(x: Column, lam: Column) -> Column:
     return F.when(F.abs(lam) < 1e-12, F.ln(x)).otherwise((F.pow(x, lam) - 1) / lam)
 
 
-def boxcox_lambda(df: DataFrame, keys: list[str], value: str, max_lambda: float = 5.0, trim: float = 0.05, passes: int = 5) -> DataFrame:
+def boxcox_lambda(df: DataFrame, keys: list[str], value: str, max_lambda: float = 5.0, trim: float = 0.05, tolerance: float = 1e-8) -> DataFrame:
     """λ per group that brings the skew of the trimmed, min–max scaled values nearest 0.
 
-    The search runs for all groups at once: each pass evaluates 9 candidates from
+    The search runs for all groups at once: each pass evaluates 33 candidates from
     mergeable power sums and keeps the interval in which the skew changes sign,
-    which narrows it eightfold. The range is [0, 1] for right skew at λ = 1,
+    which narrows it to a 32nd, until it is within the tolerance. The range is [0, 1] for right skew at λ = 1,
     otherwise [1, max_lambda]. Constant groups are left out.
     """
     v = value_order(df.select(*keys, value).where(~F.isnan(value)), keys, value)
@@ -122,8 +120,10 @@ def boxcox_lambda(df: DataFrame, keys: list[str], value: str, max_lambda: float
     start = skews(rng.select(*keys, F.lit(1.0).alias("lam")))
     right = F.col("skew") > 0
     box = start.select(*keys, F.when(right, 0.0).otherwise(1.0).alias("lo"), F.when(right, 1.0).otherwise(float(max_lambda)).alias("hi"))
-    for _ in range(passes):
-        grid = box.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / 8)).alias("lam"))
+    width = max(1.0, float(max_lambda) - 1.0)
+    while width > tolerance:
+        width /= 32
+        grid = box.select(*keys, F.explode(F.transform(F.sequence(F.lit(0), F.lit(32)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / 32)).alias("lam"))
         got = skews(grid).where(F.col("skew").isNotNull())
         # skew grows with λ: the last negative and the first positive candidate bracket the root
         box = cut_lineage(got.groupBy(*keys).agg(

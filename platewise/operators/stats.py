@@ -532,25 +532,33 @@ def lnorm_fit(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.where(F.col(value) > 0).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(F.ln(value)).alias("meanlog"), F.stddev_pop(F.ln(value)).alias("sdlog"))
 
 
-def weibull_fit(df: DataFrame, keys: list[str], value: str, passes: int = 8) -> DataFrame:
+def weibull_fit(df: DataFrame, keys: list[str], value: str, tolerance: float = 1e-10, limit: int = 100) -> DataFrame:
     """Maximum-likelihood shape and scale per group by Newton steps on mergeable sums.
 
-    Values are divided by the group's maximum and counted per distinct value once.
+    Values are divided by the group's maximum and counted per distinct value once. Steps go on
+    until no group's shape moves by more than the tolerance; if some still does after
+    ``limit`` steps, that raises. A group of one value has no finite shape and comes back as null.
     """
     v = df.where(F.col(value) > 0).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     top = v.groupBy(*keys).agg(F.max(value).alias("_top"))
     v = cut_lineage(nsjoin(v, top, keys).select(*keys, "_c", "_top", F.ln(F.col(value) / F.col("_top")).alias("_l")))
     ml = F.sum(F.col("_c") * F.col("_l")) / F.sum("_c")
     sd = F.sqrt(F.sum(F.col("_c") * F.col("_l") * F.col("_l")) / F.sum("_c") - ml * ml)
-    state = cut_lineage(v.groupBy(*keys).agg(F.sum("_c").alias("n"), F.max("_top").alias("_top"), ml.alias("_ml"), F.coalesce(ratio(F.lit(1.2825), sd), F.lit(1.0)).alias("shape")))
-    for _ in range(passes):
+    state = cut_lineage(v.groupBy(*keys).agg(F.sum("_c").alias("n"), F.max("_top").alias("_top"), ml.alias("_ml"), ratio(F.lit(1.2825), sd).alias("shape")))
+    for _ in range(limit):
         x = nsjoin(v.drop("_top"), state, keys)
         p = F.col("_c") * F.exp(F.col("shape") * F.col("_l"))
         s = x.groupBy(*keys, "n", "_top", "_ml", "shape").agg(F.sum(p).alias("_a"), F.sum(p * F.col("_l")).alias("_b"), F.sum(p * F.col("_l") * F.col("_l")).alias("_d"))
         f = F.col("_b") / F.col("_a") - 1 / F.col("shape") - F.col("_ml")
         slope = (F.col("_d") * F.col("_a") - F.col("_b") * F.col("_b")) / (F.col("_a") * F.col("_a")) + 1 / (F.col("shape") * F.col("shape"))
         step = F.greatest(F.col("shape") - f / slope, F.col("shape") / 4)
-        state = cut_lineage(s.select(*keys, "n", "_top", "_ml", step.alias("shape")))
+        state = cut_lineage(s.select(*keys, "n", "_top", "_ml", step.alias("shape"), F.abs(step / F.col("shape") - 1).alias("_moved")))
+        moved = state.agg(F.max("_moved")).first()[0]
+        state = state.drop("_moved")
+        if moved is None or moved <= tolerance:
+            break
+    else:
+        raise RuntimeError(f"Weibull shapes still move by {moved} after {limit} steps")
     x = nsjoin(v.drop("_top"), state, keys)
     return x.groupBy(*keys, "n", "shape").agg((F.first("_top") * F.pow(F.sum(F.col("_c") * F.exp(F.col("shape") * F.col("_l"))) / F.col("n"), 1 / F.col("shape"))).alias("scale"))
 
