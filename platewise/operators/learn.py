@@ -136,10 +136,10 @@ def case_control_rows(df: DataFrame, groups: list[str], drug: str, control: Colu
 
 
 def newton_step(rows: DataFrame, models: DataFrame, on: list[str], features: list[str], train: Column) -> DataFrame:
-    """One regularised logistic step for every model; models = keys, c, beta."""
-    keys = [c for c in models.columns if c not in ("beta",)]
+    """One regularised logistic step for every model; models = keys, c, beta. Adds the largest move as ``_moved``."""
+    keys = [c for c in models.columns if c not in ("beta", "_moved")]
     x = [F.lit(1.0)] + [F.col(f) for f in features]
-    j = nsjoin(rows, models, on).where(train)
+    j = nsjoin(rows, models.drop("_moved"), on).where(train)
     eta = reduce(lambda a, b: a + b, [F.col("beta")[i] * v for i, v in enumerate(x)])
     j = j.withColumn("_p", 1 / (1 + F.exp(-eta))).withColumn("_w", F.col("_p") * (1 - F.col("_p")))
     d = len(x)
@@ -151,29 +151,39 @@ def newton_step(rows: DataFrame, models: DataFrame, on: list[str], features: lis
 
     def solve(batches):
         for pdf in batches:
-            new = []
+            new, moved = [], []
             for beta, s, c in zip(pdf["beta"], pdf["_s"], pdf["c"]):
                 b, s = np.asarray(beta, float), np.asarray(s, float)
                 pen = np.full(d, 1.0 / c)
                 pen[0] = 0.0
                 g, h = s[:d] + pen * b, s[d:].reshape(d, d) + np.diag(pen)
                 step = np.linalg.lstsq(h, g, rcond=None)[0]
-                new.append(b - np.clip(step, -20, 20))
+                new.append(b - np.clip(step, -20, 20))  # a damped step; the caller goes on until none moves
+                moved.append(float(np.abs(step).max()))
             pdf = pdf.drop(columns="_s")
             pdf["beta"] = new
-            yield pdf
+            yield pdf.assign(_moved=moved)
 
-    return cut_lineage(packed.mapInPandas(solve, packed.drop("_s").schema))
+    return cut_lineage(packed.mapInPandas(solve, packed.drop("_s").schema.add("_moved", "double")))
 
 
-def fit_and_score(rows: DataFrame, keys: list[str], features: list[str], settings: DataFrame, steps: int = 6) -> tuple[DataFrame, DataFrame]:
+def fit_and_score(rows: DataFrame, keys: list[str], features: list[str], settings: DataFrame, steps: int = 60, tolerance: float = 1e-7) -> tuple[DataFrame, DataFrame]:
     """Fit a model per (keys, c, fold) on the rows outside its fold; held-out AUC per model.
 
-    settings: (keys, c, fold). rows carry ``_fold``.
+    settings: (keys, c, fold). rows carry ``_fold``. Newton steps go on until no coefficient of any
+    model moves by more than the tolerance; if some still does after ``steps``, that raises. A
+    model without training rows comes back with null coefficients.
     """
-    models = cut_lineage(settings.withColumn("beta", F.array(*[F.lit(0.0)] * (len(features) + 1))))
+    settings = cut_lineage(settings)
+    models = settings.withColumn("beta", F.array(*[F.lit(0.0)] * (len(features) + 1)))
     for _ in range(steps):
         models = newton_step(rows, models, keys, features, F.col("_fold") != F.col("fold"))
+        moved = models.agg(F.max("_moved")).first()[0]
+        if moved is None or moved <= tolerance:
+            break
+    else:
+        raise RuntimeError(f"logistic models still move by {moved} after {steps} steps")
+    models = nsjoin(settings, models.drop("_moved"), [*keys, "c", "fold"], "left")
     held = nsjoin(rows, models, keys).where(F.col("_fold") == F.col("fold"))
     eta = reduce(lambda a, b: a + b, [F.col("beta")[0]] + [F.col("beta")[i + 1] * F.col(f) for i, f in enumerate(features)])
     scores = held.select(*keys, "c", "fold", "label", eta.alias("score"))
@@ -182,7 +192,7 @@ def fit_and_score(rows: DataFrame, keys: list[str], features: list[str], setting
 
 
 def drug_classifier(rows: DataFrame, keys: list[str], ids: list[str], features: list[str], c_grid: list[float] | None = None,
-                    param_folds: int = PARAM_FOLDS, folds: int = MODEL_FOLDS, steps: int = 6, seed: str = "clf") -> DataFrame:
+                    param_folds: int = PARAM_FOLDS, folds: int = MODEL_FOLDS, steps: int = 60, seed: str = "clf") -> DataFrame:
     """Per key: C by cross-validated AUC on one half, then AUC and coefficients over folds of the other half.
 
     Returns keys, c, auc_mean, auc_std and the per-feature mean and sd of the coefficients.

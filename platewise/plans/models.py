@@ -70,13 +70,13 @@ def _scaled(t):
 
 @query("drug_vs_control_classifier")
 def drug_vs_control_classifier(t):
-    r = L.drug_vs_control_classifier(_scaled(t), ["line"], "target", F.col("ctrl"), ["uuid"], FEATURES, c_grid=[5e-4, 1e-3, 1e-2], param_folds=3, folds=5, steps=4)
+    r = L.drug_vs_control_classifier(_scaled(t), ["line"], "target", F.col("ctrl"), ["uuid"], FEATURES, folds=10)
     return r6(r, *[c for c in r.columns if c not in ("line", "target", "c")])
 
 
 @query("drug_vs_control_by_rep")
 def drug_vs_control_by_rep(t):
-    r = L.drug_vs_control_classifier(_scaled(t), ["line", "rep"], "target", F.col("ctrl"), ["uuid"], FEATURES, c_grid=[1e-2], folds=3, steps=4)
+    r = L.drug_vs_control_classifier(_scaled(t), ["line", "rep"], "target", F.col("ctrl"), ["uuid"], FEATURES, folds=10)
     return r6(r, *[c for c in r.columns if c not in ("line", "rep", "target", "c")])
 
 
