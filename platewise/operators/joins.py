@@ -77,26 +77,22 @@ def join_interval_count(intervals: DataFrame, reads: DataFrame, ids: list[str],
     """Reads that overlap each half-open interval, by counting instead of pairing.
 
     Overlaps = reads starting before the interval's stop minus reads ending at or
-    before its start. Read ends are counted per bin and per position, so a deep
-    region is reduced map-side and no (interval, read) pair is formed.
+    before its start. Read ends are counted per position, so a deep region is reduced
+    map-side; both are then numbers from one running sum over positions, bin by bin, in
+    linear work. A bin has at most 2 * ``width`` rows.
     """
     both = lambda x, y: F.explode(F.array(
         F.struct(F.lit("s").alias("_kind"), x.cast("long").alias("_at")), F.struct(F.lit("e").alias("_kind"), y.cast("long").alias("_at"))))
-    bin_of = F.floor(F.col("_at") / width).alias("_bin")
     ends = reads.select(chrom, both(F.col(read_start), F.col(read_stop)).alias("_x")).select(chrom, "_x.*")
-    at = ends.groupBy(chrom, "_kind", "_at").agg(F.count(F.lit(1)).alias("_c")).select("*", bin_of)
+    at = ends.groupBy(chrom, "_kind", "_at").agg(F.count(F.lit(1)).alias("_c")).withColumn("_ask", F.lit(0))
     # reads starting before the stop, reads ending before start + 1
-    asks = intervals.select(*ids, chrom, both(F.col(stop), F.col(start) + 1).alias("_x")).select(*ids, chrom, "_x.*").select("*", bin_of)
-    # whole bins before, as a running sum over (chrom, kind)'s bins, blocks of bins first
-    bins = at.groupBy(chrom, "_kind", "_bin").agg(F.sum("_c").alias("_c"))
-    marks = asks.select(chrom, "_kind", "_bin").distinct().withColumn("_c", F.lit(0).cast("long"))
-    cells = bins.unionByName(marks).groupBy(chrom, "_kind", "_bin").agg(F.sum("_c").alias("_c")).withColumn("_block", F.floor(F.col("_bin") / 10_000))
-    before = running(cells, [chrom, "_kind"], "_block", [F.col("_bin").asc()], {"c": F.col("_c")}).select(chrom, "_kind", "_bin", "before_c")
-    asked = nsjoin(asks, before, [chrom, "_kind", "_bin"])
-    inner = at.select(chrom, "_kind", "_bin", F.col("_at").alias("_pos"), "_c")
-    within = nsjoin(asked.select(*ids, chrom, "_kind", "_bin", "_at"), inner, [chrom, "_kind", "_bin"]).where("_pos < _at").groupBy(*ids, "_kind").agg(F.sum("_c").alias("_w"))
-    upto = nsjoin(asked, within, [*ids, "_kind"], "left").withColumn("_u", F.col("before_c") + F.coalesce("_w", F.lit(0)))
-    counts = upto.groupBy(*ids).agg(F.sum(F.when(F.col("_kind") == "s", F.col("_u")).otherwise(-F.col("_u"))).alias("count"))
+    asks = intervals.select(*ids, chrom, both(F.col(stop), F.col(start) + 1).alias("_x")).select(*ids, chrom, "_x.*")
+    marks = asks.select(chrom, "_kind", "_at").distinct().select("*", F.lit(0).cast("long").alias("_c"), F.lit(1).alias("_ask"))
+    cells = at.unionByName(marks).withColumn("_bin", F.floor(F.col("_at") / width))
+    # positions asked for come before the ends there: the sum before one is what lies strictly below
+    sums = running(cells, [chrom, "_kind"], "_bin", [F.col("_at").asc(), F.col("_ask").desc()], {"c": F.col("_c")})
+    upto = nsjoin(asks, sums.where("_ask = 1").select(chrom, "_kind", "_at", "before_c"), [chrom, "_kind", "_at"])
+    counts = upto.groupBy(*ids).agg(F.sum(F.when(F.col("_kind") == "s", F.col("before_c")).otherwise(-F.col("before_c"))).alias("count"))
     return nsjoin(intervals, counts, ids, "left")
 
 
