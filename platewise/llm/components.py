@@ -26,7 +26,7 @@ def connected(edges: DataFrame) -> DataFrame:
         mark = (seen["n"], seen["h"])
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.greatest("b", "m").alias("x"), F.least("b", "m").alias("y")).filter("x <> y")
         now = cut_lineage(small.unionByName(low.select(F.col("a").alias("x"), F.col("m").alias("y"))).distinct().select(F.col("x").alias("a"), F.col("y").alias("b")))

@@ -8,11 +8,12 @@ over distinct sets. Of each set, minwise tokens under ``POSITIONS`` hash functio
   0.00001 at 0.85 with 6 trees, 0.00006 at 0.8.
 * A node whose members are all in one component already is done; after the first tree that is
   nearly every node of true copies.
-* A node of up to ``SMALL`` sets is compared exhaustively, on the full sets, in one task.
-* A larger node is dealt into chunks of that size. Each chunk is compared exhaustively and with the
-  node's pivot, so a large group of copies becomes one component in linear work. If the node still
-  holds several components, its members branch by two further tokens, chosen by the path so far.
-* What is still large and mixed after ``LEVELS`` tokens is compared chunk by chunk, exactly.
+* A node of up to ``CHUNK`` sets is compared exhaustively, on the full sets, in one task; one of up
+  to ``BLOCKS`` times that size in blocks, every two blocks in a task.
+* A larger node is dealt into chunks. Each chunk is compared exhaustively and with the node's
+  pivot, so a large group of copies becomes one component in linear work. If the node still
+  holds several components, its members branch by a further token, chosen by the path so far.
+* What is still larger than that and mixed after ``LEVELS`` tokens is compared in blocks too, exactly.
 
 Links are found by intersection of the full sets of 64-bit shingle hashes, never from the tokens.
 Only links between different components are reported, so copies are not expanded into pairs.
@@ -33,7 +34,8 @@ from platewise.llm.components import connected
 from platewise.session import cut_lineage
 
 POSITIONS = 24
-SMALL = 64
+CHUNK = 512
+BLOCKS = 8
 LEVELS = 6
 MULTIPLIERS = [int(x) | 1 for x in mixed(np.arange(1, POSITIONS + 3, dtype=U64) * U64(0x9E3779B97F4A7C15))]
 
@@ -122,17 +124,23 @@ def links_of_node(v: list[int], label: list[int], sets: list[np.ndarray], percen
             table = np.zeros((n, 16384), np.float32)
             table[rows[lo:hi], cols[lo:hi] - at] = 1
             shared += (table @ table.T).astype(np.int64)
-    out = []
-    for i in range(n):
-        for j in range(i):
-            a, b = find(label[i]), find(label[j])
-            if a == b or 100 * min(sizes[i], sizes[j]) < percent * max(sizes[i], sizes[j]):
-                continue
-            both = int(shared[i, j]) if shared is not None else len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if linked(sizes[i], sizes[j], both, percent):
-                root[max(a, b)] = min(a, b)
-                out.append((v[i], v[j]))
-    return out
+    if shared is not None:
+        size = np.array(sizes)
+        near = 100 * shared >= percent * (size[:, None] + size[None, :] - shared)
+        pairs = np.argwhere(np.tril(near, -1)).tolist()
+    else:
+        pairs = [(i, j) for i in range(n) for j in range(i) if 100 * min(sizes[i], sizes[j]) >= percent * max(sizes[i], sizes[j])]
+    least = dict(zip(label, v, strict=True))
+    for x, y in zip(label, v, strict=True):
+        least[x] = min(least[x], y)
+    joined = False
+    for i, j in pairs:
+        a, b = find(label[i]), find(label[j])
+        if a != b and (shared is not None or linked(sizes[i], sizes[j], len(np.intersect1d(sets[i], sets[j], assume_unique=True)), percent)):
+            root[max(a, b)] = min(a, b)
+            joined = True
+    # one link from each old component to the first set of what it has become part of
+    return [(least[x], least[find(x)]) for x in least if find(x) != x] if joined else []
 
 
 def compare_nodes(members: DataFrame, width: int, percent: int) -> DataFrame:
@@ -146,7 +154,10 @@ def compare_nodes(members: DataFrame, width: int, percent: int) -> DataFrame:
         def finish():
             if len(rows) > 1 and len({x for x, _ in rows.values()}) > 1:
                 vs = list(rows)
-                return links_of_node(vs, [rows[x][0] for x in vs], shingle_sets([rows[x][1] for x in vs], width, hashes), percent)
+                sets: list[np.ndarray] = []
+                for x in vs:  # one by one: texts may be long
+                    sets += shingle_sets([rows[x][1]], width, hashes)
+                return links_of_node(vs, [rows[x][0] for x in vs], sets, percent)
             return []
 
         found: list[tuple[int, int]] = []
@@ -199,32 +210,30 @@ def near_components(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
                 break
             level += 1
             continue
-        chunks = F.ceil(F.col("size") / SMALL).cast("int")
-        member = lab.join(mixed_nodes, "node")
+        chunks = F.ceil(F.col("size") / CHUNK).cast("int")
         last = level > LEVELS
-        chunk = F.pmod(F.xxhash64("v"), chunks).cast("int")
+        large = chunks > (BLOCKS if not last else 1 << 30)
+        member = lab.join(mixed_nodes, "node").withColumn("chunk", F.pmod(F.xxhash64("v"), chunks).cast("int"))
+        # every pair of a node's chunks is a task; of a large node only the chunks are, each with the pivot
+        others = F.when(large, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), chunks - 1))
+        dealt = member.select("node", "v", "label", "chunk", F.explode(others).alias("other"), (chunks > 1).alias("split"))
+        task = key("node", F.least("chunk", "other"), F.greatest("chunk", "other"), F.lit(-1))
+        dealt = dealt.select(F.when(F.col("split"), task).otherwise(F.col("node")).alias("node"), "v", "label")
         if not last:
-            dealt = member.select(F.when(chunks > 1, key("node", chunk, F.lit(-1))).otherwise(F.col("node")).alias("node"), "v", "label")
-            pivots = mixed_nodes.filter(chunks > 1).select("node", "pivot", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
-            pivots = pivots.select(key("node", "chunk", F.lit(-1)).alias("node"), "pivot.v", "pivot.label")
-            dealt = dealt.unionByName(pivots)
-        else:
-            # every pair of chunks of what no token has split
-            grid = F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other")
-            dealt = member.select("node", "v", "label", chunk.alias("chunk"), grid).select(key("node", F.least("chunk", "other"), F.greatest("chunk", "other"), F.lit(-2)).alias("node"), "v", "label")
+            pivots = mixed_nodes.filter(large).select("node", "pivot", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(-1).alias("other"))
+            dealt = dealt.unionByName(pivots.select(task.alias("node"), "pivot.v", "pivot.label"))
         found = compare_nodes(dealt.join(store, "v"), width, percent)
         links = cut_lineage(found if links is None else links.unionByName(found))
         labels = cut_lineage(connected(links))
-        big = mixed_nodes.filter(chunks > 1).select("node") if not last else None
+        big = mixed_nodes.filter(large).select("node") if not last else None
         if big is None or big.isEmpty():
             waiting = None
             if level >= 2:
                 break
         else:
             onward = lab.select("node", "v").join(big, "node").join(one.select("v", "tokens"), "v")
-            branch = F.explode(F.array(F.lit(0), F.lit(1))).alias("branch")
-            onward = onward.select("node", "v", "tokens", branch).withColumn("at", F.pmod(F.xxhash64("node", "branch"), F.lit(POSITIONS - trees)).cast("int") + trees + 1)
-            onward = onward.select(key("node", "branch", F.element_at("tokens", F.col("at"))).alias("node"), "v")
+            onward = onward.withColumn("at", F.pmod(key("node"), F.lit(POSITIONS - trees)).cast("int") + trees + 1)
+            onward = onward.select(key("node", F.element_at("tokens", F.col("at"))).alias("node"), "v")
             waiting = cut_lineage(onward)
         level += 1
     least = sets.filter("v is not null").groupBy("v").agg(F.min("id").alias("id"))

@@ -82,11 +82,13 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("small,percent", [(64, 85), (4, 80)])
-def test_near_documents(spark, monkeypatch, small, percent):
+@pytest.mark.parametrize("chunk,blocks,levels,percent", [(256, 16, 6, 85), (6, 2, 6, 85), (4, 1, 1, 80)])
+def test_near_documents(spark, monkeypatch, chunk, blocks, levels, percent):
     from platewise.llm import near_dedup as d
 
-    monkeypatch.setattr(d, "SMALL", small)
+    monkeypatch.setattr(d, "CHUNK", chunk)
+    monkeypatch.setattr(d, "BLOCKS", blocks)
+    monkeypatch.setattr(d, "LEVELS", levels)
     rows = near_rows() + awkward_texts()
     sets = []
     for _, t in rows:
