@@ -155,8 +155,12 @@ def compare_nodes(members: DataFrame, width: int, percent: int) -> DataFrame:
             if len(rows) > 1 and len({x for x, _ in rows.values()}) > 1:
                 vs = list(rows)
                 sets: list[np.ndarray] = []
-                for x in vs:  # one by one: texts may be long
-                    sets += shingle_sets([rows[x][1]], width, hashes)
+                part: list[bytes] = []
+                for x in vs:  # texts may be long: a MB or so at a time
+                    part.append(rows[x][1])
+                    if x == vs[-1] or sum(map(len, part)) > 1 << 20:
+                        sets += shingle_sets(part, width, hashes)
+                        part = []
                 return links_of_node(vs, [rows[x][0] for x in vs], sets, percent)
             return []
 
