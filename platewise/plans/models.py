@@ -14,7 +14,7 @@ from platewise.plans.registry import FEATURES, LONG, OBJ, query
 from platewise.plans.stats import r6
 from platewise.session import cut_lineage
 
-DIMS = [f"e{i}" for i in range(1, 17)]
+DIMS = [f"e{i}" for i in range(1, 65)]
 
 
 def emb_wide(t):
