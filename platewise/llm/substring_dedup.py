@@ -33,9 +33,10 @@ BUCKET_WORDS = 1_000_000  # windows in a bucket, about
 CHUNK_BYTES = 6 << 20  # text hashed by a task before it sends the entries
 NAMES = ["probe_high", "probe_low", "k1", "k2", "runs", "gaps", "high", "low", "told"]
 ENTRIES = "bucket int, " + ", ".join(f"{n} binary" for n in NAMES)
-HITS = "k1 long, k2 long, at binary"
+HITS = "part int, k1 binary, k2 binary, runs binary, gaps binary"
 SENT = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in NAMES)])
-FOUND = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.binary())])
+FOUND = pa.schema([("part", pa.int32()), *((n, pa.binary()) for n in ("k1", "k2", "runs", "gaps"))])
+PLACES = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("at", pa.binary())])
 
 
 def split_at(groups: np.ndarray, *arrays: np.ndarray):
@@ -132,8 +133,10 @@ def send(h: np.ndarray, owner: np.ndarray, place: np.ndarray, block: np.ndarray,
         rows.setdefault(b, [*empty])[2:8] = [*pack(owner[part], place[part], k1, k2), *halves(sent[part], exact, False)]
     out = [[b, *r] for b, r in rows.items()]
     at = np.flatnonzero(told)
-    for o, part in split_at(owner[at], place[at]):
-        out.append([int(k1[o]) % buckets, b"", b"", k1[o:o + 1].tobytes(), k2[o:o + 1].tobytes(), b"", b"", b"", b"", part.astype(np.uint32).tobytes()])
+    bucket = k1[owner[at]] % buckets
+    by = np.argsort(bucket, kind="stable")
+    for b, part in split_at(bucket[by], at[by]):
+        out.append([b, b"", b"", *pack(owner[part], place[part], k1, k2), b"", b"", b"1"])
     cols = list(zip(*out, strict=True)) if out else [[]] * (len(NAMES) + 1)
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, SENT, strict=True)], schema=SENT)
 
@@ -172,22 +175,25 @@ def probe_blocks(texts_: DataFrame, block: int, buckets: int) -> DataFrame:
     return texts_.select("text", "k1", "k2").mapInArrow(run, ENTRIES)
 
 
-def bucket_hits(entries: DataFrame, exact: bool) -> DataFrame:
-    """Places whose hash has come from another place too, by text, and those that a chunk has told."""
+def joined_parts(rows: list[dict]) -> tuple[np.ndarray, ...]:
+    """k1 and k2 of all texts of some packed rows; text and place of each entry."""
+    parts = [unpack(r) for r in rows]
+    base = np.cumsum([0, *(len(p[0]) for p in parts)])
+    none = np.zeros(0, np.int64)
+    k1, k2, place = (np.concatenate([none, *(p[i] for p in parts)]) for i in (0, 1, 3))
+    return k1, k2, np.concatenate([none, *(p[2] + b for p, b in zip(parts, base, strict=False))]), place
+
+
+def bucket_hits(entries: DataFrame, exact: bool, parts: int) -> DataFrame:
+    """Places whose hash has come from another place too, and those a chunk has told, packed by parts of the texts."""
 
     def one(table: pa.Table) -> pa.Table:
         rows = table.select(NAMES).to_pylist()
-        told = [(r["k1"], r["k2"], r["told"]) for r in rows if r["told"]]
+        told = [r for r in rows if r["told"]]
         rows = [r for r in rows if not r["told"]]
-        parts = [unpack(r) for r in rows]
-        base = np.cumsum([0, *(len(p[0]) for p in parts)])
-        none = np.zeros(0, np.int64)
-        k1, k2 = (np.concatenate([none, *(p[i] for p in parts)]) for i in (0, 1))
-        owner = np.concatenate([none, *(p[2] + b for p, b in zip(parts, base, strict=False))])
-        place = np.concatenate([none, *(p[3] for p in parts)])
+        k1, k2, owner, place = joined_parts(rows)
         h = np.concatenate([np.zeros(0, U64), *(joined_halves(r["high"], r["low"], exact, False) for r in rows)])
         bare = np.sort(np.concatenate([np.zeros(0, U64), *(joined_halves(r["probe_high"], r["probe_low"], exact, True) for r in rows)]))
-        del parts, rows
         order = np.argsort(h, kind="stable")
         sh = h[order]
         twice = np.zeros(len(h), bool)
@@ -199,14 +205,32 @@ def bucket_hits(entries: DataFrame, exact: bool) -> DataFrame:
         hit = np.zeros(len(h), bool)
         hit[order] = twice
         at = np.flatnonzero(hit)
-        found = [(int(k1[o]), int(k2[o]), p.astype(np.uint32).tobytes()) for o, p in split_at(owner[at], place[at])]
-        found += [(int(np.frombuffer(a, np.int64)[0]), int(np.frombuffer(b, np.int64)[0]), p) for a, b, p in told]
-        cols = list(zip(*found, strict=True)) if found else [[]] * 3
+        part = k1[owner[at]] % parts
+        by = np.argsort(part, kind="stable")
+        out = [[p, *pack(owner[i], place[i], k1, k2)] for p, i in split_at(part[by], at[by])]
+        # told places came to the bucket that is their texts' part
+        out += [[int(np.frombuffer(r["k1"], np.int64)[0]) % parts, r["k1"], r["k2"], r["runs"], r["gaps"]] for r in told]
+        cols = list(zip(*out, strict=True)) if out else [[]] * 5
         return pa.table([pa.array(list(c), f.type) for c, f in zip(cols, FOUND, strict=True)], schema=FOUND)
 
     return entries.groupBy("bucket").applyInArrow(one, HITS)
 
 
+def by_text(hits: DataFrame) -> DataFrame:
+    """One row per text with a hit: its keys and its places."""
+
+    def one(table: pa.Table) -> pa.Table:
+        k1, k2, owner, place = joined_parts(table.drop_columns(["part"]).to_pylist())
+        order = np.lexsort((place, k2[owner], k1[owner]))
+        owner, place = owner[order], place[order]
+        a, b = k1[owner], k2[owner]
+        new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+        at = [np.unique(p).astype(np.uint32).tobytes() for p in np.split(place, new[1:])] if len(new) else []
+        return pa.table([pa.array(a[new]), pa.array(b[new]), pa.array(at, pa.binary())], schema=PLACES)
+
+    return hits.groupBy("part").applyInArrow(one, "k1 long, k2 long, at binary")
+
+
 def window_entries(joined: DataFrame, block: int, width: int, buckets: int) -> DataFrame:
     """Entries of the ``width``-word windows that hold an anchor. All go with their places."""
 
@@ -222,8 +246,7 @@ def window_entries(joined: DataFrame, block: int, width: int, buckets: int) -> D
                 first = np.cumsum(counts) - counts
                 marks = np.zeros(int(counts.sum()) + 1, np.int64)
                 for i, anchors in enumerate(column(part, "at").to_pylist()):
-                    for a in anchors:
-                        marks[first[i] + np.frombuffer(a, np.uint32).astype(np.int64) + 1] = 1
+                    marks[first[i] + np.frombuffer(anchors, np.uint32).astype(np.int64) + 1] = 1
                 upto = np.cumsum(marks)
                 inside = upto[starts + (width - block) + 1] > upto[starts]
                 starts, owner = starts[inside], owner[inside]
@@ -236,10 +259,6 @@ def window_entries(joined: DataFrame, block: int, width: int, buckets: int) -> D
     return joined.mapInArrow(run, ENTRIES)
 
 
-def by_text(hits: DataFrame) -> DataFrame:
-    return hits.groupBy("k1", "k2").agg(F.collect_set("at").alias("at"))
-
-
 def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", text_col: str = "text", digest: bool = True) -> DataFrame:
     """One row per text: id, n_words, n_removed, and the kept words as a digest or as ``kept_text``."""
     if width < 1:
@@ -250,10 +269,10 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
     buckets = max(1, -(-n_bytes // (6 * BUCKET_WORDS)))
     rows = keyed(docs, id_col, text_col)
     entries = probe_blocks(rows, block, buckets)
-    anchors = by_text(bucket_hits(entries, False))
+    anchors = by_text(bucket_hits(entries, False, buckets))
     # both joins read the same columns of the texts, so Spark shuffles them once
     longer = window_entries(rows.join(anchors, ["k1", "k2"]).select("id", "text", "k1", "k2", "at"), block, width, buckets)
-    repeats = by_text(bucket_hits(longer, True))
+    repeats = by_text(bucket_hits(longer, True, buckets))
     joined = rows.join(repeats, ["k1", "k2"], "left").select("id", "text", "at")
 
     def run(batches):
@@ -264,7 +283,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, id_col: str = "doc_id", tex
                     words = text.split()
                     gone = 0
                     if at:
-                        hit = covered(np.concatenate([np.frombuffer(a, np.uint32) for a in at]).astype(np.int64), width, len(words))
+                        hit = covered(np.frombuffer(at, np.uint32).astype(np.int64), width, len(words))
                         gone = int(hit.sum())
                         kept = b" ".join(w for w, x in zip(words, hit.tolist(), strict=True) if not x)
                     else:
