@@ -122,10 +122,10 @@ def _enriched(t):
 
 @query("cluster_label_enrichment", f"""WITH {ENRICH}, bh AS (SELECT *, min(least(1, p * m / r)) OVER (PARTITION BY line ORDER BY p DESC) AS padj
  FROM (SELECT *, count(*) OVER (PARTITION BY line) AS m, count(*) OVER (PARTITION BY line ORDER BY p) AS r FROM fp))
-SELECT line, cluster, label, a, round(CASE WHEN b = 0 OR c = 0 THEN 'Infinity'::DOUBLE ELSE a * d / (b * c)::DOUBLE END, 6) AS odds_ratio, round(least(p, 1), 7) AS p_value FROM bh""")
+SELECT line, cluster, label, a, round(CASE WHEN b = 0 OR c = 0 THEN 'Infinity'::DOUBLE ELSE a * d / (b * c)::DOUBLE END, 6) AS odds_ratio, round(least(p, 1), 7) AS p_value, round(least(padj, 1), 6) AS p_adj FROM bh""")
 def cluster_label_enrichment(t):
     e = _enriched(t)
-    return e.select("line", "cluster", "label", "a", rnd("odds_ratio").alias("odds_ratio"), rnd("p_value", 7).alias("p_value"))
+    return e.select("line", "cluster", "label", "a", rnd("odds_ratio").alias("odds_ratio"), rnd("p_value", 7).alias("p_value"), rnd("p_adj").alias("p_adj"))
 
 
 LABELS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -226,11 +226,13 @@ ob AS (SELECT drug, genotype, count(*) AS n1, sum(auc) AS s1 FROM la JOIN mut US
 o AS (SELECT * FROM ob JOIN n USING (drug) WHERE n1 < n),
 sh AS (SELECT drug, perm, auc, row_number() OVER (PARTITION BY drug, perm ORDER BY md5(line || '_' || perm || '_perm')) AS k FROM la CROSS JOIN (SELECT unnest(range(1, {PERMS + 1})) AS perm)),
 pr AS (SELECT drug, perm, k AS n1, sum(auc) OVER (PARTITION BY drug, perm ORDER BY k) AS p FROM sh),
-d AS (SELECT drug, genotype, variance, s1 / n1 - (t - s1) / (n - n1) AS obs, p / n1 - (t - p) / (n - n1) AS sim FROM pr JOIN o USING (drug, n1))
-SELECT drug, genotype, round(any_value(obs), 6) AS estimate, round(any_value(variance), 6) AS variance, round((count_if(abs(sim) >= abs(obs) - 1e-9) + 1) / (count(*) + 1), 6) AS p_value FROM d GROUP BY ALL""")
+d AS (SELECT drug, genotype, variance, s1 / n1 - (t - s1) / (n - n1) AS obs, p / n1 - (t - p) / (n - n1) AS sim FROM pr JOIN o USING (drug, n1)),
+pv AS (SELECT drug, genotype, any_value(obs) AS estimate, any_value(variance) AS variance, (count_if(abs(sim) >= abs(obs) - 1e-9) + 1) / (count(*) + 1) AS p FROM d GROUP BY ALL),
+raw AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS raw FROM pv)
+SELECT drug, genotype, round(estimate, 6) AS estimate, round(variance, 6) AS variance, round(p, 6) AS p_value, round(least(1, min(raw) OVER (ORDER BY p DESC)), 6) AS p_adj FROM raw""")
 def permutation_test(t):
     p = T.permutation_test(_line_auc(t), "drug", "line", "auc", _mutations(t), "genotype", PERMS)
-    return r6(p.drop("p_adj"), "estimate", "variance", "p_value")
+    return r6(p, "estimate", "variance", "p_value", "p_adj")
 
 
 WILCOXON = f"""{OBJ}, r AS (SELECT line, ctrl, price, rank() OVER (PARTITION BY line ORDER BY price) + (count(*) OVER (PARTITION BY line, price) - 1) / 2 AS rk FROM obj),
