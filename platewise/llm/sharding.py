@@ -2,7 +2,8 @@
 
 Rows with equal text form an atomic group; groups are ordered by a 64-bit hash of the text. The
 smallest capacity for which greedy filling needs at most ``n_shards`` shards is found by binary
-search, and the order is cut there, so the largest shard is as small as contiguous cuts allow.
+search, so the largest shard is as small as contiguous cuts allow. Within that capacity the order
+is cut near equal shares of what is left: one group larger than a share doesn't starve the last shards.
 
 Only the parts of the order in which a cut can fall are ever looked at closely. The driver holds
 sums of hash ranges, splits the ranges that a cut of any still possible capacity may reach, and
@@ -72,38 +73,74 @@ def reachable(sums: np.ndarray, largest: np.ndarray, n_shards: int) -> np.ndarra
     return out
 
 
+def even_cuts(sums: np.ndarray, capacity: int, n_shards: int) -> tuple[list[int], list[int]]:
+    """First index of each shard but the first, near equal shares and within the capacity; and the indices that decided.
+
+    A cut leaves no more than the shards after it can hold, and takes no more than one can.
+    """
+    p = np.concatenate([[0], np.cumsum(sums)])
+    n = len(sums)
+    least = [n]  # where the last shards, each filled from the end, can begin at the earliest
+    for _ in range(n_shards - 1):
+        least.append(int(np.searchsorted(p, p[least[-1]] - capacity, side="left")))
+    cuts, near, start = [], [], 0
+    for left in range(n_shards, 1, -1):
+        share = p[start] + (p[n] - p[start]) / left
+        stop = int(np.searchsorted(p, share))
+        near += [stop - 1, stop]
+        if stop > 0 and stop <= n and share - p[stop - 1] < p[stop] - share:
+            stop -= 1
+        most = int(np.searchsorted(p, p[start] + capacity, side="right")) - 1
+        near += [most, least[left - 1] - 1] if not least[left - 1] <= stop <= most else []
+        start = min(max(stop, least[left - 1], start + 1), max(most, start), n)
+        cuts.append(start)
+    return cuts, [i for i in near if 0 <= i < n]
+
+
+Range = tuple[int, int, int, int, int]  # start, bits below it, bytes, largest group, groups
+
+
 def minimax_cuts(groups: DataFrame, n_shards: int) -> list[int]:
-    """Keys at which shards but the first begin, for a table of (key, size)."""
+    """Keys at which shards but the first begin, for a table of (key, size). Fewer groups give fewer."""
 
-    def summed(rows: DataFrame, shift: int) -> list[tuple[int, int, int, int]]:
+    def summed(rows: DataFrame, shift: int) -> list[Range]:
         start = F.shiftleft(F.shiftright("key", shift), shift)
         got = rows.groupBy(start.alias("start")).agg(F.sum("size").alias("sum"), F.max("size").alias("largest"), F.count("*").alias("n")).collect()
-        return sorted((r["start"], r["sum"], r["largest"], r["n"]) for r in got)
+        return sorted((r["start"], shift, r["sum"], r["largest"], r["n"]) for r in got)
 
-    shift = 64 - FIRST_BITS
-    ranges = [(s, shift, total, big, n) for s, total, big, n in summed(groups, shift)]
-    while True:
-        sums = np.array([r[2] for r in ranges], np.int64)
-        big = np.array([r[3] for r in ranges], np.int64)
-        hot = [i for i in np.flatnonzero(reachable(sums, big, n_shards)).tolist() if ranges[i][4] > 1] if len(ranges) else []
-        if not hot:
-            break
-        shifts = sorted({ranges[i][1] for i in hot})
-        fresh: dict[int, list] = {}
-        for old in shifts:
-            new = max(0, old - MORE_BITS)
+    def refined(ranges: list[Range], hot: list[int]) -> list[Range]:
+        """The ranges with those at ``hot`` split."""
+        fresh: dict[int, list[Range]] = {}
+        for old in sorted({ranges[i][1] for i in hot}):
             chosen = [i for i in hot if ranges[i][1] == old]
             wanted = groups.sparkSession.createDataFrame([(ranges[i][0],) for i in chosen], "start long")
             rows = groups.withColumn("start", F.shiftleft(F.shiftright("key", old), old)).join(wanted, "start", "left_semi").select("key", "size")
-            parts = summed(rows, new)
             starts = np.array([ranges[i][0] for i in chosen], np.int64)
-            for s, total, largest, n in parts:
-                fresh.setdefault(chosen[int(np.searchsorted(starts, s, side="right")) - 1], []).append((s, new, total, largest, n))
-        ranges = [x for i, r in enumerate(ranges) for x in (fresh.get(i) or [r])]
+            for part in summed(rows, max(0, old - MORE_BITS)):
+                fresh.setdefault(chosen[int(np.searchsorted(starts, part[0], side="right")) - 1], []).append(part)
+        return [x for i, r in enumerate(ranges) for x in (fresh.get(i) or [r])]
+
+    ranges = summed(groups, 64 - FIRST_BITS)
     if not ranges:
         return []
-    cuts = greedy_cuts(sums, smallest_capacity(sums, n_shards), n_shards)
-    return [ranges[i][0] for i in cuts]
+    while True:
+        sums, big = (np.array([r[k] for r in ranges], np.int64) for k in (2, 3))
+        hot = [i for i in np.flatnonzero(reachable(sums, big, n_shards)).tolist() if ranges[i][4] > 1]
+        if not hot:
+            break
+        ranges = refined(ranges, hot)
+    capacity = smallest_capacity(sums, n_shards)
+    while True:
+        sums = np.array([r[2] for r in ranges], np.int64)
+        cuts, near = even_cuts(sums, capacity, n_shards)
+        hot = sorted({i for i in near if ranges[i][4] > 1})
+        if not hot:
+            break
+        ranges = refined(ranges, hot)
+    edges = np.concatenate([[0], np.cumsum(sums)])[[0, *cuts, len(sums)]]
+    if np.diff(edges).max() > capacity:
+        cuts = greedy_cuts(sums, capacity, n_shards)
+    return [ranges[i][0] for i in cuts if i < len(ranges)]
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
