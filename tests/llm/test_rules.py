@@ -178,7 +178,7 @@ def test_shards_are_minimal_gapless_and_keep_copies_together(spark, monkeypatch)
     monkeypatch.setattr(sharding, "MORE_BITS", 1)
     monkeypatch.setattr(sharding, "SLOT_ROWS", 2)
     rnd = random.Random(5)
-    rows = [(i, "t" * rnd.choice([1, 5, 40, 200]) + str(rnd.randint(0, 60))) for i in range(300)] + awkward_texts()[:9] + awkward_texts()[10:]
+    rows = [(1000 + i, "t" * rnd.choice([1, 5, 40, 200]) + str(rnd.randint(0, 60))) for i in range(300)] + awkward_texts()[:9] + awkward_texts()[10:]
     df = table(spark, rows)
     got = sharding.shard_documents(df, 7).collect()
     assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
