@@ -29,6 +29,7 @@ SMALL_GROUP = 100_000  # rows a single aggregate buffer may hold
 WHOLE_GROUP = 10_000
 BUCKETS = 4096  # most pieces the order axis is cut into
 ROWS_PER_BUCKET = 50_000
+TEXT_CUTS = 128  # pieces of a text column's order
 
 
 def _mid(name: str) -> str:
@@ -162,6 +163,20 @@ def order_bucket(df: DataFrame, value: str, name: str = "_b", cuts: list[float]
     return split.transform(df.withColumn("_x", x)).withColumn(name, F.when(x.isNull(), -1).otherwise(F.col("_bx").cast("int"))).drop("_x", "_bx")
 
 
+def text_bucket(df: DataFrame, value: str, name: str = "_b") -> DataFrame:
+    """Monotone bucket number of a text column: how many of TEXT_CUTS sampled values are at or below it.
+
+    Whole texts are compared, so a prefix that all values share doesn't matter. Where the
+    cuts fall changes the work of a task only, never a result.
+    """
+    text = F.col(value).cast("string")
+    sample = df.where(text.isNotNull()).select(text.alias("_x")).orderBy(F.rand(7)).limit(TEXT_CUTS * 8).collect()
+    cuts = sorted(r["_x"] for r in sample)[7::8]
+    if not cuts:
+        return df.withColumn(name, one_bucket(value))
+    return df.withColumn(name, F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= text)))
+
+
 def running(df: DataFrame, keys: list[str], bucket: str, order: list[Column], sums: dict[str, Column],
             descending: bool = False) -> DataFrame:
     """Exclusive running sums and group totals per (keys), bucket by bucket.

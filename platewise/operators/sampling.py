@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from platewise.functions.expr import hash_unit, nsjoin, with_group_stats
-from platewise.operators.order import average_rank, hash_order, order_bucket, running
+from platewise.operators.order import average_rank, hash_order, order_bucket, running, text_bucket
 
 
 def number_in_group(df: DataFrame, keys: list[str], by: str, name: str, prefix: str | None = None) -> DataFrame:
@@ -19,7 +19,7 @@ def number_in_group(df: DataFrame, keys: list[str], by: str, name: str, prefix:
     """
     d = df.select(*keys, by).distinct()
     numeric = isinstance(df.schema[by].dataType, T.NumericType)
-    d = order_bucket(d, by) if numeric else d.withColumn("_b", F.substring(F.col(by).cast("string"), 1, 10))
+    d = order_bucket(d, by) if numeric else text_bucket(d, by)
     r = running(d, keys, "_b", [F.col(by).asc()], {"one": F.lit(1).cast("long")})
     n = F.col("before_one") + 1
     return nsjoin(df, r.select(*keys, by, (F.concat(F.lit(prefix), n.cast("string")) if prefix else n).alias(name)), [*keys, by])
