@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20  # text handled at once in a task
-CACHE_WORDS = 500_000  # distinct words remembered in each of two generations
+CACHE_WORDS = 300_000  # distinct words remembered in each of two generations
 U64 = np.uint64
 STEP = 0x9E3779B97F4A7C15  # odd multiplier of the rolling hash
 
