@@ -13,9 +13,12 @@ Two lines are linked if at most ``tau`` edits of characters turn one into the ot
    first of its common keys, so no list of pairs is needed to count links. A key of over ``GROUP``
    lines is dealt into blocks, and pairs of blocks are compared in tasks of their own.
 
+A line of at most ``tau`` characters has no segment that must stay. Two such lines are always within
+tau edits, so they are counted and not compared. A longer line within tau edits of one shares a
+character with it, so their keys are single characters.
+
 Classes are the connected components of the links. A line is stripped of white space at its ends;
-lines without words are left out. Lines shorter than ``MIN_CHARS`` form classes of equal lines
-only. Texts are told apart by 64-bit hashes. Null and empty texts have no lines. A repeated row
+lines without words are left out. Texts are told apart by 64-bit hashes. Null and empty texts have no lines. A repeated row
 shares its lines' places, so each of its copies keeps the same lines.
 """
 
@@ -35,10 +38,10 @@ from platewise.llm.near_dedup import row_key
 from platewise.session import cut_lineage
 
 TAU = 2
-MIN_CHARS = 20
+MIN_CHARS = 1  # the shortest line that is compared: every line with a word
 GROUP = 256
 MET = 200_000  # lines a task remembers
-FOUND, PROBE = 1, 2
+FOUND, PROBE, TINY = 1, 2, 4
 
 
 def lines_of(text: bytes) -> list[tuple[int, bytes]]:
@@ -76,22 +79,38 @@ def key_of(n: int, i: int, part: str, tau: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+@lru_cache(maxsize=20_000)
+def cuts(n: int, tau: int) -> tuple[tuple[int, int, int, int], ...]:
+    """Start, end, seed of the hash and role of every part of a line of n characters that is a key."""
+    if n <= tau:
+        return *((i, i + 1, n * (tau + 1), FOUND) for i in range(n)), (0, n, n * (tau + 1) + 1, TINY)
+    out = [(start, start + length, n * (tau + 1) + i, FOUND) for i, (start, length) in enumerate(segments(n, tau))]
+    for m in range(n, n - tau - 1, -1):
+        if m <= tau:
+            out += [(i, i + 1, m * (tau + 1), PROBE) for i in range(n)]
+            continue
+        for i, (_, length) in enumerate(segments(m, tau)):
+            out += [(at, at + length, m * (tau + 1) + i, PROBE) for at in places(n, n - m, i, tau)]
+    return tuple(out)
+
+
 def keys_of(line: str, tau: int) -> dict[int, int]:
-    """Keys under which a line is found, probes, or both."""
-    n, out = len(line), {}
-    for i, (start, length) in enumerate(segments(n, tau)):
-        out[key_of(n, i, line[start:start + length], tau)] = FOUND
-    for longer in range(min(tau, n) + 1):
-        for i, (_, length) in enumerate(segments(n - longer, tau)):
-            for at in places(n, longer, i, tau):
-                k = key_of(n - longer, i, line[at:at + length], tau)
-                out[k] = out.get(k, 0) | PROBE
+    """Keys under which a line is found, probes, or both; a line of at most tau characters has one of its own too."""
+    out: dict[int, int] = {}
+    whole = line.encode() if line.isascii() else None
+    for start, end, seed, role in cuts(len(line), tau):
+        h = xxhash.xxh3_64_intdigest(line[start:end].encode() if whole is None else whole[start:end], seed)
+        if h >> 63:
+            h -= 1 << 64
+        out[h] = out.get(h, 0) | role
     return out
 
 
 def first_key(short: str, long: str, tau: int) -> int | None:
     """The first key at which the longer line probes the other, in order of segments and places."""
     n = len(long)
+    if len(short) <= tau:
+        return next((key_of(len(short), 0, c, tau) for c in short if n > tau and c in long), None)
     for i, (start, length) in enumerate(segments(len(short), tau)):
         part = short[start:start + length]
         for at in places(n, n - len(short), i, tau):
@@ -184,7 +203,7 @@ def key_rows(docs: DataFrame, text_col: str, tau: int) -> DataFrame:
                 for _, s in lines_of(t):
                     h = line_hash(s)
                     line = s.decode("utf-8", "replace")
-                    if len(line) >= MIN_CHARS and met.new(h):
+                    if met.new(h):
                         found = keys_of(line, tau)
                         key += found.keys()
                         role += found.values()
@@ -204,7 +223,7 @@ def line_texts(docs: DataFrame, text_col: str) -> DataFrame:
         met = Met()
 
         def work(part):
-            got = {h: s for t in texts(part) for _, s in lines_of(t) if len(s) >= MIN_CHARS and met.new(h := line_hash(s))}
+            got = {h: s for t in texts(part) for _, s in lines_of(t) if met.new(h := line_hash(s))}
             yield batch_of(pa.schema([("v", pa.int64()), ("line", pa.string())]), v=list(got), line=[s.decode("utf-8", "replace") for s in got.values()])
 
         return work
@@ -213,7 +232,7 @@ def line_texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def meeting_keys(keys: DataFrame) -> DataFrame:
-    """Rows of the keys under which a line probes another, with the number of lines of the key."""
+    """Rows of the keys under which a line probes another, with the number of lines of the key; and those of tiny lines."""
 
     def run(batches):
         rest = [np.zeros(0, np.int64)] * 3
@@ -237,7 +256,7 @@ def meeting_keys(keys: DataFrame) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(first, len(key)))
             roles = np.bitwise_or.reduceat(role, first)
-            good = (size > 1) & (roles == FOUND | PROBE)
+            good = (size > 1) & (roles == FOUND | PROBE) | (roles == TINY)
             each = np.repeat(good, size)
             if each.any():
                 yield batch_of(MEET, key=key[each], v=v[each], role=role[each].astype(np.int8), size=np.repeat(size, size)[each])
@@ -337,7 +356,10 @@ def compare_keys(members: DataFrame, tau: int) -> DataFrame:
 
 def line_links(docs: DataFrame, tau: int = TAU, text_col: str = "text") -> DataFrame:
     """(v, class_id, n_links) of every line text that has a link."""
-    meet = cut_lineage(meeting_keys(key_rows(docs, text_col, tau)))
+    every = cut_lineage(meeting_keys(key_rows(docs, text_col, tau)))
+    tiny, meet = every.filter(F.col("role") == TINY).select("v"), every.filter(F.col("role") != TINY)
+    # any two lines of at most tau characters are linked
+    total = tiny.agg(F.count("*").alias("n"), F.min("v").alias("low")).first()
     lines = line_texts(docs, text_col).join(meet.select("v").distinct(), "v", "left_semi").dropDuplicates(["v"])
     blocks = F.ceil(F.col("size") / GROUP).cast("int")
     block = F.pmod(F.xxhash64("v"), blocks).cast("int")
@@ -346,7 +368,11 @@ def line_links(docs: DataFrame, tau: int = TAU, text_col: str = "text") -> DataF
         F.when(blocks > 1, F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.col("key")).alias("node"),
         "key", (F.col("block") != F.col("other")).alias("across"), "block", "v", "role",  # across: only pairs of two blocks are compared
     )
-    found = cut_lineage(compare_keys(dealt.join(lines, "v"), tau))
+    found = compare_keys(dealt.join(lines, "v"), tau)
+    if total["n"] > 1:
+        links = F.array(F.struct(F.lit(None).cast("long").alias("b"), F.lit(total["n"] - 1).cast("long").alias("n")), F.struct(F.lit(total["low"]).cast("long").alias("b"), F.lit(None).cast("long").alias("n")))
+        found = found.unionByName(tiny.select(F.col("v").alias("a"), F.explode(links).alias("x")).select("a", "x.*"))
+    found = cut_lineage(found)
     label = connected(found.filter("b is not null").select("a", "b"))
     count = found.filter("n is not null").groupBy(F.col("a").alias("v")).agg(F.sum("n").alias("n_links"))
     return count.join(label, "v").select("v", F.col("label").alias("class_id"), "n_links")

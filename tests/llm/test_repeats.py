@@ -209,6 +209,32 @@ def test_near_lines(spark, monkeypatch, group):
             assert [x for x in (r.text or "").split("\n") if x.strip()] == [old[k] for k in sorted(keep[r.doc_id])]
 
 
+@pytest.mark.parametrize("tau", [1, 2])
+def test_near_lines_of_any_length(spark, tau):
+    from platewise.llm import line_dedup as d
+
+    rnd = random.Random(29)
+    lines = ["".join(rnd.choices("abé", k=rnd.randint(1, 7))) for _ in range(60)]
+    lines += ["Heti eror anesti.", "Heti, eror anesti.", "a line of nineteen c", "a line of nineteen", "中", "中文"]
+    rows = [(i, "\n".join(lines[i::9])) for i in range(9)] + [(0, "\n".join(lines[::9]))]
+    texts = sorted(set(lines))
+    find, join = union(texts)
+    links = Counter()
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if distance(a, b) <= tau:
+                links[a] += 1
+                links[b] += 1
+                join(a, b)
+    got = d.dedup_lines(table(spark, rows), tau).drop("rid").collect()
+    assert len(got) == len(lines) + len(lines[::9])
+    line = lambda r: lines[r.doc_id::9][r.line_no]
+    assert {line(r): r.n_links for r in got} == {x: links[x] for x in texts}
+    pairs = {(find(line(r)), r.class_id) for r in got}
+    assert len(pairs) == len({x for x, _ in pairs}) == len({x for _, x in pairs})
+    assert len({(r.doc_id, r.line_no) for r in got if r.kept}) == len({find(x) for x in texts})
+
+
 def test_leaks(spark):
     from platewise.llm.decontaminate import SPAN, budget, drop_leaks, find_leaks, normal
 
