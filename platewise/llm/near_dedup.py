@@ -187,6 +187,18 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def near_components(docs: DataFrame, percent: int = 85, width: int = 5, trees: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: id, n_shingles, component_id (the least id reachable) and kept."""
+    sets, comp = components_of_sets(docs, percent, width, trees, id_col, text_col)
+    least = sets.filter("v is not null").groupBy("v").agg(F.min("id").alias("id"))
+    whole = least.join(comp, "v")
+    comp = whole.join(whole.groupBy("label").agg(F.min("id").alias("component_id")), "label").select("v", "component_id")
+    out = sets.select("id", "n", "v").join(comp, "v", "left")
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
+    ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def components_of_sets(docs: DataFrame, percent: int, width: int, trees: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The signatures of all texts, and (v, label) of every set: its component."""
     sets = cut_lineage(signatures(docs, width, id_col, text_col))
     one = cut_lineage(sets.filter("v is not null").groupBy("v").agg(F.min("rid").alias("rid"), F.first("tokens").alias("tokens")))
     key = lambda *parts: F.xxhash64(*parts)
@@ -240,23 +252,29 @@ def near_components(docs: DataFrame, percent: int = 85, width: int = 5, trees: i
             onward = onward.select(key("node", F.element_at("tokens", F.col("at"))).alias("node"), "v")
             waiting = cut_lineage(onward)
         level += 1
-    least = sets.filter("v is not null").groupBy("v").agg(F.min("id").alias("id"))
-    if labels is not None:
-        whole = least.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
-        comp = whole.join(whole.groupBy("label").agg(F.min("id").alias("component_id")), "label").select("v", "component_id")
-    else:
-        comp = least.select("v", F.col("id").alias("component_id"))
-    out = sets.select("id", "n", "v").join(comp, "v", "left")
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"),
-    ).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    every = one.select("v")
+    if labels is None:
+        return sets, every.withColumn("label", F.col("v"))
+    return sets, every.join(labels, "v", "left").withColumn("label", F.coalesce("label", "v"))
 
 
 def keep_representatives(docs: DataFrame, percent: int = 80, width: int = 5, trees: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that are the first of their component, with all their columns; rows of one id that repeat stay together."""
+    """One document of each component, with all its columns: that of the least id, null ids last.
+
+    Documents are told apart by id and text together. Of rows that repeat both, one stays. Texts
+    without words are in no component and all stay.
+    """
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key, at = (f"c{names.index(c)}" for c in (id_col, text_col))
-    gone = near_components(plain, percent, width, trees, key, at).filter(~F.col("kept")).select(F.col(key).alias("gone")).distinct()
-    # a null id is never the least of a component with other ids, and stays where it is alone
-    return plain.join(gone, F.col(key).eqNullSafe(F.col("gone")), "left_anti").toDF(*names)
+    sets, comp = components_of_sets(plain, percent, width, trees, key, at)
+    rows = sets.filter("v is not null").groupBy("v", "rid").agg(F.min("id").alias("id"), F.count("*").alias("times")).join(comp, "v")
+    first = F.min(F.struct(F.col("id").isNull().alias("without"), "id", "rid", "times")).alias("first")
+    best = rows.groupBy("label").agg(first).select("first.rid", "first.times")
+    judged = rows.select("rid").distinct().join(best, "rid", "left").filter("times is null or times > 1")
+    judged = cut_lineage(judged.select(F.col("rid").alias("judged"), F.col("times").isNotNull().alias("repeats")))
+    keyed = plain.withColumn("rid", row_key(key, at)).join(judged, F.col("rid") == F.col("judged"), "left")
+    left = keyed.filter("judged is null")
+    if not judged.filter("repeats").isEmpty():
+        left = left.unionByName(keyed.filter("repeats").dropDuplicates(["rid"]))
+    return left.select(*plain.columns).toDF(*names)

@@ -235,6 +235,20 @@ def test_near_lines_of_any_length(spark, tau):
     assert len({(r.doc_id, r.line_no) for r in got if r.kept}) == len({find(x) for x in texts})
 
 
+def test_representatives_of_repeated_and_null_ids(spark):
+    from platewise.llm.near_dedup import keep_representatives
+
+    rnd = random.Random(31)
+    a, b, c, d, e, f = (" ".join(words(rnd, 60, 10**6)) for _ in range(6))
+    rows = [(1, a), (2, a + " more"), (2, b), (3, b + " more"), (None, a + " again"), (None, c), (None, d), (None, d), (None, d + " more"), (4, e), (4, e), (5, None), (5, None), (None, ""), (6, f)]
+    left = keep_representatives(table(spark, rows), 80)
+    got = Counter((r.doc_id, r.text) for r in left.collect())
+    last = [k for k in got if k[1] and k[1].startswith(d)]
+    assert len(last) == 1 and last[0][0] is None and got.pop(last[0]) == 1
+    assert got == Counter({(1, a): 1, (2, b): 1, (None, c): 1, (4, e): 1, (5, None): 2, (None, ""): 1, (6, f): 1})
+    assert left.columns == table(spark, rows).columns
+
+
 def test_leaks(spark):
     from platewise.llm.decontaminate import SPAN, budget, drop_leaks, find_leaks, normal
 
