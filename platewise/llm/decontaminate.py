@@ -1,19 +1,23 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts are lower-cased and runs of white space become one space. Benchmark items are cut into
-windows of ``SPAN`` characters, half overlapping; a shorter item is one window. A document leaks an
-item if one of its regions is within the window's edit budget e of a window of the item:
-e = ``rate`` of its length, but at most what the lemma can bound.
+Texts are lower-cased and runs of white space become one space. A benchmark item has a window of
+``SPAN`` characters at every ``stride`` and at its end; a shorter item is one window. A document
+leaks an item if one of its regions is within the window's edit budget e of a window of the item:
+e = ``rate`` of its length, but at most what the lemma can bound. At a stride of 1 every excerpt
+of ``SPAN`` characters is found, wherever it starts; a larger stride leaves excerpts out.
 
 * Lemma: such a region shares at least ``n - q + 1 - q * e`` of the window's q-grams, on
   diagonals at most e apart. Shared q-grams are counted in bands of diagonals that overlap by e,
-  so some band holds all of them.
+  so some band holds all of them. An item's q-grams are indexed once, and windows slide over its
+  hits in a band.
+* A window whose q-grams all stand on one diagonal is found as it is.
 * Bands that reach the count are verified by an alignment kept to the band's diagonals, all
   candidates of a batch at once.
 
 The items are the query set: they go to the tasks in blocks of ``BLOCK_CHARS``, one pass each,
-so a benchmark of any size is met whole. Items of fewer than ``MIN_CHARS`` characters can't
-be told from chance and leak nowhere. Null and empty texts leak nothing. Repeated rows leak each.
+so a benchmark of any size is met whole. With ``short``, items of fewer than ``MIN_CHARS`` characters
+leak where they stand unchanged between characters that are not of a word; without, they leak nowhere.
+Null and empty texts leak nothing. Repeated rows leak each.
 """
 
 from __future__ import annotations
@@ -50,45 +54,48 @@ def budget(n: int, rate: float) -> int:
 
 
 class Windows:
-    """Windows of a block of items and the places of their q-grams, sorted by hash."""
+    """The items of a block and the places of their q-grams, sorted by hash."""
 
-    def __init__(self, items: list[tuple[int, str | None]], rate: float):
-        self.item, self.codes, self.text = [], [], []
-        gram, window, place = [], [], []
+    def __init__(self, items: list[tuple[int, str | None]], rate: float, stride: int, short: bool):
+        self.stride = stride
+        self.ids = [i for i, _ in items]
+        self.short: dict[int, dict[str, list[int]]] = {}  # length, text, items
+        self.item, self.codes = [], []
+        gram, item, place = [], [], []
         for number, (_, text) in enumerate(items):
             t = normal(text or "")
             if len(t) < MIN_CHARS:
+                if short and t:
+                    self.short.setdefault(len(t), {}).setdefault(t, []).append(number)
                 continue
-            starts = [0] if len(t) <= SPAN else [*range(0, len(t) - SPAN, SPAN // 2), len(t) - SPAN]
-            for s in starts:
-                part = t[s:s + SPAN]
-                c = codes(part)
-                h = rolling(c.astype(U64), Q)
-                gram.append(h)
-                window.append(np.full(len(h), len(self.item)))
-                place.append(np.arange(len(h)))
-                self.item.append(number)
-                self.codes.append(c)
-                self.text.append(part)
-        self.ids = [i for i, _ in items]
+            c = codes(t)
+            h = rolling(c.astype(U64), Q)
+            gram.append(h)
+            item.append(np.full(len(h), len(self.item)))
+            place.append(np.arange(len(h)))
+            self.item.append(number)
+            self.codes.append(c)
         self.item = np.array(self.item, np.int64)
-        self.sizes = np.array([len(c) for c in self.codes], np.int64)
+        self.lengths = np.array([len(c) for c in self.codes], np.int64)
+        self.longest = int(self.lengths.max()) if len(self.lengths) else 0
+        self.sizes = np.minimum(self.lengths, SPAN)
         self.budgets = np.array([budget(int(n), rate) for n in self.sizes], np.int64)
         self.needed = self.sizes - Q + 1 - Q * self.budgets
         none = np.zeros(0, np.int64)
         h = np.concatenate([none.astype(U64), *gram])
         order = np.argsort(h, kind="stable")
-        self.window, self.place = np.concatenate([none, *window])[order], np.concatenate([none, *place])[order]
+        self.owner, self.place = np.concatenate([none, *item])[order], np.concatenate([none, *place])[order]
         self.grams, self.first, self.times = np.unique(h[order], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << BITS, bool)
         self.seen[self.slot(self.grams)] = True
+        self.short_hashes = {n: np.sort(np.concatenate([rolling(codes(t).astype(U64), n) for t in ts])) for n, ts in self.short.items()}
 
     @staticmethod
     def slot(h: np.ndarray) -> np.ndarray:
         return (h * U64(0xD6E8FEB86659FD93)) >> U64(64 - BITS)
 
     def hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text position, window and window position of every shared q-gram."""
+        """Text position, item and item position of every shared q-gram."""
         h = rolling(text.astype(U64), Q)
         at = np.flatnonzero(self.seen[self.slot(h)])
         h = h[at]
@@ -97,7 +104,7 @@ class Windows:
         at, g = at[same], g[same]
         times = self.times[g]
         entry = np.repeat(self.first[g], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-        return np.repeat(at, times), self.window[entry], self.place[entry]
+        return np.repeat(at, times), self.owner[entry], self.place[entry]
 
 
 def banded(pattern: np.ndarray, text: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
@@ -117,11 +124,54 @@ def banded(pattern: np.ndarray, text: np.ndarray, size: np.ndarray, width: int)
     return out
 
 
+def spans(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of all numbers from low to high, both included, of each row."""
+    n = np.maximum(high - low + 1, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    return row, low[row] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def full_windows(group: np.ndarray, item: np.ndarray, place: np.ndarray, windows: Windows, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, item and start of every window with ``least`` of its item's q-grams among the hits of a group.
+
+    A group is one item's. Windows start at the stride or at the last start.
+    """
+    wide = windows.longest + SPAN
+    x, order = np.unique(group * wide + place, return_index=True)  # a place counts once
+    group, item, place = group[order], item[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    last = np.append(first[1:], len(group)) - 1
+    keep = last - first + 1 >= least[item[first]]
+    first, last = first[keep], last[keep]
+    i = item[first]
+    end = windows.lengths[i] - windows.sizes[i]
+    row, start = spans(np.maximum(place[first] - windows.sizes[i] + Q, 0), np.minimum(place[last], end))
+    grid = (start % windows.stride == 0) | (start == end[row])
+    row, start = row[grid], start[grid]
+    base = group[first[row]] * wide + start
+    count = np.searchsorted(x, base + windows.sizes[i[row]] - Q, side="right") - np.searchsorted(x, base)
+    good = count >= least[i[row]]
+    row = row[good]
+    return group[first[row]], i[row], start[good]
+
+
+def short_leaks(whole: np.ndarray, windows: Windows, first: np.ndarray, plain: list[str]) -> set[tuple[int, int]]:
+    """(document, item) of the short items that stand unchanged between characters that are not of a word."""
+    out = set()
+    for n, hashes in windows.short_hashes.items():
+        h = rolling(whole.astype(U64), n)
+        g = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        at = np.flatnonzero(hashes[g] == h)
+        owner = np.searchsorted(first, at, side="right") - 1
+        for d, a in zip(owner.tolist(), (at - first[owner]).tolist(), strict=True):
+            t = plain[d]
+            if t[a:a + n] in windows.short[n] and not (a and t[a - 1].isalnum()) and not t[a + n:a + n + 1].isalnum():
+                out.update((d, i) for i in windows.short[n][t[a:a + n]])
+    return out
+
+
 def leaks_in(docs: list[bytes], windows: Windows) -> list[tuple[int, int, int, int]]:
     """(document, item, windows found, least edits) for a list of texts."""
-    found: dict[tuple[int, int], list[int]] = {}
-    if not len(windows.item):
-        return []
     plain = [normal(d.decode("utf-8", "replace")) for d in docs]
     sizes = np.fromiter(map(len, plain), np.int64, len(plain))
     # a separator of Q characters that no text has keeps q-grams inside their text
@@ -130,44 +180,55 @@ def leaks_in(docs: list[bytes], windows: Windows) -> list[tuple[int, int, int, i
     first = np.cumsum(sizes + Q) - sizes - Q
     for a, n, t in zip(first.tolist(), sizes.tolist(), plain, strict=True):
         whole[a:a + n] = codes(t)
-    at, window, place = windows.hits(whole)
+    found: dict[tuple[int, int], dict[int, int]] = {}  # document and item: edits by start of the window
+    for d, i in short_leaks(whole, windows, first, plain):
+        found[d, i] = {0: 0}
+    if len(windows.item):
+        near_leaks(whole, first, len(plain), windows, gap, found)
+    return [(d, i, len(x), min(x.values())) for (d, i), x in found.items()]
+
+
+def near_leaks(whole: np.ndarray, first: np.ndarray, docs: int, windows: Windows, gap: int, found: dict) -> None:
+    """Adds what the q-gram index finds."""
+    at, item, place = windows.hits(whole)
     if not len(at):
-        return []
-    diagonal = at - place + SPAN
+        return
+    items = len(windows.item)
+    diagonal = at - place + windows.longest
+
+    def note(middle, which, starts, edits):
+        owner = np.clip(np.searchsorted(first, middle, side="right") - 1, 0, docs - 1)
+        for d, w, s, e in zip(owner.tolist(), which.tolist(), starts.tolist(), edits.tolist(), strict=True):
+            x = found.setdefault((d, int(windows.item[w])), {})
+            x[s] = min(x.get(s, e), e)
+
+    key, w, s = full_windows(diagonal * items + item, item, place, windows, windows.sizes - Q + 1)
+    note(key // items - windows.longest + s + windows.sizes[w] // 2, w, s, np.zeros(len(w), np.int64))
     band = diagonal // BAND
-    also = diagonal % BAND < windows.budgets[window]
-    key = np.concatenate([band, band[also] - 1]) * len(windows.item) + np.concatenate([window, window[also]])
-    key, count = np.unique(key, return_counts=True)
-    window, band = key % len(windows.item), key // len(windows.item)
-    keep = count >= windows.needed[window]
-    window, band = window[keep], band[keep]
-    if not len(window):
-        return []
+    also = diagonal % BAND < windows.budgets[item]
+    group = np.concatenate([band, band[also] - 1]) * items + np.concatenate([item, item[also]])
+    key, which, starts = full_windows(group, np.concatenate([item, item[also]]), np.concatenate([place, place[also]]), windows, windows.needed)
     top = int(windows.budgets.max())
     # the alignment may leave the band's diagonals by its budget on either side
     width = BAND + 3 * top + 1
-    start = band * BAND - SPAN - top
+    begin = key // items * BAND - windows.longest - top + starts
     longest = int(windows.sizes.max())
-    edits = np.zeros(len(window), np.int64)
-    for lo in range(0, len(window), 2048):
-        w, s = window[lo:lo + 2048], start[lo:lo + 2048]
+    middle = begin + windows.sizes[which] // 2 + width // 2
+    if len(which):  # what was found unchanged needs no alignment
+        owner = np.clip(np.searchsorted(first, middle, side="right") - 1, 0, docs - 1)
+        known = (found.get((d, int(windows.item[w])), {}).get(x) for d, w, x in zip(owner.tolist(), which.tolist(), starts.tolist(), strict=True))
+        open_ = np.fromiter((e != 0 for e in known), bool, len(which))
+        which, starts, begin, middle = which[open_], starts[open_], begin[open_], middle[open_]
+    for lo in range(0, len(which), 2048):
+        w, s, b = which[lo:lo + 2048], starts[lo:lo + 2048], begin[lo:lo + 2048]
         pattern = np.zeros((len(w), longest), np.uint32)
-        for i, x in enumerate(w.tolist()):
-            pattern[i, :windows.sizes[x]] = windows.codes[x]
-        index = s[:, None] + np.arange(longest + width)
+        for i, (x, y) in enumerate(zip(w.tolist(), s.tolist(), strict=True)):
+            pattern[i, :windows.sizes[x]] = windows.codes[x][y:y + windows.sizes[x]]
+        index = b[:, None] + np.arange(longest + width)
         text = np.where((index >= 0) & (index < len(whole)), whole[np.clip(index, 0, len(whole) - 1)], gap)
-        edits[lo:lo + 2048] = banded(pattern, text, windows.sizes[w], width)
-    ok = edits <= windows.budgets[window]
-    middle = start[ok] + windows.sizes[window[ok]] // 2 + width // 2
-    owner = np.clip(np.searchsorted(first, middle, side="right") - 1, 0, len(plain) - 1)
-    seen = set()
-    for d, w, e in zip(owner.tolist(), window[ok].tolist(), edits[ok].tolist(), strict=True):
-        x = found.setdefault((d, int(windows.item[w])), [0, e])
-        if (d, w) not in seen:
-            seen.add((d, w))
-            x[0] += 1
-        x[1] = min(x[1], e)
-    return [(d, i, n, e) for (d, i), (n, e) in found.items()]
+        edits = banded(pattern, text, windows.sizes[w], width)
+        ok = edits <= windows.budgets[w]
+        note(middle[lo:lo + 2048][ok], w[ok], s[ok], edits[ok])
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple[int, str | None]]]:
@@ -185,7 +246,7 @@ def window_sets(benchmark: DataFrame, rate: float, item_col: str, text_col: str)
         yield sc.broadcast([tuple(r) for r in block.collect()]), uuid.uuid4().hex  # bounded by BLOCK_CHARS
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stride: int = SPAN // 2, short: bool = False) -> DataFrame:
     """One row per document and item it leaks: ids, windows found, least edits of a window."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
@@ -193,7 +254,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, id_col
     for items, name in window_sets(benchmark, rate, item_col, item_text_col):
 
         def make(items=items, name=name):
-            windows = once(name, lambda: Windows(items.value, rate))
+            windows = once(name, lambda: Windows(items.value, rate, stride, short))
 
             def work(part):
                 ids = column(part, "id")
@@ -211,7 +272,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, id_col
     return out.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stride: int = SPAN // 2, short: bool = False) -> DataFrame:
     """The documents that leak no item, with all their columns."""
     names = docs.columns
     at = names.index(text_col)
@@ -221,7 +282,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, text_c
     for items, name in window_sets(benchmark, rate, item_col, item_text_col):
 
         def run(batches, items=items, name=name):
-            windows = once(name, lambda: Windows(items.value, rate))
+            windows = once(name, lambda: Windows(items.value, rate, stride, short))
             for batch in batches:
                 for part in slices(batch, f"c{at}"):
                     rows = [x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()]

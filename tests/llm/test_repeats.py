@@ -298,3 +298,33 @@ def test_leaks(spark):
     left = drop_leaks(df, bench)
     assert left.columns == df.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, _ in rows if i not in {d for d, _ in want})
     assert find_leaks(empty(spark), bench).count() == 0 and find_leaks(df, bench.limit(0)).count() == 0
+
+
+def test_leaks_at_every_start(spark):
+    from platewise.llm.decontaminate import drop_leaks, find_leaks
+
+    rnd = random.Random(37)
+    text = lambda n: "".join(rnd.choices("abcdefghijklmnop", k=n))
+    items = [(1, text(233)), (2, text(394)), (3, text(150)), (4, "a short one"), (5, "Paris"), (6, None)]
+    rows, want = [], {}
+    for i in range(120):
+        n, source = rnd.choice(items[:3])
+        size = rnd.choice([80, 96, 97, 110, 120, 140])
+        at = rnd.randint(0, len(source) - size)
+        piece = list(source[at:at + size])
+        if i % 3 == 0:  # substitutions that leave a q-gram
+            for x in rnd.sample(range(0, size, 7), 4):
+                piece[x] = "z"
+        rows.append((i, text(60) + " # " + "".join(piece) + " # " + text(60)))
+        # of 80 characters every window lacks 16, more than the budget of 5
+        if size > 80:
+            want[i, n] = size - 95
+    rows += [(200, "It is A  Short\none, see"), (201, "xa short one"), (202, "in paris."), (203, "parisian")]
+    want |= {(200, 4): 1, (202, 5): 1}
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    df = table(spark, rows)
+    got = {(r.doc_id, r.item_id): r.n_windows for r in find_leaks(df, bench, stride=1, short=True).collect()}
+    # windows that lack up to 5 characters at an end of the excerpt count too
+    assert got.keys() == want.keys() and all(got[k] >= n for k, n in want.items())
+    left = drop_leaks(df, bench, stride=1, short=True)
+    assert {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {i for i, _ in want}
