@@ -55,6 +55,17 @@ def arrow_map(df: DataFrame, columns: list, make: Callable, schema: str) -> Data
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def pick(df: DataFrame, **columns: str) -> DataFrame:
+    """The columns called exactly ``old``, as ``new=old``, found by position.
+
+    Spark matches names without regard to case, so a further column ``TEXT`` makes ``text``
+    ambiguous; by position every other column is left out, whatever its name.
+    """
+    at = {new: df.columns.index(old) for new, old in columns.items()}
+    plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return plain.select(*[plain[f"_{i}"].alias(new) for new, i in at.items()])
+
+
 def text_bytes(name: str = "text"):
     return F.coalesce(F.col(name), F.lit("")).cast("binary").alias("text")
 

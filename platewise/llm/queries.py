@@ -115,3 +115,11 @@ def op2(t: Tables):
     from platewise.llm.line_dedup import dedup_lines
 
     return dedup_lines(t.documents, tau=2).drop("rid")
+
+
+@query("op11_hard_negatives", oracles.NEGATIVES)
+def op11(t: Tables):
+    """Hard negatives of every hundredth vector, every seventh with a shifted label."""
+    from platewise.llm.hard_negatives import mine_negatives
+
+    return mine_negatives(t.embeddings, lambda i: i % 100 == 0, relabel=lambda i, label: F.when(i % 7 == 0, (label + 1) % 10).otherwise(label))
