@@ -69,3 +69,21 @@ p AS (SELECT a, c, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION
 n AS (SELECT p.a AS anchor_id, p.c AS positive_id, row_number() OVER (PARTITION BY p.a, p.c ORDER BY s.score DESC, s.c)::INTEGER AS rank, s.c AS negative_id, p.score AS positive_score, s.score AS negative_score
   FROM p JOIN s ON p.a = s.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
 SELECT * FROM n WHERE rank <= 10"""
+
+
+# Unsigned CRC-32 of a text of single-byte characters, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda s: ascii(s)::BIGINT)),
+  lambda crc, byte: list_reduce([xor(crc, byte), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+TRIE = f"""WITH w AS MATERIALIZED (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p FROM conversations WHERE conv_id IS NOT NULL),
+own AS MATERIALIZED (SELECT c, count(*) AS n, c - c % 5 AS base, {CRC32.format("c::VARCHAR")} % 9 AS h FROM w GROUP BY c),
+k AS MATERIALIZED (SELECT a.c, a.h, a.base, least(a.h, coalesce(b.n, 0)) AS opens FROM own a LEFT JOIN own b ON b.c = a.base),
+r AS (SELECT w.c, p - h + opens AS d, role, text FROM w JOIN k ON k.c = w.c WHERE p > h UNION ALL SELECT k.c, p, role, text FROM k JOIN w ON w.c = k.base AND p <= opens),
+x AS MATERIALIZED (SELECT c, d, octet_length(encode(text)) AS size, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS key FROM r UNION ALL SELECT c, 0, 0, '' FROM k),
+z AS (SELECT c, max(d) AS length FROM x GROUP BY c),
+n AS MATERIALIZED (SELECT d AS depth, key, min(c) AS conv_id, count(*) AS n_convs, any_value(size) AS size, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = length), '') AS ends FROM x JOIN z USING (c) GROUP BY 1, 2),
+e AS (SELECT depth - 1 AS depth, left(key, length(key) - 64) AS key, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1, 2),
+s AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0)::BIGINT AS n_children FROM n LEFT JOIN e USING (depth, key)),
+t AS (SELECT a.key, count_if(b.n_children = 0)::BIGINT AS n_leaves, sum((b.n_convs - 1) * b.size)::BIGINT AS saved_tokens FROM s a JOIN s b ON starts_with(b.key, a.key) GROUP BY 1)
+SELECT s.conv_id, s.depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children, n_leaves, saved_tokens, sha256(s.ends) AS ends_sha256
+FROM s JOIN t USING (key) LEFT JOIN n p ON p.depth = s.depth - 1 AND p.key = left(s.key, length(s.key) - 64)"""

@@ -123,3 +123,24 @@ def op11(t: Tables):
     from platewise.llm.hard_negatives import mine_negatives
 
     return mine_negatives(t.embeddings, lambda i: i % 100 == 0, relabel=lambda i, label: F.when(i % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+@query("op13_conversation_trie", oracles.TRIE)
+def op13(t: Tables):
+    """Every node of the trie of rebuilt conversations."""
+    from platewise.llm.conversation_trie import conversation_trie
+
+    return conversation_trie(t.conversations).drop("enter_at", "exit_at")
+
+
+@query("op12_toxicity")
+def op12(t: Tables):
+    """Toxicity of every document; learned from rows outside the held-out quarter."""
+    from platewise.llm.toxicity import fit_toxicity, score_toxicity
+
+    def quarter(i):
+        return F.crc32(i.cast("string")) % 4
+
+    model = fit_toxicity(t.documents, t.labels, lambda i: quarter(i) != 2)
+    out = score_toxicity(t.documents, model, 0.3)
+    return out.select("doc_id", F.coalesce(quarter(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "offending")
