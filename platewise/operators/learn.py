@@ -1,9 +1,7 @@
 """Dimension reduction, classifiers and clustering.
 
 MLlib where it has the method. The per-drug classifiers, of which there are
-thousands, are fitted all at once: a Newton step for every model is one
-aggregate over the objects, so neither a model's rows nor a line's controls are
-gathered anywhere.
+thousands, are fitted all at once by the blocked Newton steps of ``newton``.
 """
 
 from __future__ import annotations
@@ -22,6 +20,7 @@ from pyspark.sql import functions as F
 
 from platewise.functions.expr import hash_text, hash_unit, nsjoin, ratio, with_group_stats
 from platewise.operators.joins import key_grid
+from platewise.operators.newton import Prepared, areas, coefficients, fitted, optimality, prepare, searched, start_packs, with_limits
 from platewise.operators.order import group_median, group_quantiles, hash_order, row_order, value_order
 from platewise.operators.pairs import block_pairs, cross_products
 from platewise.operators.sampling import balanced_sample, number_in_group, train_test_split
@@ -124,132 +123,70 @@ def auc_rank(df: DataFrame, keys: list[str], score: str, positive: Column) -> Da
     return s.select(*keys, "n_pos", (F.col("_n") - F.col("n_pos")).alias("n_neg"), ratio(u, F.col("n_pos") * (F.col("_n") - F.col("n_pos"))).alias("auc"))
 
 
-def case_control_rows(df: DataFrame, groups: list[str], drug: str, control: Column) -> DataFrame:
-    """Each drug's own rows (label 1) and all controls of its group (label 0).
+def classifier_parts(df: DataFrame, groups: list[str], drug: str | None, control: Column, ids: list[str], features: list[str], param_folds: int = PARAM_FOLDS, folds: int = MODEL_FOLDS, seed: str = "clf") -> Prepared:
+    """The rows of all classifiers of a table, prepared once; rows with a value that is not finite take no part."""
+    return prepare(df, groups, drug, control, ids, features, param_folds, folds, seed)
 
-    A join on the group; Spark streams it into the aggregate that follows.
-    """
-    drugs = df.where(~control).select(*groups, drug).distinct()
-    cases = df.where(~control).withColumn("label", F.lit(1.0))
-    controls = nsjoin(df.where(control).drop(drug), drugs, groups).withColumn("label", F.lit(0.0))
-    return cases.unionByName(controls.select(*cases.columns))
-
-
-def newton_step(rows: DataFrame, models: DataFrame, on: list[str], features: list[str], train: Column) -> DataFrame:
-    """One regularised logistic step for every model; models = keys, c, beta. Adds the largest move as ``_moved``."""
-    keys = [c for c in models.columns if c not in ("beta", "_moved")]
-    x = [F.lit(1.0)] + [F.col(f) for f in features]
-    j = nsjoin(rows, models.drop("_moved"), on).where(train)
-    eta = reduce(lambda a, b: a + b, [F.col("beta")[i] * v for i, v in enumerate(x)])
-    j = j.withColumn("_p", 1 / (1 + F.exp(-eta))).withColumn("_w", F.col("_p") * (1 - F.col("_p")))
-    d = len(x)
-    grads = [F.sum((F.col("_p") - F.col("label")) * x[i]).alias(f"g{i}") for i in range(d)]
-    hess = [F.sum(F.col("_w") * x[i] * x[k]).alias(f"h{i}_{k}") for i in range(d) for k in range(i, d)]
-    sums = j.groupBy(*keys).agg(F.first("beta").alias("beta"), *grads, *hess)
-    flat = [F.col(f"g{i}") for i in range(d)] + [F.col(f"h{min(i, k)}_{max(i, k)}") for i in range(d) for k in range(d)]
-    packed = sums.select(*keys, "beta", F.array(*flat).alias("_s"))
-
-    def solve(batches):
-        for pdf in batches:
-            new, moved = [], []
-            for beta, s, c in zip(pdf["beta"], pdf["_s"], pdf["c"]):
-                b, s = np.asarray(beta, float), np.asarray(s, float)
-                pen = np.full(d, 1.0 / c)
-                pen[0] = 0.0
-                g, h = s[:d] + pen * b, s[d:].reshape(d, d) + np.diag(pen)
-                step = np.linalg.lstsq(h, g, rcond=None)[0]
-                new.append(b - np.clip(step, -20, 20))  # a damped step; the caller goes on until none moves
-                moved.append(float(np.abs(step).max()))
-            pdf = pdf.drop(columns="_s")
-            pdf["beta"] = new
-            yield pdf.assign(_moved=moved)
-
-    return cut_lineage(packed.mapInPandas(solve, packed.drop("_s").schema.add("_moved", "double")))
-
-
-def fit_and_score(rows: DataFrame, keys: list[str], features: list[str], settings: DataFrame, steps: int = 60, tolerance: float = 1e-7) -> tuple[DataFrame, DataFrame]:
-    """Fit a model per (keys, c, fold) on the rows outside its fold; held-out AUC per model.
-
-    settings: (keys, c, fold). rows carry ``_fold``. Newton steps go on until no coefficient of any
-    model moves by more than the tolerance; if some still does after ``steps``, that raises. A
-    model without training rows comes back with null coefficients.
+
+def drug_models(parts: Prepared, c_grid: list[float] | None = None, param_folds: int = PARAM_FOLDS, folds: int = MODEL_FOLDS, steps: int = 60, tolerance: float = 1e-7) -> tuple[DataFrame, DataFrame]:
+    """Treatments with their searched strength, and the fitted packs of their fold models."""
+    names = searched(parts, c_grid or C_GRID, param_folds, steps, tolerance)
+    return names, fitted(parts, start_packs(names, True, parts.width, [(None, f, 0) for f in range(folds)]), steps, tolerance)
+
+
+def drug_vs_control_classifier(df: DataFrame, groups: list[str], drug: str, control: Column, ids: list[str], features: list[str], c_grid: list[float] | None = None,
+                               param_folds: int = PARAM_FOLDS, folds: int = MODEL_FOLDS, steps: int = 60, seed: str = "clf") -> DataFrame:
+    """Per treatment: C by cross-validated AUC on one half, then AUC and coefficients over folds of the other half.
+
+    Returns keys, c, auc_mean, auc_std and the per-feature mean and sd of the coefficients. Folds without
+    a held-out row of either label have no AUC and leave the mean.
     """
-    settings = cut_lineage(settings)
-    models = settings.withColumn("beta", F.array(*[F.lit(0.0)] * (len(features) + 1)))
-    for _ in range(steps):
-        models = newton_step(rows, models, keys, features, F.col("_fold") != F.col("fold"))
-        moved = models.agg(F.max("_moved")).first()[0]
-        if moved is None or moved <= tolerance:
-            break
-    else:
-        raise RuntimeError(f"logistic models still move by {moved} after {steps} steps")
-    models = nsjoin(settings, models.drop("_moved"), [*keys, "c", "fold"], "left")
-    held = nsjoin(rows, models, keys).where(F.col("_fold") == F.col("fold"))
-    eta = reduce(lambda a, b: a + b, [F.col("beta")[0]] + [F.col("beta")[i + 1] * F.col(f) for i, f in enumerate(features)])
-    scores = held.select(*keys, "c", "fold", "label", eta.alias("score"))
-    aucs = auc_rank(scores, [*keys, "c", "fold"], "score", F.col("label") == 1).where("auc IS NOT NULL")
-    return models, aucs
+    parts = classifier_parts(df, groups, drug, control, ids, features, param_folds, folds, seed)
+    names, packs = drug_models(parts, c_grid, param_folds, folds, steps)
+    auc = areas(parts, packs).groupBy("g", "k").agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"))
+    coef = coefficients(packs, parts.width).groupBy("g", "k").agg(*[a for i, f in enumerate(features) for a in (
+        F.avg(F.col("beta")[i + 1]).alias(f"mean_{f}"), F.stddev_pop(F.col("beta")[i + 1]).alias(f"std_{f}"))])
+    return names.select("g", "k", *groups, drug, "c").join(coef, ["g", "k"]).join(auc, ["g", "k"], "left").drop("g", "k")
 
 
-def drug_classifier(rows: DataFrame, keys: list[str], ids: list[str], features: list[str], c_grid: list[float] | None = None,
+def drug_model_fits(df: DataFrame, groups: list[str], drug: str, control: Column, ids: list[str], features: list[str], c_grid: list[float] | None = None,
                     param_folds: int = PARAM_FOLDS, folds: int = MODEL_FOLDS, steps: int = 60, seed: str = "clf") -> DataFrame:
-    """Per key: C by cross-validated AUC on one half, then AUC and coefficients over folds of the other half.
+    """Per treatment and fold: training rows, cases among them, mean predicted probability and largest gradient, from the emitted coefficients.
 
-    Returns keys, c, auc_mean, auc_std and the per-feature mean and sd of the coefficients.
+    At the optimum the gradient is 0 and, since the intercept bears no penalty, the mean prediction is the share of cases.
     """
-    grid = c_grid or C_GRID
-    half = hash_unit(*ids, salt=f"{seed}half") < 0.5
-    fold = lambda k, tag: F.floor(hash_unit(*ids, salt=f"{seed}{tag}") * k).cast("int").alias("_fold")
-    cols = [*keys, "label", *features]
-    names = rows.select(*keys).distinct()
-    if len(grid) == 1:
-        best = names.withColumn("c", F.lit(float(grid[0])))
-    else:
-        tries = names.withColumn("c", F.explode(F.array(*[F.lit(float(c)) for c in grid]))).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(param_folds - 1))))
-        _, aucs = fit_and_score(rows.where(half).select(*cols, fold(param_folds, "p")), keys, features, tries, steps)
-        mean = aucs.groupBy(*keys, "c").agg(F.avg("auc").alias("_a"))
-        best = cut_lineage(mean.groupBy(*keys).agg(F.max_by("c", F.struct("_a", -F.col("c"))).alias("c")))
-    final = best.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    models, aucs = fit_and_score(rows.where(~half).select(*cols, fold(folds, "m")), keys, features, final, steps)
-    auc = aucs.groupBy(*keys).agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"))
-    coef = models.groupBy(*keys, "c").agg(*[a for i, f in enumerate(features) for a in (
-        F.avg(F.col("beta")[i + 1]).alias(f"mean_{f}"), F.stddev_pop(F.col("beta")[i + 1]).alias(f"std_{f}"))])
-    return nsjoin(coef, auc, keys, "left")
+    parts = classifier_parts(df, groups, drug, control, ids, features, param_folds, folds, seed)
+    names, packs = drug_models(parts, c_grid, param_folds, folds, steps)
+    return names.select("g", "k", *groups, drug).join(optimality(parts, packs), ["g", "k"]).drop("g", "k")
 
 
-def drug_vs_control_classifier(df: DataFrame, groups: list[str], drug: str, control: Column, ids: list[str], features: list[str], **options) -> DataFrame:
-    rows = case_control_rows(df.select(*groups, drug, *ids, *features, control.alias("_ctrl")), groups, drug, F.col("_ctrl"))
-    return drug_classifier(rows, [*groups, drug], ids, features, **options)
+def permuted_aucs(parts: Prepared, names: DataFrame, permutations: list[int], folds: int, steps: int = 60, tolerance: float = 1e-7) -> DataFrame:
+    """(g, k, perm, auc_mean, auc_std) over the folds of every permutation of the labels; 0 is the real labelling."""
+    packs = with_limits(parts, start_packs(names, True, parts.width, [(None, f, p) for p in permutations for f in range(folds)]))
+    auc = areas(parts, fitted(parts, packs, steps, tolerance))
+    return auc.groupBy("g", "k", "perm").agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_std"))
 
 
 def classifier_permutation_p(df: DataFrame, groups: list[str], drug: str, control: Column, ids: list[str], features: list[str],
-                             permutations: int, c: float = 1e-2, folds: int = MODEL_FOLDS, seed: str = "perm") -> DataFrame:
-    """(#{perm >= auc} + 1) / (B + 1) with labels permuted inside each (group, drug).
+                             permutations: int = 1000, c_grid: list[float] | None = None, param_folds: int = PARAM_FOLDS, folds: int = MODEL_FOLDS, seed: str = "perm") -> DataFrame:
+    """keys, c, auc, auc_std and p_value = (#{perm >= auc} + 1) / (B + 1), labels permuted inside each treatment's rows.
 
-    Permutation 0 is the real labelling. A permutation's cases are the n_drug rows of
-    smallest hash; the hash of the last of them is found once per (group, drug,
-    permutation), and every later pass only compares with it.
+    C is searched on the real labels first. A permutation's cases are as many rows as the treatment has.
     """
-    keys = [*groups, drug]
-    rows = case_control_rows(df.select(*groups, drug, *ids, *features, control.alias("_ctrl")), groups, drug, F.col("_ctrl"))
-    cases = cut_lineage(rows.groupBy(*keys).agg(F.sum("label").alias("_cases")))
-    many = rows.select(*keys, *ids).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    h = hash_text(*ids, "perm", salt=seed)
-    ranked = nsjoin(hash_order(many, [*keys, "perm"], [*ids, "perm"], salt=seed, name="_i"), cases, keys)
-    limits = cut_lineage(ranked.where(F.col("_i") == F.col("_cases")).select(*keys, "perm", h.alias("_limit")))
-    permuted = nsjoin(rows, limits, keys).withColumn("label", F.when(h <= F.col("_limit"), 1.0).otherwise(0.0)).drop("_limit")
-    both = rows.withColumn("perm", F.lit(0)).unionByName(permuted)
-    res = drug_classifier(both, [*keys, "perm"], ids, features, c_grid=[c], folds=folds, seed=seed)
-    real = res.where("perm = 0").select(*keys, F.col("auc_mean").alias("auc"), F.col("auc_std"))
-    hits = nsjoin(res.where("perm > 0").select(*keys, "auc_mean"), real, keys)
-    return hits.groupBy(*keys, "auc", "auc_std").agg(((F.count_if(F.col("auc_mean") >= F.col("auc")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
-
-
-def control_split_null(df: DataFrame, line: str, control: Column, ids: list[str], features: list[str], splits: int, c: float = 1e-2, folds: int = MODEL_FOLDS) -> DataFrame:
-    """AUC of classifying random halves of the controls against each other."""
-    rows = df.where(control).select(line, *ids, *features).withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(splits))))
-    rows = rows.withColumn("label", F.when(hash_unit(*ids, "split", salt="null") < 0.5, 1.0).otherwise(0.0))
-    return drug_classifier(rows, [line, "split"], [*ids, "split"], features, c_grid=[c], folds=folds).select(line, "split", "auc_mean", "auc_std")
+    parts = classifier_parts(df, groups, drug, control, ids, features, param_folds, folds, seed)
+    names = searched(parts, c_grid or C_GRID, param_folds, 60, 1e-7)
+    res = cut_lineage(permuted_aucs(parts, names, list(range(permutations + 1)), folds))
+    real = res.where("perm = 0").select("g", "k", F.col("auc_mean").alias("auc"), "auc_std")
+    hits = res.where("perm > 0").join(real, ["g", "k"]).groupBy("g", "k").agg(((F.count_if(F.col("auc_mean") >= F.col("auc")) + 1) / (F.count("auc_mean") + 1)).alias("p_value"))
+    return names.select("g", "k", *groups, drug, "c").join(real, ["g", "k"]).join(hits, ["g", "k"], "left").drop("g", "k")
+
+
+def control_split_null(df: DataFrame, line: str, control: Column, ids: list[str], features: list[str], splits: int = 100, c: float = 1e-2, folds: int = MODEL_FOLDS) -> DataFrame:
+    """AUC of classifying random halves of the controls against each other: (line, split, auc_mean, auc_std)."""
+    parts = classifier_parts(df.where(control), [line], None, F.lit(True), ids, features, PARAM_FOLDS, folds, "null")
+    names = parts.names.withColumn("c", F.lit(float(c)))
+    out = permuted_aucs(parts, names, list(range(1, splits + 1)), folds)
+    return names.select("g", "k", line).join(out, ["g", "k"]).select(line, F.col("perm").cast("int").alias("split"), "auc_mean", "auc_std")
 
 
 # live / dead ---------------------------------------------------------------

@@ -76,8 +76,8 @@ def greedy_decorrelate(corr: pd.DataFrame, names: list[str], key_features: list[
 def cluster_label_enrichment(df: DataFrame, keys: list[str], item: str, cluster: str, label: str, min_cluster: int = 1) -> DataFrame:
     """2×2 counts, odds ratio, one-sided Fisher p and its BH adjustment per (cluster, label).
 
-    Pairs that occur at all are tested; one that never occurs has odds ratio 0 and p = 1.
-    An item may carry several labels (rows).
+    Every cluster of the group is tested with every label of it, so BH runs over pairs that never
+    occur too. An item may carry several labels (rows).
     """
     items = df.select(*keys, item, cluster).distinct()
     sizes = items.groupBy(*keys, cluster).agg(F.count(F.lit(1)).alias("cluster_size"))
@@ -85,7 +85,8 @@ def cluster_label_enrichment(df: DataFrame, keys: list[str], item: str, cluster:
     tagged = df.where(F.col(label).isNotNull()).select(*keys, item, cluster, label).distinct()
     labels = tagged.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("label_size"))
     hits = tagged.groupBy(*keys, cluster, label).agg(F.count(F.lit(1)).alias("a"))
-    t = nsjoin(nsjoin(nsjoin(hits, sizes, [*keys, cluster]), labels, [*keys, label]), total, keys).where(F.col("cluster_size") >= min_cluster)
+    large = sizes.where(F.col("cluster_size") >= min_cluster)
+    t = nsjoin(nsjoin(nsjoin(large, labels, keys), hits, [*keys, cluster, label], "left").fillna(0, ["a"]), total, keys)
     b, c = F.col("cluster_size") - F.col("a"), F.col("label_size") - F.col("a")
     d = F.col("n") - F.col("a") - b - c
     odds = F.when((b == 0) | (c == 0), F.lit(float("inf"))).otherwise(F.try_divide((F.col("a") * d).cast("double"), (b * c).cast("double")))

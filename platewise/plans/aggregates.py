@@ -51,11 +51,11 @@ def live_dead_well_summary(t):
 
 
 @query("median_se_band", """
-WITH m AS (SELECT l_suppkey AS plate, l_returnflag AS type, median(l_extendedprice) AS med, count(*) AS n FROM lineitem WHERE l_returnflag <> 'A' GROUP BY ALL),
+WITH m AS (SELECT l_suppkey AS plate, l_returnflag AS type, median(l_extendedprice) AS med, count(*) AS n FROM lineitem GROUP BY ALL),
 d AS (SELECT plate, type, any_value(med) AS med, 1.4826 * median(abs(l_extendedprice - med)) / sqrt(any_value(n)) AS se FROM lineitem JOIN m ON plate = l_suppkey AND type = l_returnflag GROUP BY plate, type)
 SELECT plate, type, round(med, 4) AS med_val, round(se, 4) AS se, round(med - 2 * se, 4) AS ymin, round(med + 2 * se, 4) AS ymax FROM d""")
 def median_se_band(t):
-    x = t.lineitem.where("l_returnflag <> 'A'").select(F.col("l_suppkey").alias("plate"), F.col("l_returnflag").alias("type"), F.col("l_extendedprice").alias("price"))
+    x = t.lineitem.select(F.col("l_suppkey").alias("plate"), F.col("l_returnflag").alias("type"), F.col("l_extendedprice").alias("price"))
     b = A.median_se_band(x, ["plate", "type"], "price")
     return b.select("plate", "type", *[rnd(c, 4).alias(c) for c in ("med_val", "se", "ymin", "ymax")])
 

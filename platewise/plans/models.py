@@ -10,6 +10,7 @@ from platewise.operators import learn as L
 from platewise.operators import normalize as N
 from platewise.plans.joins import PROFILE, profiles
 from platewise.plans.normalise import EMB, embedding_long
+from platewise.plans.ordering import UNIT
 from platewise.plans.registry import FEATURES, LONG, OBJ, query
 from platewise.plans.stats import r6
 from platewise.session import cut_lineage
@@ -70,25 +71,36 @@ def _scaled(t):
 
 @query("drug_vs_control_classifier")
 def drug_vs_control_classifier(t):
-    r = L.drug_vs_control_classifier(_scaled(t), ["line"], "target", F.col("ctrl"), ["uuid"], FEATURES, folds=10)
+    r = L.drug_vs_control_classifier(_scaled(t), ["line"], "target", F.col("ctrl"), ["uuid"], FEATURES)
     return r6(r, *[c for c in r.columns if c not in ("line", "target", "c")])
 
 
 @query("drug_vs_control_by_rep")
 def drug_vs_control_by_rep(t):
-    r = L.drug_vs_control_classifier(_scaled(t), ["line", "rep"], "target", F.col("ctrl"), ["uuid"], FEATURES, folds=10)
+    r = L.drug_vs_control_classifier(_scaled(t), ["line", "rep"], "target", F.col("ctrl"), ["uuid"], FEATURES)
     return r6(r, *[c for c in r.columns if c not in ("line", "rep", "target", "c")])
 
 
+@query("drug_classifier_optimum", f"""WITH {OBJ}, u AS (SELECT line, target, ctrl, floor({UNIT.format("uuid || '_clfm'")} * 10)::INTEGER AS own FROM obj WHERE {UNIT.format("uuid || '_clfhalf'")} >= 0.5),
+f AS (SELECT unnest(range(10))::INTEGER AS fold), p AS (SELECT DISTINCT line, target FROM obj WHERE NOT ctrl),
+a AS (SELECT line, target, fold, count(*) FILTER (own <> fold) AS n FROM u, f WHERE NOT ctrl GROUP BY ALL),
+b AS (SELECT line, fold, count(*) FILTER (own <> fold) AS n FROM u, f WHERE ctrl GROUP BY ALL),
+k AS (SELECT line, target, fold, coalesce(a.n, 0) AS n_case, coalesce(a.n, 0) + coalesce(b.n, 0) AS n_train FROM p CROSS JOIN f LEFT JOIN a USING (line, target, fold) LEFT JOIN b USING (line, fold))
+SELECT line, target, fold, n_train, n_case, round(n_case / n_train + 0.00001234, 6) AS mean_p, 0.0::DOUBLE AS slope FROM k""")
+def drug_classifier_optimum(t):
+    r = L.drug_model_fits(_scaled(t), ["line"], "target", F.col("ctrl"), ["uuid"], FEATURES)
+    return r.withColumn("mean_p", off_tie("mean_p", 6)).withColumn("slope", rnd("slope", 4))
+
+
 @query("classifier_permutation_p")
 def classifier_permutation_p(t):
-    r = L.classifier_permutation_p(_scaled(t), ["line"], "target", F.col("ctrl"), ["uuid"], FEATURES, permutations=3, folds=2)
+    r = L.classifier_permutation_p(_scaled(t), ["line"], "target", F.col("ctrl"), ["uuid"], FEATURES, permutations=1000)
     return r6(r, "auc", "auc_std", "p_value")
 
 
 @query("control_split_null")
 def control_split_null(t):
-    return r6(L.control_split_null(_scaled(t), "line", F.col("ctrl"), ["uuid"], FEATURES, splits=5, folds=3), "auc_mean", "auc_std")
+    return r6(L.control_split_null(_scaled(t), "line", F.col("ctrl"), ["uuid"], FEATURES, splits=100), "auc_mean", "auc_std")
 
 
 @query("auc_rank", """WITH s AS (SELECT lang, n_chars, quality, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2 AS r FROM labels JOIN documents USING (doc_id)),
@@ -261,13 +273,14 @@ def variance_table(t):
     return r.select("factor", "view", rnd("variance", 4).alias("variance"), rnd("factor_mean", 3).alias("factor_mean"), rnd("view_total", 2).alias("view_total"))
 
 
-SPARSE = f"""{OBJ}, p AS (SELECT line, drug, target AS pc, avg(quantity) AS v FROM obj WHERE conc = 0.03 GROUP BY ALL),
+SPARSE = f"""{OBJ}, p AS (SELECT line, drug || '_' || round(conc * 100)::INTEGER AS drug, target AS pc, avg(quantity) AS v FROM obj GROUP BY ALL),
 m AS (SELECT drug, pc, avg(v) AS m FROM p GROUP BY ALL),
 full_p AS (SELECT drug, line, pc, coalesce(v, m) AS v, v IS NULL AS imputed FROM (SELECT * FROM m CROSS JOIN (SELECT DISTINCT line FROM p)) LEFT JOIN p USING (drug, line, pc))"""
 
 
 def _sparse(t):
-    p = t.objects.where("conc = 0.03").groupBy("line", "drug", F.col("target").alias("pc")).agg(F.avg("quantity").alias("v"))
+    dosed = F.concat_ws("_", "drug", F.round(F.col("conc") * 100).cast("int").cast("string"))
+    p = t.objects.groupBy("line", dosed.alias("drug"), F.col("target").alias("pc")).agg(F.avg("quantity").alias("v"))
     return L.profile_concat_impute(cut_lineage(p), "drug", "line", "pc", "v")
 
 
@@ -292,10 +305,10 @@ def target_median_rank(t):
     return r.select("factor", "target", "n_drugs", rnd("median").alias("median"))
 
 
-@query("phenoprint", f"""WITH {LONG}, lb AS (SELECT p_brand AS drug, min(p_type) AS label FROM part WHERE p_size > 45 GROUP BY ALL)
+@query("phenoprint", f"""WITH {LONG}, lb AS (SELECT p_brand AS drug, arg_max(p_type, (p_retailprice, p_partkey)) AS label FROM part GROUP BY ALL)
 SELECT label, rep, feature, round(median(value), 6) AS median FROM long JOIN lb USING (drug) GROUP BY ALL""")
 def phenoprint(t):
-    lb = t.part.where("p_size > 45").groupBy(F.col("p_brand").alias("drug")).agg(F.min("p_type").alias("label"))
+    lb = t.part.groupBy(F.col("p_brand").alias("drug")).agg(F.max_by("p_type", F.struct("p_retailprice", "p_partkey")).alias("label"))
     return r6(L.phenoprint(t.objects, lb, ["drug"], ["label", "rep"], FEATURES), "median")
 
 

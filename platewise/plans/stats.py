@@ -110,7 +110,8 @@ ENRICH = f"""{OBJ}, it AS (SELECT DISTINCT line, part AS item, conc AS cluster F
 tg AS (SELECT DISTINCT line, item, cluster, target AS label FROM it JOIN (SELECT DISTINCT part AS item, target FROM obj) USING (item)),
 cs AS (SELECT line, cluster, count(*) AS cluster_size FROM it GROUP BY ALL), tot AS (SELECT line, count(DISTINCT item) AS n FROM it GROUP BY 1),
 ls AS (SELECT line, label, count(*) AS label_size FROM tg GROUP BY ALL), hit AS (SELECT line, cluster, label, count(*) AS a FROM tg GROUP BY ALL),
-x AS (SELECT *, cluster_size - a AS b, label_size - a AS c, n - cluster_size - label_size + a AS d FROM hit JOIN cs USING (line, cluster) JOIN ls USING (line, label) JOIN tot USING (line) WHERE cluster_size >= 3),
+x AS (SELECT line, cluster, label, cluster_size, label_size, n, coalesce(h.a, 0) AS a, cluster_size - coalesce(h.a, 0) AS b, label_size - coalesce(h.a, 0) AS c, n - cluster_size - label_size + coalesce(h.a, 0) AS d
+ FROM cs JOIN ls USING (line) JOIN tot USING (line) LEFT JOIN hit h USING (line, cluster, label) WHERE cluster_size >= 3),
 fp AS (SELECT *, list_sum([exp(lgamma(cluster_size + 1) + lgamma(n - cluster_size + 1) + lgamma(label_size + 1) + lgamma(n - label_size + 1) - lgamma(n + 1)
  - lgamma(k + 1) - lgamma(cluster_size - k + 1) - lgamma(label_size - k + 1) - lgamma(n - cluster_size - label_size + k + 1)) for k in range(a, least(cluster_size, label_size) + 1)]) AS p FROM x)"""
 

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from platewise.operators import learn as L
+from platewise.operators import newton as W
 
 
 def fit_numpy(x, y, c, steps=50):
@@ -26,26 +27,89 @@ def screen(spark):
     return spark.createDataFrame(rows, "id int, line int, drug string, ctrl boolean, x double, y double").cache(), rows
 
 
-def test_all_models_are_fitted_at_once(spark, screen):
+def plain_auc(score, case):
+    a, b = score[case], score[~case]
+    return float((a[:, None] > b[None, :]).mean() + (a[:, None] == b[None, :]).mean() / 2) if len(a) and len(b) else None
+
+
+@pytest.fixture(params=[False, True], ids=["whole", "blocks"])
+def blocks(request, monkeypatch):
+    """Force many blocks, packs and buckets on small data."""
+    if request.param:
+        for name, value in {"BLOCK_ROWS": 60, "PACK_MODELS": 4, "PACK_BUCKETS": 2, "SLICE": 100, "FAN": 2}.items():
+            monkeypatch.setattr(W, name, value)
+
+
+def test_all_models_equal_their_plain_fits(spark, screen, blocks):
     df, rows = screen
-    r = L.case_control_rows(df, ["line"], "drug", F.col("ctrl")).withColumn("_fold", F.lit(1))
-    settings = r.select("line", "drug").distinct().withColumn("c", F.lit(0.5)).withColumn("fold", F.lit(0))
-    models, _ = L.fit_and_score(r, ["line", "drug"], ["x", "y"], settings, steps=8)
-    got = models.collect()
-    assert len(got) == 4
+    parts = L.classifier_parts(df, ["line"], "drug", F.col("ctrl"), ["id"], ["x", "y"], 2, 3)
+    names, packs = L.drug_models(parts, [0.1, 1.0], 2, 3)
+    data = {r.r: r for r in parts.rows.collect()}
+    keys = {r.g: r for r in names.collect()}
+    assert len(keys) == 2 and names.count() == 4
+    got = L.coefficients(packs, parts.width).collect()
+    auc = {(r.g, r.k, r.fold): r.auc for r in L.areas(parts, packs).collect()}
+    assert len(got) == 12 == len(auc)
     for m in got:
-        sub = [t for t in rows if t[1] == m.line and t[2] in ("DMSO", m.drug)]
-        want = fit_numpy(np.array([[t[4], t[5]] for t in sub]), np.array([t[2] == m.drug for t in sub], float), 0.5)
+        mine = [d for d in data.values() if d.g == m.g and not d.half and d.k in (None, m.k)]
+        x, y, fold = np.array([d.x for d in mine]), np.array([d.k is not None for d in mine]), np.array([d.fold_m for d in mine])
+        train = fold != m.fold
+        want = fit_numpy(x[train][:, 1:], y[train].astype(float), m.c)
         np.testing.assert_allclose(m.beta, want, atol=1e-6)
+        assert abs(auc[m.g, m.k, m.fold] - plain_auc(x[~train] @ want, y[~train])) < 1e-9
+
+
+def test_optimum_is_reported(spark, screen):
+    df, _ = screen
+    out = L.drug_model_fits(df, ["line"], "drug", F.col("ctrl"), ["id"], ["x", "y"], [0.5], folds=3).collect()
+    assert len(out) == 12
+    for r in out:
+        assert r.slope < 1e-4 and abs(r.mean_p - r.n_case / r.n_train) < 1e-6
 
 
 def test_classifier_tells_active_from_inactive(screen):
     df, _ = screen
-    out = L.drug_vs_control_classifier(df, ["line"], "drug", F.col("ctrl"), ["id"], ["x", "y"], c_grid=[0.1, 1.0], param_folds=2, folds=3, steps=4).toPandas().set_index(["line", "drug"])
+    out = L.drug_vs_control_classifier(df, ["line"], "drug", F.col("ctrl"), ["id"], ["x", "y"], c_grid=[0.1, 1.0], param_folds=2, folds=3).toPandas().set_index(["line", "drug"])
     assert (out.auc_mean.xs("A", level="drug") > 0.75).all() and (out.auc_mean.xs("B", level="drug") < 0.7).all()
     assert (out.mean_x.xs("A", level="drug") > 0.3).all()
 
 
+def test_permuted_labels_are_as_many_as_the_real_ones(spark, screen, blocks):
+    df, _ = screen
+    parts = L.classifier_parts(df, ["line"], "drug", F.col("ctrl"), ["id"], ["x", "y"], 2, 3, "perm")
+    names = parts.names.withColumn("c", F.lit(0.5))
+    packs = W.with_limits(parts, W.start_packs(names, True, parts.width, [(None, 0, p) for p in range(6)])).collect()
+    rows = parts.rows.collect()
+    for pack in packs:
+        mine = [r for r in rows if r.g == pack.g and not r.half and r.k in (None, pack.k)]
+        r = np.array([x.r for x in mine])
+        for p, limit in zip(pack.perms, pack.limits, strict=True):
+            if p:
+                assert (W.mixed(r, np.array([p]))[:, 0].astype(np.int64) <= limit).sum() == pack.n_case
+
+
+def test_permutation_p_separates_active_from_inactive(spark, screen):
+    df, _ = screen
+    out = L.classifier_permutation_p(df, ["line"], "drug", F.col("ctrl"), ["id"], ["x", "y"], permutations=39, c_grid=[0.1, 1.0], param_folds=2, folds=3).collect()
+    p = {(r.line, r.drug): r.p_value for r in out}
+    assert len(p) == 4 and all(p[i, "A"] == 1 / 40 for i in (0, 1)) and all(p[i, "B"] > 1 / 40 for i in (0, 1))
+
+
+def test_control_splits_center_on_a_half(spark, screen):
+    df, _ = screen
+    out = L.control_split_null(df, "line", F.col("ctrl"), ["id"], ["x", "y"], splits=20, c=0.1, folds=3).toPandas()
+    assert len(out) == 40 and abs(out.auc_mean.mean() - 0.5) < 0.08 and sorted(set(out.split)) == list(range(1, 21))
+
+
+def test_classifiers_of_awkward_tables(spark, screen):
+    df, _ = screen
+    odd = df.limit(0).unionByName(spark.createDataFrame(
+        [(1, 5, "A", False, 1.0, 1.0), (2, 5, "A", False, 2.0, 1.0), (3, 6, "DMSO", True, 1.0, 1.0), (4, 7, "B", False, None, 1.0), (5, 7, "DMSO", True, float("nan"), 1.0), (6, 7, "DMSO", None, 1.0, 1.0)],
+        "id int, line int, drug string, ctrl boolean, x double, y double"))
+    out = L.drug_vs_control_classifier(odd, ["line"], "drug", F.col("ctrl"), ["id"], ["x", "y"], c_grid=[0.1, 1.0], param_folds=2, folds=2).collect()
+    assert {r.line for r in out} <= {5, 7} and all(r.auc_mean is None for r in out)
+
+
 def test_auc_of_a_constant_score_is_half(spark):
     df = spark.createDataFrame([(1.0, i % 3 == 0) for i in range(30)], "s double, y boolean")
     assert L.auc_rank(df, [], "s", F.col("y")).first().auc == 0.5
