@@ -89,39 +89,41 @@ def prepare(df: DataFrame, groups: list[str], drug: str | None, control: Column,
     return Prepared(cut_lineage(placed), cut_lineage(names), len(features) + 1)
 
 
-def meet(rows: DataFrame, packs: DataFrame, work: Callable[[dict, dict], list[dict]], out: Fields) -> DataFrame:
+def meet(rows: DataFrame, packs: DataFrame, work: Callable[[dict, dict], list[dict]], out: Fields, cols: tuple[str, ...] = ("r", "half", "fold_p", "fold_m", "x")) -> DataFrame:
     """``work(rows of a block, pack)`` for every pack and block of its group.
 
-    Controls go to every bucket of packs of their group, cases only to the buckets of their treatment.
+    Rows are (g, k, block) and the columns ``cols``, arrays of which become matrices. Rows without ``k``
+    (controls) go to every bucket of packs of their group, the others only to the buckets of their ``k``.
     Packs carry ``blocks``, the number of blocks of their group.
     """
     each = packs.groupBy("g").agg(F.ceil(F.count("*") / F.lit(PACK_BUCKETS)).cast("int").alias("buckets"))
     packs = cut_lineage(packs.join(each, "g").withColumn("bucket", F.pmod(F.xxhash64("g", "k", "pack"), F.col("buckets")).cast("int")))
     every = packs.groupBy("g").agg(F.collect_set("bucket").alias("bucket"))
     some = packs.groupBy("g", "k").agg(F.collect_set("bucket").alias("bucket"))
-    cols = ["g", "k", "block", "r", "half", "fold_p", "fold_m", "x"]
-    left = rows.where("k is null").join(every, "g").select(*cols, F.explode("bucket").alias("bucket"))
-    left = left.unionByName(rows.where("k is not null").join(some, ["g", "k"]).select(*cols, F.explode("bucket").alias("bucket")))
+    wanted = ["g", "k", "block", *cols]
+    left = rows.where("k is null").join(every, "g").select(*wanted, F.explode("bucket").alias("bucket"))
+    left = left.unionByName(rows.where("k is not null").join(some, ["g", "k"]).select(*wanted, F.explode("bucket").alias("bucket")))
     right = packs.drop("buckets").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     extra = [("block", pa.int32())]
 
+    def array(column: pa.ChunkedArray) -> np.ndarray:
+        if pa.types.is_list(column.type):
+            return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        return column.to_numpy() if not pa.types.is_boolean(column.type) else column.combine_chunks().to_numpy(zero_copy_only=False)
+
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not len(a) or not len(b):
             return table([*out, *extra], [])
-        k = a["k"].to_pylist()
-        block = {
-            "x": a["x"].combine_chunks().flatten().to_numpy().reshape(len(a), -1), "r": a["r"].to_numpy(), "half": a["half"].to_numpy(zero_copy_only=False),
-            "fold_p": a["fold_p"].to_numpy(), "fold_m": a["fold_m"].to_numpy(),
-        }
+        block = {c: array(a[c]) for c in cols}
         of: dict = {}
-        for i, name in enumerate(k):
+        for i, name in enumerate(a["k"].to_pylist()):
             of.setdefault(name, []).append(i)
         controls = np.array(of.get(None, []), np.int64)
         number = a["block"][0].as_py()
         parts: list[pa.Table] = []
         for i in range(len(b)):
-            pack = {c: b[c][i].as_py() if c in SCALARS else np.asarray(b[c][i].values) for c in b.column_names}
-            cases = np.array(of.get(pack["k"], []) if pack["k"] else [], np.int64)
+            pack = {c: np.asarray(b[c][i].values) if pa.types.is_list(b[c].type) else b[c][i].as_py() for c in b.column_names}
+            cases = np.array(of.get(pack["k"], []), np.int64)
             at = np.concatenate([controls, cases])
             mine = {c: v[at] for c, v in block.items()}
             mine["case"] = np.arange(len(at)) >= len(controls)
@@ -132,9 +134,6 @@ def meet(rows: DataFrame, packs: DataFrame, work: Callable[[dict, dict], list[di
     return right.groupBy("g", "bucket", "block").cogroup(left.groupBy("g", "bucket", "block")).applyInArrow(lambda b, a: run(a, b), ddl([*out, *extra]))
 
 
-SCALARS = {"g", "k", "pack", "blocks", "bucket", "block", "main", "c", "n_case", "n_control", "chunk"}
-
-
 def added(parts: DataFrame, sums: Fields, lists: Fields) -> DataFrame:
     """Per pack, the sums of arrays and the joined lists of all blocks, FAN parts at a time."""
     out: Fields = [*PACK, *sums, *lists, ("block", pa.int32())]
@@ -219,26 +218,29 @@ def stepped(packs: DataFrame, width: int) -> DataFrame:
     iu, ju = np.triu_indices(width)
     tri = len(iu)
 
+    def step(pack: dict) -> dict:
+        beta = pack["beta"].reshape(-1, width)
+        s = pack["s"].reshape(len(beta), width + tri + 2)
+        pen = np.repeat((1.0 / pack["cs"])[:, None], width, axis=1)
+        pen[:, 0] = 0.0
+        g = s[:, :width] + pen * beta
+        h = np.zeros((len(beta), width, width))
+        h[:, iu, ju] = h[:, ju, iu] = s[:, width:-2]
+        h += np.eye(width) * np.maximum(pen, 1e-12)[:, :, None]
+        empty = (s[:, -2] == 0) | (s[:, -1] == 0)
+        h[empty] = np.eye(width)
+        move = np.where(empty[:, None], 0.0, np.linalg.solve(h, g[:, :, None])[:, :, 0])
+        return {
+            "beta": np.where(empty[:, None], np.nan, beta - np.clip(move, -CLIP, CLIP)).ravel(),
+            "slope": np.where(empty, np.nan, np.abs(g).max(axis=1)), "moved": float(np.abs(move).max(initial=0.0)),
+        }
+
     def run(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            for row in rows:
-                beta = np.array(row["beta"]).reshape(-1, width)
-                s = np.array(row.pop("s")).reshape(len(beta), width + tri + 2)
-                c = np.array(row["cs"])
-                pen = np.repeat((1.0 / c)[:, None], width, axis=1)
-                pen[:, 0] = 0.0
-                g = s[:, :width] + pen * beta
-                h = np.zeros((len(beta), width, width))
-                h[:, iu, ju] = h[:, ju, iu] = s[:, width:-2]
-                h += np.eye(width) * np.maximum(pen, 1e-12)[:, :, None]
-                empty = (s[:, -2] == 0) | (s[:, -1] == 0)
-                h[empty] = np.eye(width)
-                step = np.linalg.solve(h, g[:, :, None])[:, :, 0]
-                row["slope"] = np.where(empty, np.nan, np.abs(g).max(axis=1)).tolist()
-                row["beta"] = np.where(empty[:, None], np.nan, beta - np.clip(step, -CLIP, CLIP)).ravel().tolist()
-                row["moved"] = float(np.nanmax(np.where(empty, 0.0, np.abs(step).max(axis=1)), initial=0.0))
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            for i in range(batch.num_rows):
+                pack = {c: np.asarray(v[i].values) if pa.types.is_list(v.type) else v[i].as_py() for c, v in zip(batch.schema.names, batch.columns, strict=True)}
+                new = {**pack, **step(pack)}
+                yield pa.RecordBatch.from_pylist([{n: new[n] for n in schema.names}], schema=schema)
 
     fields: Fields = [*PACK, ("blocks", pa.int32()), ("n_case", pa.int64()), ("n_control", pa.int64()), ("cs", DOUBLES), ("folds", LONGS), ("perms", LONGS), ("limits", LONGS), ("beta", DOUBLES)]
     schema = pa.schema([*fields, ("main", pa.bool_()), ("slope", DOUBLES), ("moved", pa.float64())])

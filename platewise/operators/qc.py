@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.functions.expr import attach, hash_unit, is_finite, nsjoin, ratio
+from platewise.functions.expr import hash_unit, is_finite, nsjoin
+from platewise.operators.forest import DEPTH, group_key, grow_forests, score_forests
+from platewise.operators.normalize import plate_effect_correct
 from platewise.operators.order import group_quantiles, hash_order, running
 from platewise.session import cut_lineage
 
@@ -56,12 +57,17 @@ def blur_label(df: DataFrame, keys: list[str], means: list[str], ids: list[str],
     return nsjoin(draws, sized.drop("_size", "_draws"), [*cell, "_i"]).drop("_i")
 
 
+def correlation(a: str, b: str) -> Column:
+    """Correlation as one aggregate; null where a column is constant, which Spark's own does not tolerate."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def blur_feature_select(sample: DataFrame, features: list[str], key_features: list[str], limit: float = 0.9) -> DataFrame:
     """feature, sd, max_corr with the labelling features, keep. One aggregate pass."""
     aggs: list[Column] = []
     for i, f in enumerate(features):
         aggs.append(F.stddev_pop(f).alias(f"sd{i}"))
-        aggs += [F.corr(f, k).alias(f"c{i}_{j}") for j, k in enumerate(key_features)]
+        aggs += [correlation(f, k).alias(f"c{i}_{j}") for j, k in enumerate(key_features)]
     one = sample.agg(*aggs)
     rows = []
     for i, f in enumerate(features):
@@ -71,32 +77,44 @@ def blur_feature_select(sample: DataFrame, features: list[str], key_features: li
     return one.select(F.inline(F.array(*rows))).withColumn("keep", keep)
 
 
-def scale_in_group(df: DataFrame, keys: list[str], features: list[str], suffix: str = "") -> DataFrame:
-    """(x - mean) / sd of the group, 0 where the group is constant."""
-    aggs = [a for f in features for a in (F.avg(f).alias(f"_m_{f}"), F.stddev_pop(f).alias(f"_s_{f}"))]
-    out = attach(df, df.groupBy(*keys).agg(*aggs), keys)
-    for f in features:
-        z = F.coalesce(ratio(F.col(f) - F.col(f"_m_{f}"), f"_s_{f}"), F.lit(0.0))
-        out = out.withColumn(f"{f}{suffix}", z).drop(f"_m_{f}", f"_s_{f}")
-    return out
+def blur_choices(sample: DataFrame, keys: list[str], features: list[str], means: list[str], limit: float = 0.9) -> DataFrame:
+    """(g, k, allowed): per plate the features that vary in its sample and follow no labelling feature, in one pass."""
+    aggs = [F.stddev_pop(f).alias(f"_s{i}") for i, f in enumerate(features)] + [correlation(f, m).alias(f"_c{i}_{j}") for i, f in enumerate(features) for j, m in enumerate(means)]
+    one = sample.groupBy(group_key(keys).alias("g")).agg(*aggs)
+    # a constant labelling feature correlates with nothing
+    close = lambda i: reduce(lambda a, b: a | b, [F.coalesce(F.abs(F.col(f"_c{i}_{j}")) >= limit, F.lit(False)) for j in range(len(means))])
+    keep = [F.when((F.col(f"_s{i}") > 0) & ~close(i), F.lit(i)) for i in range(len(features))]
+    return one.select("g", F.lit("blur").alias("k"), F.array_compact(F.array(*keep)).alias("allowed"))
+
+
+def blur_classifier_filter(df: DataFrame, keys: list[str], features: list[str], means: list[str], ids: list[str], trees: int = 100, depth: int = DEPTH,
+                           limit: float = 0.9) -> DataFrame:
+    """Rows that their plate's random forest, trained on the pseudo-labels, calls good.
+
+    A forest per plate, all grown at once. Features that correlate with a labelling feature at ``limit`` or
+    more in the plate's sample are left out, as are constant ones; 75 % of the draws train. A plate without a
+    usable feature has no forest and keeps its rows, and so does a row that has a null or NaN feature only if its leaf says good.
+    """
+    sample = cut_lineage(blur_label(df, keys, means, ids))
+    choices = cut_lineage(blur_choices(sample, keys, features, means, limit))
+    train = sample.where(hash_unit(*ids, "draw", salt="split") < 0.75)
+    forests = grow_forests(train, keys, [*ids, "label", "draw"], features, F.col("label") == "good", choices, trees, depth)
+    scored = score_forests(df, forests, keys, ids, features, "_prob")
+    good = scored.where("_prob > 0.5").select(*df.columns)
+    have = forests.select("g").distinct()
+    return good.unionByName(df.withColumn("_g", group_key(keys)).join(have.withColumnRenamed("g", "_g"), "_g", "left_anti").select(*df.columns))
 
 
-def blur_classifier_filter(df: DataFrame, keys: list[str], features: list[str], means: list[str], ids: list[str], trees: int = 100, seed: int = 1) -> DataFrame:
-    """Rows that a random forest trained on the pseudo-labels calls good.
+def preprocess_line(df: DataFrame, line: str, plate: str, control: Column, ids: list[str], features: list[str], size: str, radius: str, cx: str, cy: str,
+                    means: list[str] | None, low: float = MIN_SIZE, prob: float = 0.95, trees: int = 100, controls: str = "_control") -> DataFrame:
+    """The preprocessing of raw objects: size, boundary and blur filters, then plate and batch correction of all features.
 
-    One forest is fitted for all plates on features scaled within the plate, so
-    the number of jobs does not grow with the plates. 75 % of the draws train it.
+    Without ``means`` the blur step is left out. All columns come back, the features corrected.
     """
-    sample = blur_label(df, keys, means, ids)
-    scaled = scale_in_group(df, keys, features, "_z")
-    train = nsjoin(sample.select(*keys, *ids, "label", "draw"), scaled, [*keys, *[i for i in ids if i not in keys]])
-    train = train.where(hash_unit(*ids, "draw", salt="split") < 0.75).withColumn("_y", (F.col("label") == "good").cast("double"))
-    zs = [f"{f}_z" for f in features]
-    model = Pipeline(stages=[
-        VectorAssembler(inputCols=zs, outputCol="_x"),
-        RandomForestClassifier(featuresCol="_x", labelCol="_y", predictionCol="_good", probabilityCol="_p", rawPredictionCol="_raw", numTrees=trees, seed=seed),
-    ]).fit(cut_lineage(train.select("_y", *zs)))
-    return model.transform(scaled).where(F.col("_good") == 1.0).drop(*zs, "_x", "_good", "_p", "_raw")
+    rows = boundary_filter(size_outlier_filter(df.withColumn(controls, control), [line], size, low, prob), radius, cx, cy)
+    if means:
+        rows = cut_lineage(blur_classifier_filter(cut_lineage(rows), [line, plate], features, means, ids, trees))
+    return plate_effect_correct(rows, line, plate, F.col(controls), features).drop(controls)
 
 
 def size_histogram(df: DataFrame, keys: list[str], area: str, delta: float = 5.0) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from platewise.functions.expr import rnd
-from platewise.operators import normalize as N
 from platewise.operators import qc as Q
 from platewise.plans.registry import FEATURES, OBJ, query
 
@@ -65,27 +64,55 @@ def blur_feature_select(t):
     return Q.blur_feature_select(smp, FEATURES, ["quantity", "tax"]).withColumn("sd", rnd("sd", 4)).withColumn("max_corr", rnd("max_corr"))
 
 
+MORE = [*FEATURES, "unit", "load", "levy"]
+
+
+def _more(df):
+    """Further features of an object: price per piece, and two that follow the labelling features loosely."""
+    return df.withColumn("unit", F.col("price") / F.col("quantity")).withColumn("load", F.col("price") * (F.col("tax") + 0.01)).withColumn("levy", F.col("quantity") * (F.col("tax") + 0.02))
+
+
 @query("blur_classifier_filter")
 def blur_classifier_filter(t):
-    kept = Q.blur_classifier_filter(_items(t), ["plate"], FEATURES, ["quantity", "tax500"], ["uuid"], trees=100)
+    kept = Q.blur_classifier_filter(_more(_items(t)), ["plate"], MORE, ["quantity", "tax500"], ["uuid"], trees=100)
     return kept.select("plate", "uuid")
 
 
+@query("blur_choices", f"""WITH {BLUR}, smp AS (SELECT plate, price, quantity, tax, price / quantity AS unit, price * (tax + 0.01) AS load, quantity * (tax + 0.02) AS levy FROM draw JOIN ord USING (plate, label, i) JOIN item USING (plate, uuid)),
+r AS ({" UNION ALL ".join(f"SELECT plate, '{f}' AS feature, stddev_pop({f}) AS sd, greatest(abs(corr({f}, quantity)), abs(corr({f}, tax))) AS mc FROM smp GROUP BY plate" for f in MORE)})
+SELECT plate, feature FROM r WHERE sd > 0 AND NOT coalesce(mc >= 0.9, false)""")
+def blur_choices(t):
+    smp = Q.blur_label(_more(_items(t)), ["plate"], ["quantity", "tax500"], ["uuid"])
+    c = Q.blur_choices(smp, ["plate"], MORE, ["quantity", "tax500"])
+    names = F.array(*[F.lit(f) for f in MORE])
+    return c.select(F.get_json_object("g", "$.plate").cast("long").alias("plate"), F.explode("allowed").alias("i")).select("plate", names[F.col("i")].alias("feature"))
+
+
 PRE = f"""{OBJ}, q AS (SELECT line, quantile_cont(price, .95) AS top FROM obj GROUP BY 1),
 k AS (SELECT obj.* FROM obj JOIN q USING (line) WHERE price >= 300 AND price < top
   AND quantity * 10 < least(part % 2048, 2048 - part % 2048, well * 5, 2048 - well * 5)),
-med AS (SELECT line, plate, median(price) AS m FROM k WHERE ctrl GROUP BY ALL),
-mad AS (SELECT k.line, k.plate, any_value(m) AS m, median(abs(price - m)) AS d FROM k JOIN med USING (line, plate) WHERE ctrl GROUP BY ALL),
-c AS (SELECT line, median(m) AS cm, median(d) AS cd FROM mad GROUP BY 1)"""
+med AS (SELECT line, plate, {", ".join(f"median({f}) AS m_{f}" for f in FEATURES)} FROM k WHERE ctrl GROUP BY ALL),
+mad AS (SELECT k.line, k.plate, {", ".join(f"any_value(m_{f}) AS m_{f}, median(abs({f} - m_{f})) AS d_{f}" for f in FEATURES)} FROM k JOIN med USING (line, plate) WHERE ctrl GROUP BY ALL),
+c AS (SELECT line, {", ".join(f"median(m_{f}) AS cm_{f}, median(d_{f}) AS cd_{f}" for f in FEATURES)} FROM mad GROUP BY 1)"""
+
+
+def _raw(t):
+    return t.objects.withColumn("radius", F.col("quantity") * 10).withColumn("cx", F.col("part") % 2048).withColumn("cy", F.col("well") * 5).withColumn("tax500", F.col("tax") * 500)
 
 
-@query("preprocess_line", f"""WITH {PRE}
-SELECT uuid, round((price - m) * CASE WHEN d <> 0 THEN cd / d END + cm, 4) AS price FROM k LEFT JOIN mad USING (line, plate) LEFT JOIN c USING (line)""")
+@query("preprocess_line")
 def preprocess_line(t):
-    o = t.objects.withColumn("radius", F.col("quantity") * 10).withColumn("cx", F.col("part") % 2048).withColumn("cy", F.col("well") * 5)
-    kept = Q.boundary_filter(Q.size_outlier_filter(o, ["line"], "price"), "radius", "cx", "cy")
-    out = N.plate_effect_correct(kept.select("uuid", "line", "plate", "ctrl", "price"), "line", "plate", F.col("ctrl"), ["price"])
-    return out.select("uuid", rnd("price", 4).alias("price"))
+    """Size, boundary and blur filters, then plate correction of all features."""
+    out = Q.preprocess_line(_more(_raw(t)), "line", "plate", F.col("ctrl"), ["uuid"], MORE, "price", "radius", "cx", "cy", ["quantity", "tax500"])
+    return out.select("uuid", *[rnd(f, 4).alias(f) for f in MORE])
+
+
+@query("preprocess_line_sharp", f"""WITH {PRE}
+SELECT uuid, {", ".join(f"round(({f} - m_{f}) * CASE WHEN d_{f} <> 0 THEN cd_{f} / d_{f} END + cm_{f}, 4) AS {f}" for f in FEATURES)} FROM k LEFT JOIN mad USING (line, plate) LEFT JOIN c USING (line)""")
+def preprocess_line_sharp(t):
+    """The same steps without the blur filter, which SQL can follow."""
+    out = Q.preprocess_line(_raw(t), "line", "plate", F.col("ctrl"), ["uuid"], FEATURES, "price", "radius", "cx", "cy", None)
+    return out.select("uuid", *[rnd(f, 4).alias(f) for f in FEATURES])
 
 
 @query("size_histogram", f"""WITH {OBJ}, b AS (SELECT line, (floor(sqrt(price) / 5) * 5)::BIGINT AS bin, count(*) AS n FROM obj GROUP BY ALL)
