@@ -5,14 +5,14 @@ features x is toxic with probability p = 1 / (1 + exp(-(b + w x))), a document w
 1 - prod(1 - p) over its sentences (noisy-or). b and w maximise the likelihood of the document labels under
 a ridge penalty. The sentences of a document whose own p reaches the threshold are the offending ones.
 
-Features are the marked, lower-cased word and its pieces of four and five characters, hashed into 2**HASH_BITS
-buckets, so that a root seen in training also tells in words that were not. Training uses every labelled row of
-the given part, each distinct text and label once, so copies don't outweigh the rest: one pass counts
+Features are the marked, lower-cased word and its pieces of four and five bytes, hashed into 2**HASH_BITS
+buckets, so that a root seen in training also tells in words that were not. Training uses a bounded sample of the
+labelled ids of the given part (``sample``, the first in hash order), each distinct text and label once, so copies don't outweigh the rest: one pass counts
 in how many toxic and other documents each bucket occurs, the ``n_features`` buckets with the largest
 likelihood ratio towards toxic are kept (a size of the model), and the likelihood is climbed by L-BFGS whose gradient is
 summed over the partitions of the compact sentences. Only sums of n_features + 1 numbers reach the driver.
 
-A sentence ends at a stop mark or line break, and after SENTENCE_WORDS words if it has none; each distinct
+A sentence ends at a word with a stop mark at its end or at a line break, and after SENTENCE_WORDS words if it has none; each distinct
 word of it counts once. Null and empty
 texts have no sentence and score 0. Rows without an id have no label. Of several labels of one id the largest
 counts; null labels count as absent. Repeated rows are scored each, to the same score. Without labelled rows, or without a toxic one, every score is 0.
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,66 +32,109 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import CACHE_WORDS, arrow_map, batch_of, column, pick, text_bytes, texts
+from platewise.llm.common import STEP, U64, arrow_map, batch_of, column, mixed, pick, rolling, text_bytes, texts
 from platewise.session import cut_lineage
 
 HASH_BITS = 18
-SIZES = (4, 5)  # characters of a piece
+SIZES = (4, 5)  # bytes of a piece
 N_FEATURES = 4096
+SAMPLE = 20_000  # labelled ids that the model learns from
 LEAST_SEEN = 3  # toxic documents that must hold a feature
 SENTENCE_WORDS = 40
 RIDGE = 1.0
 STEPS = 60
 MEMORY = 8  # curvature pairs of the climb
-CACHE_BYTES = 32 << 20
-
-SENTENCE = re.compile("[^.!?…。！？؟।\n]+")
-EDGES = re.compile(r"^[\W_]+|[\W_]+$")
-
-
-def buckets(word: str) -> np.ndarray:
-    """Hash buckets of a word: itself and its pieces, begin and end marked."""
-    core = EDGES.sub("", word.lower())
-    if not core:
-        return np.zeros(0, np.int32)
-    marked = f"^{core}$"
-    pieces = {f"={core}"}
-    for n in SIZES:
-        pieces.update(marked[i:i + n] for i in range(len(marked) - n + 1))
-    mask = (1 << HASH_BITS) - 1
-    return np.fromiter((xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) & mask for p in pieces), np.int32, len(pieces))
-
-
-class PerWord(dict):
-    """A value of each word, remembered within bounds of number and bytes."""
-
-    def __init__(self, make: Callable[[str], object]):
-        super().__init__()
-        self.make, self.used = make, 0
-
-    def __missing__(self, word: str):
-        value = self.make(word)
-        self.used += 200 + 2 * len(word) + (value.nbytes if isinstance(value, np.ndarray) else 0)
-        if len(self) >= CACHE_WORDS or self.used > CACHE_BYTES:
-            self.clear()
-            self.used = 0
-        self[word] = value
-        return value
-
-
-def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """Start, end (code points) and words of each sentence; long ones in parts."""
-    for m in SENTENCE.finditer(text):
-        words = m.group().split()
-        if len(words) <= SENTENCE_WORDS:
-            if words:
-                yield m.start(), m.end(), words
-            continue
-        spans = [w.span() for w in re.finditer(r"\S+", m.group())]
-        words = [m.group()[a:b] for a, b in spans]
-        for i in range(0, len(words), SENTENCE_WORDS):
-            part = words[i:i + SENTENCE_WORDS]
-            yield m.start() + spans[i][0], m.start() + spans[i + len(part) - 1][1], part
+
+STOPS = frozenset(".!?…。！？؟।")
+CLOSERS = "\"'”’»)]"
+EDGES = ".,;:!?\"'()[]{}<>«»“”‘’…·•*#-_/\\|`~^$%&+=@¡¿。！？؟।"
+
+
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash buckets of many words, end to end, and where each word's begin and end: the word and its pieces."""
+    marked = [b"^" + core.encode("utf-8", "surrogatepass") + b"$" if (core := w.lower().strip(EDGES)) else b"" for w in words]
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    starts = np.cumsum(lengths) - lengths
+    joined = np.frombuffer(b"".join(marked), np.uint8).astype(U64)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    mask = U64((1 << HASH_BITS) - 1)
+    own, found = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    with np.errstate(over="ignore"):
+        for n in SIZES:
+            h = rolling(joined + U64(n << 8), n)
+            inside = owner[:len(h)] == owner[n - 1:n - 1 + len(h)]
+            own.append(owner[:len(h)][inside])
+            found.append(mixed(h[inside]) & mask)
+        if len(joined):
+            some = np.flatnonzero(lengths)
+            powers = np.cumprod(np.full(int(lengths.max()), STEP, U64))
+            whole = np.add.reduceat((joined + U64(1)) * powers[np.arange(len(joined)) - starts[owner]], starts[some])
+            own.append(some)
+            found.append(mixed(whole) & mask)
+    owner, flat = np.concatenate(own), np.concatenate(found).astype(np.int32)
+    order = np.argsort(owner, kind="stable")
+    return flat[order], np.searchsorted(owner[order], np.arange(len(words) + 1))
+
+
+class Codes(dict):
+    """Numbers of distinct words in order of first appearance."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+class Slice:
+    """Sentences of some texts as arrays: text of each, first and last token, and its distinct words as (sentence, word)."""
+
+    def __init__(self, many: list[bytes]):
+        codes, tokens, sizes, owner = Codes(), [], [], []
+        self.texts = [text.decode("utf-8", "replace") for text in many]
+        for d, text in enumerate(self.texts):
+            for line in text.split("\n"):
+                words = line.split()
+                if words:
+                    tokens.extend(map(codes.__getitem__, words))
+                    sizes.append(len(words))
+                    owner.append(d)
+        self.n, self.words = len(many), list(codes)
+        codes_ = np.array(tokens, np.int64)
+        line_end = np.cumsum(np.array(sizes, np.int64))
+        ends = np.fromiter((w.rstrip(CLOSERS)[-1:] in STOPS for w in self.words), bool, len(self.words))[codes_]
+        ends[line_end - 1] = True
+        # long sentences are cut into parts
+        number = np.cumsum(ends) - ends
+        first = np.searchsorted(number, number)
+        part = (np.arange(len(codes_)) - first) // SENTENCE_WORDS
+        new = np.ones(len(codes_), bool)
+        new[1:] = (number[1:] != number[:-1]) | (part[1:] != part[:-1])
+        self.first = np.flatnonzero(new)
+        self.last = np.append(self.first[1:], len(codes_))[: len(self.first)] - 1
+        doc = np.repeat(np.array(owner, np.int64), np.array(sizes, np.int64))
+        self.doc = doc[self.first]
+        self.doc_start = np.searchsorted(doc, np.arange(self.n))
+        size = max(len(self.words), 1)
+        pairs = np.sort((np.cumsum(new) - 1) * size + codes_)
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
+        self.sentence, self.word = pairs // size, pairs % size
+
+    def spans(self, which: np.ndarray) -> list[tuple[int, int]]:
+        """Start and end, in code points, of some sentences in ascending order."""
+        out, d, places = [], -1, []
+        for i in which:
+            if self.doc[i] != d:
+                d = self.doc[i]
+                places = [m.span() for m in re.finditer(r"\S+", self.texts[d])]
+            base = self.doc_start[d]
+            out.append((places[self.first[i] - base][0], places[self.last[i] - base][1]))
+        return out
+
+
+def spread(flat: np.ndarray, edges: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges ``which`` of a ragged array one after another, and their lengths."""
+    sizes = (edges[1:] - edges[:-1])[which]
+    inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return flat[np.repeat(edges[which], sizes) + inside], sizes
 
 
 @dataclass
@@ -105,17 +148,20 @@ class ToxicModel:
     slope: float = 0.0
     fitted: bool = field(default=True)
 
-    def word_weight(self) -> PerWord:
+    def word_weights(self, words: list[str]) -> np.ndarray:
         full = np.zeros(1 << HASH_BITS)
         full[self.kept] = self.weights
-        return PerWord(lambda w: float(full[buckets(w)].sum()))
+        flat, edges = word_features(words)
+        return np.bincount(np.repeat(np.arange(len(words)), edges[1:] - edges[:-1]), full[flat], len(words))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, learn_from: Callable[[Column], Column], id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(text, y) of the distinct labelled texts of the part to learn from."""
+def labelled(docs: DataFrame, labels: DataFrame, learn_from: Callable[[Column], Column], id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
+    """(text, y) of the distinct texts of at most ``sample`` labelled ids of the part to learn from."""
     known = pick(labels, id=id_col, y=label_col).where("id is not null and y is not null").where(learn_from(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
+    known = cut_lineage(known.orderBy(F.xxhash64("id"), "id").limit(sample))
     rows = pick(docs, id=id_col, text=text_col).where("id is not null").where(learn_from(F.col("id")))
-    rows = rows.join(known, "id").select((F.col("y") > 0).cast("int").alias("y"), F.coalesce("text", F.lit("")).alias("text"))
+    # the sample's size bounds what is broadcast, so the documents are not shuffled
+    rows = rows.join(F.broadcast(known), "id").select((F.col("y") > 0).cast("int").alias("y"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.groupBy("y", F.md5("text").alias("key")).agg(F.first("text").alias("text")).select(text_bytes(), "y")
 
 
@@ -124,13 +170,14 @@ def feature_counts(rows: DataFrame) -> DataFrame:
 
     def make():
         counts = np.zeros((2, 1 << HASH_BITS), np.int64)
-        known = PerWord(buckets)
 
         def work(part):
-            for text, y in zip(texts(part), column(part, "y").to_pylist(), strict=True):
-                found = [known[w] for w in set(text.decode("utf-8", "replace").split())]
-                if found:
-                    counts[y, np.unique(np.concatenate(found))] += 1
+            y, held = column(part, "y").to_pylist(), Slice(texts(part))
+            flat, edges = word_features(held.words)
+            starts = np.searchsorted(held.doc[held.sentence], np.arange(held.n + 1))
+            for d in range(held.n):
+                mine = np.unique(held.word[starts[d]:starts[d + 1]])
+                counts[y[d], np.unique(spread(flat, edges, mine)[0])] += 1
             return iter(())
 
         def end():
@@ -170,27 +217,20 @@ def bags(rows: DataFrame, kept: list[int]) -> DataFrame:
         place = np.full(1 << HASH_BITS, -1, np.int32)
         place[kept] = np.arange(len(kept))
 
-        def held(word):
-            p = place[buckets(word)]
-            return p[p >= 0]
-
-        known = PerWord(held)
-
         def work(part):
-            out: dict[str, list] = {"y": column(part, "y").to_pylist(), "plain": [], "at": [], "sizes": []}
-            for text in texts(part):
-                found, sizes, plain = [], [], 0
-                for _, _, words in sentences(text.decode("utf-8", "replace")):
-                    hits = [p for p in map(known.__getitem__, dict.fromkeys(words)) if len(p)]
-                    if hits:
-                        found += hits
-                        sizes.append(sum(map(len, hits)))
-                    else:
-                        plain += 1
-                out["plain"].append(plain)
-                out["at"].append(np.concatenate(found) if found else np.zeros(0, np.int32))
-                out["sizes"].append(sizes)
-            yield batch_of(BAGS, **out)
+            held = Slice(texts(part))
+            flat, edges = word_features(held.words)
+            known = place[flat]
+            upto = np.concatenate([[0], np.cumsum(known >= 0)])
+            flat, edges = known[known >= 0], upto[edges]
+            at, sizes = spread(flat, edges, held.word)
+            per = np.bincount(held.sentence, sizes, len(held.doc)).astype(np.int64)  # kept features of each sentence
+            live = per > 0
+            plain = np.bincount(held.doc[~live], minlength=held.n)
+            ends = np.cumsum(np.bincount(held.doc, per, held.n)).astype(np.int64)
+            marks = np.cumsum(np.bincount(held.doc[live], minlength=held.n))
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], e]), pa.int32()), pa.array(v.astype(np.int32))) for e, v in ((ends, at), (marks, per[live]))]
+            yield batch_of(BAGS, y=column(part, "y"), plain=plain, at=lists[0], sizes=lists[1])
 
         return work
 
@@ -273,10 +313,10 @@ def climb(f: Callable[[np.ndarray], tuple[float, np.ndarray]], theta: np.ndarray
 
 def fit_toxicity(
     docs: DataFrame, labels: DataFrame, learn_from: Callable[[Column], Column] = lambda i: F.lit(True), id_col: str = "doc_id", text_col: str = "text",
-    label_col: str = "toxic", n_features: int = N_FEATURES, ridge: float = RIDGE, steps: int = STEPS, tolerance: float = 5e-3,
+    label_col: str = "toxic", sample: int = SAMPLE, n_features: int = N_FEATURES, ridge: float = RIDGE, steps: int = STEPS, tolerance: float = 5e-3,
 ) -> ToxicModel:
     """Model of the labelled documents whose id ``learn_from`` takes."""
-    rows = cut_lineage(labelled(docs, labels, learn_from, id_col, text_col, label_col))
+    rows = cut_lineage(labelled(docs, labels, learn_from, id_col, text_col, label_col, sample))
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
@@ -295,23 +335,17 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.3, i
     rows = pick(docs, id=id_col, text=text_col)
 
     def make():
-        weight, bias = model.word_weight(), model.bias
-
         def work(part):
-            ids = column(part, "id")
-            scores, spans = [], []
-            for text in texts(part):
-                total, bad = 0.0, []
-                for start, end, words in sentences(text.decode("utf-8", "replace")):
-                    z = bias + sum(map(weight.__getitem__, dict.fromkeys(words)))
-                    s = z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
-                    total += s
-                    p = -math.expm1(-s)
-                    if p >= threshold:
-                        bad.append({"start": start, "end": end, "probability": p})
-                scores.append(-math.expm1(-total))
-                spans.append(bad)
-            yield batch_of(pa.schema([("id", ids.type), ("score", pa.float64()), ("offending", SPANS)]), id=ids, score=scores, offending=spans)
+            ids, held = column(part, "id"), Slice(texts(part))
+            z = model.bias + np.bincount(held.sentence, model.word_weights(held.words)[held.word], len(held.doc))
+            s = softplus(z)
+            score = -np.expm1(-np.bincount(held.doc, s, held.n)) + 0.0
+            p = -np.expm1(-s)
+            spans: list[list[dict]] = [[] for _ in range(held.n)]
+            bad = np.flatnonzero(p >= threshold)
+            for i, (start, end) in zip(bad, held.spans(bad), strict=True):
+                spans[held.doc[i]].append({"start": start, "end": end, "probability": float(p[i])})
+            yield batch_of(pa.schema([("id", ids.type), ("score", pa.float64()), ("offending", SPANS)]), id=ids, score=score, offending=spans)
 
         return work
 

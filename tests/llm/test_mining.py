@@ -196,10 +196,10 @@ def test_toxicity_finds_held_out_documents_and_sentences(spark):
     assert hits and sum(any(h.strip() in s for s in where.values()) for h in hits) >= 0.95 * len(hits)
     # the score is the noisy-or of the sentences
     i = held[0]
-    weight = model.word_weight()
-    clean = 1.0
-    for _, _, ws in TX.sentences(text[i]):
-        clean *= 1 - 1 / (1 + math.exp(-(model.bias + sum(weight[w] for w in dict.fromkeys(ws)))))
+    clean, held = 1.0, TX.Slice([text[i].encode()])
+    for k in range(len(held.first)):
+        words = [held.words[w] for w in held.word[held.sentence == k]]
+        clean *= 1 - 1 / (1 + math.exp(-(model.bias + model.word_weights(words).sum())))
     assert abs(out[i].score - (1 - clean)) < 1e-9
 
 
@@ -216,7 +216,23 @@ def test_toxicity_of_awkward_tables(spark):
     assert TX.score_toxicity(docs.limit(0), model).collect() == []
 
 
-def test_long_sentences_are_cut_by_words():
-    text = " ".join(f"w{i}" for i in range(100)) + "! End"
-    parts = list(TX.sentences(text))
-    assert [len(w) for _, _, w in parts] == [40, 40, 20, 1] and [text[a:b].split() for a, b, _ in parts] == [w for _, _, w in parts]
+def test_features_do_not_depend_on_their_neighbours():
+    words = ["stupid", "Stupid!", "", "...", "a", "x" * 3000, "stupidly", "é中"]
+    flat, edges = TX.word_features(words)
+    for i, w in enumerate(words):
+        alone, _ = TX.word_features([w])
+        assert (np.sort(flat[edges[i]:edges[i + 1]]) == np.sort(alone)).all()
+    one, two = (set(flat[edges[i]:edges[i + 1]]) for i in (0, 6))
+    assert (flat[edges[0]:edges[1]] == flat[edges[1]:edges[2]]).all() and len(one & two) >= 4 and edges[2] == edges[3] == edges[4]
+
+
+def test_sentences_end_at_stops_lines_and_forty_words():
+    many = ["One two. Three!\nfour (five.) six", "", " ".join(f"w{i}" for i in range(100)) + "! End", "é 中。 x"]
+    held = TX.Slice([t.encode() for t in many])
+    spans = held.spans(np.arange(len(held.first)))
+    got = [(int(d), many[d][a:b]) for d, (a, b) in zip(held.doc, spans, strict=True)]
+    assert got[:4] == [(0, "One two."), (0, "Three!"), (0, "four (five.)"), (0, "six")]
+    assert [len(t.split()) for d, t in got if d == 2] == [40, 40, 20, 1] and [t for d, t in got if d == 3] == ["é 中。", "x"]
+    for k, (d, t) in enumerate(got):
+        assert {held.words[w] for w in held.word[held.sentence == k]} == set(t.split())
+    assert len(TX.Slice([]).first) == 0 and len(TX.Slice([b"", b" \n"]).first) == 0
