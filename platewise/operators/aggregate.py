@@ -6,15 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.expr import MAD_TO_SD, nsjoin, with_group_stats
+from platewise.operators.radix import named_statistics
 from platewise.operators.order import group_median, group_median_mad, group_quantiles, one_bucket, row_order, running, value_order
 
 
 def well_median_mad(df: DataFrame, keys: list[str], features: list[str], first: list[str]) -> DataFrame:
     """Per well: object count, metadata (smallest value), median and MAD of each feature."""
-    rows = df.select(*keys, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(keys, features, "feature", "value")
-    st = group_median_mad(rows, [*keys, "feature"], "value", "median", "mad")
-    wide = st.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("feature") == f, F.col(v))).alias(f"{v}_{f}") for f in features for v in ("median", "mad")])
+    wide = named_statistics(df, keys, features, {"median": 0.5}, "mad")
     meta = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_objects"), *[F.min(m).alias(m) for m in first])
     return nsjoin(meta, wide, keys, "left")
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from platewise.functions.expr import MAD_TO_SD, attach, nsjoin, ratio
 from platewise.operators.order import group_median, group_median_mad, row_order, value_order
+from platewise.operators.radix import array_statistics, named_statistics
 from platewise.session import cut_lineage
 
 
@@ -28,18 +29,15 @@ def _widen(stats: DataFrame, keys: list[str], features: list[str], values: list[
 
 
 def plate_effects(df: DataFrame, line: str, plate: str, control: Column, features: list[str]) -> DataFrame:
-    """Per (line, plate, feature): control median and MAD, and over the line's plates
-    the median of medians (centre) and of MADs (spread)."""
-    return _line_effects(_long(df.where(control), [line, plate], features), line, plate)
+    """One row per plate: ``_middle_<f>`` (control median), ``_centre_<f>`` and ``_factor_<f>``.
 
-
-def _line_effects(ctrl: DataFrame, line: str, plate: str) -> DataFrame:
-    plates = group_median_mad(ctrl, [line, plate, "feature"], "value", "middle", "dev")
-    both = plates.unpivot([line, "feature"], ["middle", "dev"], "_stat", "_v")
-    med = group_median(both, [line, "feature", "_stat"], "_v", "_med")
-    lines = med.groupBy(line, "feature").agg(
-        F.max(F.when(F.col("_stat") == "middle", F.col("_med"))).alias("centre"), F.max(F.when(F.col("_stat") == "dev", F.col("_med"))).alias("spread"))
-    return nsjoin(plates, lines, [line, "feature"])
+    The centre is the median of the line's plate medians, the factor the median of its plate MADs over the plate's own.
+    """
+    plates = named_statistics(df.where(control), [line, plate], features, {"_middle": 0.5}, "_dev")
+    own = [f"{s}_{f}" for s in ("_middle", "_dev") for f in features]
+    lines = named_statistics(plates, [line], own, {"_of": 0.5})
+    both = nsjoin(plates, lines, [line])
+    return cut_lineage(both.select(line, plate, *[c for f in features for c in (F.col(f"_middle_{f}"), F.col(f"_of__middle_{f}").alias(f"_centre_{f}"), ratio(f"_of__dev_{f}", f"_dev_{f}").alias(f"_factor_{f}"))]))
 
 
 def plate_effect_correct(df: DataFrame, line: str, plate: str, control: Column, features: list[str]) -> DataFrame:
@@ -47,21 +45,29 @@ def plate_effect_correct(df: DataFrame, line: str, plate: str, control: Column,
 
     A plate without controls, or with zero MAD, gives nulls.
     """
-    eff = plate_effects(df, line, plate, control, features).withColumn("factor", ratio("spread", "dev"))
-    wide = _widen(eff, [line, plate], features, ["middle", "centre", "factor"])
-    out = nsjoin(df, wide, [line, plate], "left")
+    out = nsjoin(df, plate_effects(df, line, plate, control, features), [line, plate], "left")
     fixed = {f: ((F.col(f) - F.col(f"_middle_{f}")) * F.col(f"_factor_{f}") + F.col(f"_centre_{f}")).alias(f) for f in features}
     return out.select(*[fixed.get(c, F.col(c)) for c in df.columns])
 
 
 def plate_effect_correct_vector(df: DataFrame, line: str, plate: str, control: Column, vector: str = "features") -> DataFrame:
-    """The same on an array column: only control rows are exploded for the statistics."""
-    ctrl = df.where(control).select(line, plate, F.posexplode(vector).alias("feature", "value"))
-    eff = _line_effects(ctrl, line, plate)
-    eff = eff.select(line, plate, F.struct("feature", "middle", "centre", ratio("spread", "dev").alias("factor")).alias("_e"))
-    packed = eff.groupBy(line, plate).agg(F.sort_array(F.collect_list("_e")).alias("_fx"))
-    out = attach(df, packed, [line, plate], "left")
-    fixed = F.zip_with(vector, "_fx", lambda x, e: (x - e["middle"]) * e["factor"] + e["centre"])
+    """The same on an array column of equal length in every row, which stays an array throughout."""
+    nan = F.lit(float("nan"))
+    full = F.transform(vector, lambda v: F.coalesce(v.cast("double"), nan))
+    width = df.agg(F.max(F.size(vector))).first()[0] or 0
+    if width < 1:
+        return df
+    rows = df.where(control & (F.size(vector) == width)).select(line, plate, full.alias("x"))
+    at = lambda i: F.transform("stats", lambda s: s[i])
+    plates = cut_lineage(array_statistics(rows, [line, plate], width, [0.5], True).select(line, plate, at(0).alias("middle"), at(1).alias("dev")))
+    both = array_statistics(plates.select(line, F.concat("middle", "dev").alias("x")), [line], 2 * width, [0.5])
+    lines = both.select(line, F.slice(at(0), 1, width).alias("centre"), F.slice(at(0), width + 1, width).alias("spread"))
+    effects = nsjoin(plates, lines, [line])
+    factor = F.zip_with("spread", "dev", lambda a, b: F.try_divide(a, b))
+    effects = effects.select(line, plate, F.arrays_zip("middle", "centre", factor.alias("factor")).alias("_fx"))
+    out = attach(df, effects, [line, plate], "left")
+    null = lambda v: F.when(~F.isnan(v), v)
+    fixed = F.zip_with(vector, "_fx", lambda x, e: null((x - e["middle"]) * e["factor"] + e["centre"]))
     return out.withColumn(vector, fixed).drop("_fx")
 
 

@@ -4,8 +4,8 @@ Medians, ranks, running sums and row numbers inside a group are normally one
 window (or one aggregate buffer) per group, so a group that holds a third of
 all rows ends in one task. Here
 
-* quantiles narrow each group to a bracket around the wanted rank with a
-  mergeable sketch, and sort only the bracket;
+* quantiles come from ``radix``: blocks of rows for groups that fit a task,
+  digit histograms for larger ones;
 * ranks and running sums cut the order axis into buckets, sort inside
   (group, bucket) and add the offset of the buckets before.
 
@@ -21,12 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.expr import hash_text, nsjoin
-from platewise.session import cut_lineage
+from platewise.operators.radix import named_statistics
 
 SKETCH_ACCURACY = 10_000
-BRACKET = 5.0 / SKETCH_ACCURACY
-SMALL_GROUP = 100_000  # rows a single aggregate buffer may hold
-WHOLE_GROUP = 10_000
 BUCKETS = 4096  # most pieces the order axis is cut into
 ROWS_PER_BUCKET = 50_000
 TEXT_CUTS = 128  # pieces of a text column's order
@@ -36,97 +33,30 @@ def _mid(name: str) -> str:
     return f"_run_{name}"
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the biggest group, one number for choosing a strategy."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], count_as: str | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles per group (numpy / R type 7), see ``radix``.
 
+    Null and NaN values are left out, and groups without another. The result, one row per group, is
+    written once so that its users do not repeat the passes.
+    """
+    return _one_feature(df, keys, value, probs, None, 1.0, count_as)
 
-def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], count_as: str | None = None,
-                    largest: int | None = None) -> DataFrame:
-    """Exact linearly interpolated quantiles per group (numpy / R type 7).
 
-    Null and NaN values are left out. The groups are counted first, unless the
-    caller knows the size of the largest. If none has
-    more than ``SMALL_GROUP`` rows, Spark's exact ``percentile`` does it. Otherwise
-    groups of up to ``WHOLE_GROUP`` rows are sorted whole; of a larger one only the rows between the sketched quantiles
-    at p -/+ BRACKET are, everything below being counted map-side. The sketch's
-    rank error is a fifth of the bracket, so the wanted ranks lie inside; the
-    job fails rather than return another value should they ever not. The result,
-    one row per group, is written once so that its users do not repeat the passes.
-    """
+def _one_feature(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], spread: str | None, scale: float, count_as: str | None) -> DataFrame:
     gk = list(keys) or ["_all"]
-    src = df if keys else df.withColumn("_all", F.lit(0))
-    v = F.col(value).cast("double")
-    base = src.select(*gk, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    if largest is None:
-        largest = largest_group(base, gk)
-    if largest <= SMALL_GROUP:
-        plain = base.groupBy(*gk).agg(F.count(F.lit(1)).alias("_n"), F.percentile("_v", list(probs.values())).alias("_q"))
-        named = [F.col("_q")[i].alias(n) for i, n in enumerate(probs)]
-        out = cut_lineage(plain.select(*gk, *named, *([F.col("_n").alias(count_as)] if count_as else [])))
-        return out if keys else out.drop("_all")
-    marks: list[float] = []
-    for p in probs.values():
-        marks += [max(p - BRACKET, 0.0), min(p + BRACKET, 1.0)]
-    sketch = base.groupBy(*gk).agg(
-        F.count("_v").alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", marks, SKETCH_ACCURACY).alias("_q"),
-    )
-    whole = F.col("_n") <= WHOLE_GROUP
-    wanted = []
-    for i, (name, p) in enumerate(probs.items()):
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        lo = F.col("_min") if marks[2 * i] <= 0 else F.when(whole, F.col("_min")).otherwise(F.col("_q")[2 * i])
-        hi = F.col("_max") if marks[2 * i + 1] >= 1 else F.when(whole, F.col("_max")).otherwise(F.col("_q")[2 * i + 1])
-        wanted.append(
-            F.struct(
-                F.lit(name).alias("_name"), lo.alias("_lo"), hi.alias("_hi"),
-                F.floor(pos).cast("long").alias("_k0"), F.ceil(pos).cast("long").alias("_k1"),
-                (pos - F.floor(pos)).alias("_frac"),
-            )
-        )
-    brackets = sketch.select(*gk, "_n", F.inline(F.array(*wanted)))
-    inside = (
-        nsjoin(base, brackets, gk)
-        .where(F.col("_v") <= F.col("_hi"))
-        .withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
-        .groupBy(*gk, "_name", "_n", "_k0", "_k1", "_frac", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    w = Window.partitionBy(*gk, "_name").orderBy(F.col("_v").asc_nulls_first())
-    ranked = inside.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def pick(k: str) -> Column:
-        return F.max(F.when((F.col("_upto") > F.col(k)) & (F.col("_upto") - F.col("_c") <= F.col(k)), F.col("_v")))
-
-    missed = F.raise_error(F.lit("quantile bracket missed the wanted rank"))
-    picked = ranked.groupBy(*gk, "_name", "_n", "_frac").agg(pick("_k0").alias("_x0"), pick("_k1").alias("_x1"))
-    x0 = F.when(F.col("_x0").isNull() | F.col("_x1").isNull(), missed.cast("double")).otherwise(F.col("_x0"))
-    picked = picked.withColumn("_x", F.when(F.col("_x0") == F.col("_x1"), F.col("_x0")).otherwise(x0 + (F.col("_x1") - F.col("_x0")) * F.col("_frac")))
-    aggs = [F.max(F.when(F.col("_name") == n, F.col("_x"))).alias(n) for n in probs]
-    if count_as:
-        aggs.append(F.max("_n").alias(count_as))
-    out = cut_lineage(picked.groupBy(*gk).agg(*aggs))
-    return out if keys else out.drop("_all")
+    src = (df if keys else df.withColumn("_all", F.lit(0))).select(*gk, F.col(value).cast("double").alias("_v"))
+    out = named_statistics(src.where(F.col("_v").isNotNull() & ~F.isnan("_v")), gk, ["_v"], probs, spread, scale, count_as)
+    return out.select(*keys, *[F.col(f"{n}__v").alias(n) for n in [*probs, *([spread] if spread else []), *([count_as] if count_as else [])]])
 
 
-def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median", count_as: str | None = None,
-                 largest: int | None = None) -> DataFrame:
-    return group_quantiles(df, keys, value, {name: 0.5}, count_as, largest)
+def group_median(df: DataFrame, keys: list[str], value: str, name: str = "median", count_as: str | None = None) -> DataFrame:
+    return group_quantiles(df, keys, value, {name: 0.5}, count_as)
 
 
 def group_median_mad(df: DataFrame, keys: list[str], value: str, median: str = "median", mad: str = "mad",
                      count_as: str | None = None, scale: float = 1.0) -> DataFrame:
     """Median and median absolute deviation (raw unless ``scale`` is given)."""
-    largest = largest_group(df, keys)
-    med = group_median(df, keys, value, median, count_as, largest)
-    dev = nsjoin(df.select(*keys, value), med.select(*keys, median), keys).withColumn("_dev", F.abs(F.col(value) - F.col(median)))
-    spread = group_median(dev, keys, "_dev", mad, largest=largest)
-    if scale != 1.0:
-        spread = spread.withColumn(mad, F.col(mad) * F.lit(scale))
-    return cut_lineage(nsjoin(med, spread, keys))
+    return _one_feature(df, keys, value, {median: 0.5}, mad, scale, count_as)
 
 
 def cut_points(df: DataFrame, value: str) -> list[float]:

@@ -21,9 +21,9 @@ def spark():
 @pytest.fixture
 def pieces(monkeypatch):
     """Force the paths for hot groups on small data."""
-    from platewise.operators import order
+    from platewise.operators import order, radix
 
-    monkeypatch.setattr(order, "SMALL_GROUP", 20)
-    monkeypatch.setattr(order, "WHOLE_GROUP", 300)
-    monkeypatch.setattr(order, "BRACKET", 0.02)
+    monkeypatch.setattr(radix, "TASK_ROWS", 100)
+    monkeypatch.setattr(radix, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(radix, "HELD_VALUES", 500)
     monkeypatch.setattr(order, "ROWS_PER_BUCKET", 20)
