@@ -1,8 +1,8 @@
 """Exact quantiles of many features per group, by one pass for most groups and digit histograms for the rest.
 
 Rows stay wide: a row's features are one array. A task buffers rows, sorts them by group and sends each
-group's rows on as one block, or just their number where it has met more than ``BLOCK_ROWS`` of the group at a time.
-Groups whose blocks are few enough to fit a task (``TASK_ROWS`` rows) are finished there, all features and all groups of a batch by
+group's rows on as one block, or just their number where it has met more than ``BLOCK_VALUES`` numbers of the group at a time.
+Groups whose blocks are few enough to fit a task (``TASK_VALUES`` numbers) are finished there, all features and all groups of a batch by
 the same sorted arrays; that covers medians and the deviations from them.
 
 Larger groups never come together. Their values are read as 64-bit integers of the same order, and each
@@ -24,8 +24,8 @@ from platewise.functions.expr import nsjoin
 from platewise.session import cut_lineage
 
 HELD_VALUES = 4_000_000  # numbers a task buffers
-BLOCK_ROWS = 4096
-TASK_ROWS = 20_000
+BLOCK_VALUES = 1_000_000  # numbers of one group that a task sends on as one block
+TASK_VALUES = 8_000_000  # numbers of one group that a task finishes
 SHIFTS = [42, 21, 0]  # bits left after each digit
 
 
@@ -92,7 +92,7 @@ def row_blocks(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
             order = np.argsort(code, kind="stable")
             n = np.bincount(code, minlength=len(first))
             values = matrix(table["x"], width)[order]
-            small = n <= BLOCK_ROWS
+            small = n * width <= BLOCK_VALUES
             # values of small groups only, as lists
             at = np.repeat(small, n)
             ends = np.concatenate([[0], np.cumsum(np.where(small, n * width, 0))])
@@ -247,14 +247,14 @@ def array_statistics(rows: DataFrame, keys: list[str], width: int, probs: list[f
     """The same for rows (keys, x) with an array of ``width`` doubles, NaN for null."""
     blocks = cut_lineage(row_blocks(rows, keys, width))
     sizes = blocks.groupBy(*keys).agg(F.sum("n").alias("n"), F.max(F.col("block").isNull()).alias("many"))
-    large = cut_lineage(sizes.where((F.col("n") > TASK_ROWS) | F.col("many")).select(*keys))
+    large = cut_lineage(sizes.where((F.col("n") * width > TASK_VALUES) | F.col("many")).select(*keys))
     per = len(probs) + spread
     nested = lambda c: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.slice(c, i * per + 1, per))
     if large.isEmpty():
         out = finished(blocks, keys, width, probs, spread)
         return out.select(*keys, "counts", nested(F.col("stats")).alias("stats"))
     out = finished(without(blocks, large, keys), keys, width, probs, spread).select(*keys, "counts", nested(F.col("stats")).alias("stats"))
-    wide = nsjoin(rows, large, keys)
+    wide = cut_lineage(nsjoin(rows, large, keys))
     q = narrowed(wide, keys, width, probs)
     if spread:
         centres = q.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("f", "q0"))).alias("m"))

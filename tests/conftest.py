@@ -23,7 +23,7 @@ def pieces(monkeypatch):
     """Force the paths for hot groups on small data."""
     from platewise.operators import order, radix
 
-    monkeypatch.setattr(radix, "TASK_ROWS", 100)
-    monkeypatch.setattr(radix, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(radix, "TASK_VALUES", 100)
+    monkeypatch.setattr(radix, "BLOCK_VALUES", 50)
     monkeypatch.setattr(radix, "HELD_VALUES", 500)
     monkeypatch.setattr(order, "ROWS_PER_BUCKET", 20)

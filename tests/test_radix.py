@@ -10,8 +10,8 @@ from platewise.operators import radix as R
 @pytest.fixture(params=[False, True], ids=["whole", "digits"])
 def digits(request, monkeypatch):
     if request.param:
-        monkeypatch.setattr(R, "TASK_ROWS", 30)
-        monkeypatch.setattr(R, "BLOCK_ROWS", 25)
+        monkeypatch.setattr(R, "TASK_VALUES", 120)
+        monkeypatch.setattr(R, "BLOCK_VALUES", 100)
         monkeypatch.setattr(R, "HELD_VALUES", 400)
     return request.param
 
