@@ -17,6 +17,7 @@ from platewise.functions.expr import hash_text, hash_unit, log_factorial, nsjoin
 from platewise.functions.special import digamma, fisher_greater, t_pvalue, trigamma, trigamma_inverse
 from platewise.operators.joins import key_grid
 from platewise.operators.pairs import cross_products
+from platewise.operators.permute import random_set_scores, random_set_sums, test_key
 from platewise.operators.order import average_rank, bh_adjust, group_median, group_quantiles, row_order, running, value_order
 from platewise.session import cut_lineage
 
@@ -201,25 +202,22 @@ def ttest_welch(df: DataFrame, keys: list[str], group: Column, value: str, with_
     return out.withColumn("p_value", t_pvalue("t", "df")) if with_p else out
 
 
-def permutation_test(df: DataFrame, test: str, unit: str, value: str, status: DataFrame, factor: str, permutations: int, seed: str = "perm") -> DataFrame:
+def permutation_test(df: DataFrame, test: str, unit: str, value: str, status: DataFrame, factor: str, permutations: int = 9999, seed: str = "perm") -> DataFrame:
     """Monte-Carlo difference test of ``value`` between units with and without each factor.
 
     df: one row per (test, unit); status: (unit, factor) pairs that are positive. A
     permutation orders the units by hash; the first n1 of them are its positive
-    group, so running sums per (test, permutation) serve every factor at once.
+    group, so its prefixes serve every factor at once (see ``permute``).
     Two-sided p = (1 + #{|perm - mean| >= |obs - mean|}) / (B + 1).
     """
     base = df.select(test, unit, value).where(F.col(value).isNotNull())
     tot = base.groupBy(test).agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_t"), F.var_samp(value).alias("variance"))
     pos = base.join(status.select(unit, factor).distinct(), unit).groupBy(test, factor).agg(F.count(F.lit(1)).alias("_n1"), F.sum(value).alias("_s1"))
-    obs = nsjoin(pos, tot, [test]).where("_n1 < _n")
-    shuffled = base.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    shuffled = shuffled.withColumn("_h", hash_text(unit, "perm", salt=seed)).withColumn("_b", F.substring("_h", 1, 1))
-    run = running(shuffled, [test, "perm"], "_b", [F.col("_h")], {"one": F.lit(1).cast("long"), "v": F.col(value)})
-    run = run.select(test, (F.col("before_one") + 1).alias("_n1"), (F.col("before_v") + F.col(value)).alias("_p"))
+    obs = cut_lineage(nsjoin(pos, tot, [test]).where("_n1 < _n").withColumn("g", test_key([test])))
+    sums = random_set_sums(base, [test], unit, F.col(value), obs.select("g", F.col("_n1").alias("size")), permutations, seed)
     diff = lambda s: s / F.col("_n1") - (F.col("_t") - s) / (F.col("_n") - F.col("_n1"))
-    sims = nsjoin(run, obs, [test, "_n1"])
-    hit = F.abs(diff(F.col("_p"))) >= F.abs(diff(F.col("_s1"))) - 1e-9
+    sims = sums.withColumnRenamed("size", "_n1").join(obs, ["g", "_n1"])
+    hit = F.abs(diff(F.col("sum"))) >= F.abs(diff(F.col("_s1"))) - 1e-9
     out = sims.groupBy(test, factor).agg(
         F.first(diff(F.col("_s1"))).alias("estimate"), F.first("variance").alias("variance"),
         ((F.count_if(hit) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
@@ -457,22 +455,24 @@ def _es_from_hits(hits: DataFrame, keys: list[str], score: str, set_name: str, p
     return g.select(*keys, set_name, "size", F.when(up, F.col("_max")).otherwise(F.col("_min")).alias("es"), F.when(up, F.col("_pmax")).otherwise(F.col("_pmin")).alias("edge_rank"))
 
 
-def gsea_permutation(ranked: DataFrame, sets: DataFrame, gene: str, score: str, set_name: str, permutations: int, power: float = 1.0, seed: str = "gsea") -> DataFrame:
-    """es, NES and p per set from gene permutations: each gene takes the rank and score of a shuffled position."""
+def gsea_permutation(ranked: DataFrame, sets: DataFrame, gene: str, score: str, set_name: str, permutations: int = 100_000, power: float = 1.0, seed: str = "gsea", smallest: int = 1, largest: int | None = None) -> DataFrame:
+    """es, NES, p and adjusted p per set of ``smallest`` to ``largest`` ranked genes, against random sets of its size.
+
+    A replicate's nested random sets give the null score of every size at once (see ``permute``). NES and p
+    use the null scores of the observed sign.
+    """
     genes = cut_lineage(row_order(ranked.select(gene, score), [], score, [gene], "_pos", descending=True, total_as="_n"))
     members = sets.select(gene, set_name).distinct()
-    observed = _es_from_hits(nsjoin(genes, members, [gene]), [], score, set_name, power)
-    used = genes.select(gene).join(members.select(gene).distinct(), gene, "left_semi")
-    shuffled = genes.select(gene).withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    shuffled = shuffled.withColumn("_h", hash_text(gene, "perm", salt=seed)).withColumn("_b", F.substring("_h", 1, 2))
-    order = running(shuffled, ["perm"], "_b", [F.col("_h")], {"one": F.lit(1).cast("long")}).select("perm", gene, (F.col("before_one") + 1).alias("_pos"))
-    placed = order.join(used, gene).join(genes.select("_pos", score, "_n"), "_pos")
-    null = cut_lineage(_es_from_hits(nsjoin(placed, members, [gene]), ["perm"], score, set_name, power).select("perm", set_name, F.col("es").alias("_e")))
-    t = nsjoin(null, observed, [set_name])
+    observed = _es_from_hits(nsjoin(genes, members, [gene]), [], score, set_name, power).where(F.col("size") >= smallest)
+    observed = cut_lineage(observed.where(F.col("size") <= largest) if largest else observed)
+    weight = F.pow(F.abs(F.col(score)), F.lit(float(power)))
+    null = random_set_scores(genes, gene, weight, F.col("_pos"), observed.select("size"), permutations, seed)
+    t = null.withColumnRenamed("es", "_e").join(observed, "size")
     same = F.signum("_e") == F.signum("es")
-    return t.groupBy(set_name, "size", "es", "edge_rank").agg(
+    out = t.groupBy(set_name, "size", "es", "edge_rank").agg(
         ratio(F.col("es"), F.avg(F.when(same, F.abs("_e")))).alias("nes"),
         ((F.count_if(same & (F.abs("_e") >= F.abs("es") - 1e-12)) + 1) / (F.count_if(same) + 1)).alias("p_value"))
+    return bh_adjust(cut_lineage(out), [], "p_value", "p_adj")
 
 
 def gene_set_matrix(sets: DataFrame, set_name: str, gene: str, names: list | None = None) -> DataFrame:
@@ -505,20 +505,19 @@ def factor_set_enrichment(loadings: DataFrame, sets: DataFrame, factor: str, gen
     return t.select(factor, "sign", set_name, "size", (m1 - m0).alias("difference"), ratio(m1 - m0, F.sqrt(rss / df * (1 / n1 + 1 / n0))).alias("t"), df.alias("df"))
 
 
-def factor_set_permutation(loadings: DataFrame, sets: DataFrame, factor: str, gene: str, weight: str, set_name: str, permutations: int, seed: str = "fse") -> DataFrame:
-    """Permutation p of the mean absolute loading of each set.
+def factor_set_permutation(loadings: DataFrame, sets: DataFrame, factor: str, gene: str, weight: str, set_name: str, permutations: int = 100_000, seed: str = "fse") -> DataFrame:
+    """Permutation p of the mean absolute loading of each set, and its adjustment within the factor.
 
     A permutation orders genes by hash; its first n1 genes stand for a random set of
-    that size, so one running sum per (factor, permutation) serves all sets.
+    that size, so its prefixes serve all sets (see ``permute``).
     """
     x = loadings.select(factor, gene, F.abs(weight).alias("x"))
     inside = nsjoin(x, sets.select(gene, set_name).distinct(), [gene]).groupBy(factor, set_name).agg(F.count(F.lit(1)).alias("size"), F.sum("x").alias("_s1"))
-    sizes = inside.select(factor, "size").distinct()
-    order = x.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).withColumn("_h", hash_text(gene, "perm", salt=seed)).withColumn("_b", F.substring("_h", 1, 2))
-    run = running(order, [factor, "perm"], "_b", [F.col("_h")], {"one": F.lit(1).cast("long"), "x": F.col("x")})
-    at = nsjoin(run.select(factor, (F.col("before_one") + 1).alias("size"), (F.col("before_x") + F.col("x")).alias("_p")), sizes, [factor, "size"])
-    return nsjoin(at, inside, [factor, "size"]).groupBy(factor, set_name, "size").agg(
-        (F.first("_s1") / F.col("size")).alias("mean_weight"), ((F.count_if(F.col("_p") >= F.col("_s1") - 1e-9) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
+    inside = cut_lineage(inside.withColumn("g", test_key([factor])))
+    sums = random_set_sums(x, [factor], gene, F.col("x"), inside.select("g", "size"), permutations, seed)
+    out = sums.join(inside, ["g", "size"]).groupBy(factor, set_name, "size").agg(
+        (F.first("_s1") / F.col("size")).alias("mean_weight"), ((F.count_if(F.col("sum") >= F.col("_s1") - 1e-9) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
+    return bh_adjust(cut_lineage(out), [factor], "p_value", "p_adj")
 
 
 def leading_edge_compare(a: DataFrame, b: DataFrame, genes: DataFrame, gene: str, stat: str, keys: list[str]) -> DataFrame:

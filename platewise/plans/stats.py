@@ -219,13 +219,21 @@ def ttest_welch_pvalues(t):
     return w.select("genotype", "drug", rnd("t", 5).alias("t"), rnd("df", 4).alias("df"), rnd("p_value", 8).alias("p_value"))
 
 
-PERMS = 99
+PERMS = 9999
 
 
-@query("permutation_test", f"""WITH {MUT}, n AS (SELECT drug, count(*) AS n, sum(auc) AS t, var_samp(auc) AS variance FROM la GROUP BY 1),
+# the hash of (unit, permutation), step by step modulo 2**64
+WRAP = "((({a})::UHUGEINT * {b}::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+HASHED = f"""h0 AS (SELECT line, perm, (({WRAP.format(a="('0x' || substr(md5(line || '_perm'), 1, 13))::BIGINT", b=0x9E3779B97F4A7C15)} + {WRAP.format(a="perm", b=0xC2B2AE3D27D4EB4F)}) % 18446744073709551616::UHUGEINT)::UBIGINT AS h
+ FROM (SELECT DISTINCT line FROM la) CROSS JOIN (SELECT unnest(range(1, {PERMS + 1})) AS perm)),
+h1 AS (SELECT line, perm, {WRAP.format(a="xor(h, h >> 32)", b=0xD6E8FEB86659FD93)}::UBIGINT AS h FROM h0), h2 AS (SELECT line, perm, {WRAP.format(a="xor(h, h >> 32)", b=0xD6E8FEB86659FD93)}::UBIGINT AS h FROM h1),
+hs AS MATERIALIZED (SELECT line, perm, xor(h, h >> 32) >> 1 AS h FROM h2)"""
+
+
+@query("permutation_test", f"""WITH {MUT}, {HASHED}, n AS (SELECT drug, count(*) AS n, sum(auc) AS t, var_samp(auc) AS variance FROM la GROUP BY 1),
 ob AS (SELECT drug, genotype, count(*) AS n1, sum(auc) AS s1 FROM la JOIN mut USING (line) GROUP BY ALL),
 o AS (SELECT * FROM ob JOIN n USING (drug) WHERE n1 < n),
-sh AS (SELECT drug, perm, auc, row_number() OVER (PARTITION BY drug, perm ORDER BY md5(line || '_' || perm || '_perm')) AS k FROM la CROSS JOIN (SELECT unnest(range(1, {PERMS + 1})) AS perm)),
+sh AS (SELECT drug, perm, auc, row_number() OVER (PARTITION BY drug, perm ORDER BY h) AS k FROM la JOIN hs USING (line)),
 pr AS (SELECT drug, perm, k AS n1, sum(auc) OVER (PARTITION BY drug, perm ORDER BY k) AS p FROM sh),
 d AS (SELECT drug, genotype, variance, s1 / n1 - (t - s1) / (n - n1) AS obs, p / n1 - (t - p) / (n - n1) AS sim FROM pr JOIN o USING (drug, n1)),
 pv AS (SELECT drug, genotype, any_value(obs) AS estimate, any_value(variance) AS variance, (count_if(abs(sim) >= abs(obs) - 1e-9) + 1) / (count(*) + 1) AS p FROM d GROUP BY ALL),
@@ -365,17 +373,12 @@ def gsea_running_sum(t):
     return r6(T.gsea_running_sum(_ranked(t), _sets(t), [], "gene", "score", "gs"), "es")
 
 
-GPERM = 20
+GPERM = 100_000
 
 
-@query("gsea_permutation", f"""WITH {GSEA}, h AS (SELECT gs, pos, n, abs(score) AS w FROM pos JOIN st USING (gene)), {es_sql('h', 'gs')},
-sh AS (SELECT perm, gene, row_number() OVER (PARTITION BY perm ORDER BY md5(gene || '_' || perm || '_gsea')) AS pos FROM rk CROSS JOIN (SELECT unnest(range(1, {GPERM + 1})) AS perm)),
-h2 AS (SELECT perm, gs, sh.pos, n, abs(score) AS w FROM sh JOIN st USING (gene) JOIN (SELECT pos, n, score FROM pos) q ON q.pos = sh.pos),
-{es_sql('h2', 'perm, gs').replace('r AS', 'r2 AS', 1).replace('cv AS', 'cv2 AS').replace('es AS', 'es2 AS').replace('FROM r)', 'FROM r2)').replace('FROM cv GROUP', 'FROM cv2 GROUP')},
-z AS (SELECT es.*, es2.es AS e, sign(es2.es) = sign(es.es) AS same FROM es JOIN es2 USING (gs))
-SELECT gs, size, round(es, 6) AS es, edge_rank, round(es / avg(abs(e)) FILTER (same), 6) AS nes, round((count_if(same AND abs(e) >= abs(es) - 1e-12) + 1) / (count_if(same) + 1), 6) AS p_value FROM z GROUP BY gs, size, es, edge_rank""")
+@query("gsea_permutation")
 def gsea_permutation(t):
-    return r6(T.gsea_permutation(_ranked(t), _sets(t), "gene", "score", "gs", GPERM), "es", "nes", "p_value")
+    return r6(T.gsea_permutation(_ranked(t), _sets(t), "gene", "score", "gs", GPERM), "es", "nes", "p_value", "p_adj")
 
 
 @query("gene_set_matrix", """SELECT p_name AS gene, """ + ", ".join(f"max((p_type = '{k}')::INT) AS {k}" for k in ("ECONOMY", "SMALL", "MEDIUM", "PROMO", "STANDARD", "LARGE")) + " FROM part GROUP BY 1")
@@ -398,12 +401,9 @@ def factor_set_enrichment(t):
     return r6(r6(T.factor_set_enrichment(_loadings(t), _sets(t), "factor", "gene", "w", "gs"), "difference"), "t", digits=5)
 
 
-@query("factor_set_permutation", f"""WITH {LOAD}, i AS (SELECT factor, p_brand AS gs, count(*) AS size, sum(abs(w)) AS s1 FROM ld JOIN part ON gene = p_partkey GROUP BY ALL),
-o AS (SELECT factor, perm, abs(w) AS x, row_number() OVER (PARTITION BY factor, perm ORDER BY md5(gene || '_' || perm || '_fse')) AS k FROM ld CROSS JOIN (SELECT unnest(range(1, 21)) AS perm)),
-p AS (SELECT factor, perm, k AS size, sum(x) OVER (PARTITION BY factor, perm ORDER BY k) AS p FROM o)
-SELECT factor, gs, size, round(any_value(s1) / size, 6) AS mean_weight, round((count_if(p >= s1 - 1e-9) + 1) / (count(*) + 1), 6) AS p_value FROM p JOIN i USING (factor, size) GROUP BY factor, gs, size""")
+@query("factor_set_permutation")
 def factor_set_permutation(t):
-    return r6(T.factor_set_permutation(_loadings(t), _sets(t), "factor", "gene", "w", "gs", 20), "mean_weight", "p_value")
+    return r6(T.factor_set_permutation(_loadings(t), _sets(t), "factor", "gene", "w", "gs", GPERM), "mean_weight", "p_value", "p_adj")
 
 
 @query("leading_edge_compare", f"""WITH {LOAD} SELECT p_brand AS gs, count(*) AS n, round(corr(a.w, b.w), 6) AS corr FROM ld a JOIN ld b USING (gene) JOIN part ON gene = p_partkey WHERE a.factor = 'F' AND b.factor = 'O' GROUP BY 1""")
