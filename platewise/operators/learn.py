@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -334,63 +334,6 @@ def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_x").transform(df)
 
 
-def kmeans_gap(df: DataFrame, features: list[str], k_max: int = 10, references: int = 5, seed: int = 1) -> DataFrame:
-    """Gap statistic log W of uniform reference data minus log W of the data, K = 1..k_max.
-
-    The reference rows are uniform in the data's bounding box, made where the data are.
-    """
-    data = cut_lineage(df.select(*features))
-    box = data.agg(F.count(F.lit(1)).alias("n"), *[F.min(f).alias(f"lo_{f}") for f in features], *[F.max(f).alias(f"hi_{f}") for f in features]).first()
-
-    def within(d: DataFrame, k: int) -> float:
-        if k == 1:  # MLlib starts at two clusters
-            one = d.agg(*[F.var_pop(f).alias(f) for f in features], F.count(F.lit(1)).alias("_n")).first()
-            return float(np.log(max(one["_n"] * sum(one[f] for f in features), 1e-300)))
-        v = _vectors(d, features).select("_x")
-        return float(np.log(max(KMeans(k=k, seed=seed, featuresCol="_x").fit(v).summary.trainingCost, 1e-300)))
-
-    refs = []
-    for b in range(references):
-        cols = [(F.lit(float(box[f"lo_{f}"])) + hash_unit("id", F.lit(f), salt=f"gap{b}") * F.lit(float(box[f"hi_{f}"] - box[f"lo_{f}"]))).alias(f) for f in features]
-        refs.append(cut_lineage(df.sparkSession.range(int(box["n"])).select(*cols)))
-    rows = []
-    for k in range(1, k_max + 1):
-        w = within(data, k)
-        r = np.array([within(x, k) for x in refs])
-        rows.append((k, w, float(r.mean()), float(r.mean() - w), float(r.std() * np.sqrt(1 + 1 / references))))
-    return df.sparkSession.createDataFrame(rows, "k int, log_w double, ref_log_w double, gap double, se double")
-
-
-def _normal_loglik(df: DataFrame, features: list[str]) -> float:
-    """Log-likelihood of one fitted Gaussian, the one-component mixture."""
-    cells = cross_products(df.select(F.array(*features).alias("v")), [], "v").collect()
-    m = np.zeros((len(features) + 1,) * 2)
-    for r in cells:
-        m[r.i, r.j] = m[r.j, r.i] = r.s
-    n, mean = m[0, 0], m[0, 1:] / m[0, 0]
-    cov = m[1:, 1:] / n - np.outer(mean, mean)
-    return float(-n / 2 * (len(features) * (1 + np.log(2 * np.pi)) + np.linalg.slogdet(cov)[1]))
-
-
-def gmm_bic(df: DataFrame, features: list[str], components: list[int], seed: int = 1) -> DataFrame:
-    """BIC = 2·logLik - p·ln n of Gaussian mixtures (larger is better)."""
-    v = cut_lineage(df.select(*features))
-    x = _vectors(v, features).select("_x")
-    n, d = x.count(), len(features)
-    rows = []
-    for g in components:
-        ll = _normal_loglik(v, features) if g == 1 else GaussianMixture(k=g, seed=seed, featuresCol="_x", maxIter=50).fit(x).summary.logLikelihood
-        p = g * d + g * d * (d + 1) // 2 + g - 1
-        rows.append((g, float(ll), p, float(2 * ll - p * np.log(n))))
-    return df.sparkSession.createDataFrame(rows, "g int, log_lik double, parameters int, bic double")
-
-
-def gmm_predict(sample: DataFrame, df: DataFrame, features: list[str], g: int, seed: int = 1) -> DataFrame:
-    """Fit on a sample, classify every row."""
-    model = GaussianMixture(k=g, seed=seed, featuresCol="_x", predictionCol="cluster", probabilityCol="_p").fit(_vectors(cut_lineage(sample.select(*features)), features))
-    return model.transform(_vectors(df, features)).drop("_x", "_p")
-
-
 def hierarchical_cut(df: DataFrame, item: str, features: list[str], k: int, control: str, seed: int = 1) -> DataFrame:
     """k groups of drugs by top-down splitting; a drug in the control's cluster is inactive."""
     model = BisectingKMeans(k=k, seed=seed, featuresCol="_x", predictionCol="cluster", minDivisibleClusterSize=1.0).fit(_vectors(df, features))

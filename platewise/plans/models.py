@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from platewise.functions.expr import off_tie, rnd
 from platewise.operators import learn as L
+from platewise.operators import mixtures as X
 from platewise.operators import normalize as N
 from platewise.plans.joins import PROFILE, profiles
 from platewise.plans.normalise import EMB, embedding_long
@@ -192,20 +193,30 @@ def characteristic_rows_batch(t):
 
 @query("kmeans_gap")
 def kmeans_gap(t):
-    return r6(L.kmeans_gap(emb_wide(t), DIMS[:2], k_max=3, references=2), "log_w", "ref_log_w", "gap", "se")
+    return r6(X.gap_statistic(emb_wide(t), DIMS), "log_w", "ref_log_w", "gap", "se")
+
+
+PCS = [f"PC{i}" for i in range(1, 26)]
+
+
+def _components(t):
+    """The 25 leading components of the embeddings."""
+    e = emb_wide(t)
+    s = L.pca_fit(e, DIMS, 25, scale=False).transform(e)
+    return cut_lineage(s.select("vec_id", *[F.col("pc")[i].alias(p) for i, p in enumerate(PCS)]))
 
 
 @query("gmm_bic")
 def gmm_bic(t):
-    return r6(L.gmm_bic(emb_wide(t), DIMS[:2], [1, 2, 3]), "log_lik", "bic", digits=4)
+    return r6(X.mixture_bic(_components(t), PCS, list(range(1, 16))), "log_lik", "bic", digits=4)
 
 
 @query("gmm_predict")
 def gmm_predict(t):
     from platewise.operators.sampling import sample_fraction
 
-    e = emb_wide(t)
-    return L.gmm_predict(sample_fraction(e, ["vec_id"], 0.5), e, DIMS[:2], 3).select("vec_id", "cluster")
+    e = _components(t)
+    return X.mixture_predict(sample_fraction(e, ["vec_id"], 0.5), e, PCS, list(range(1, 16))).select("vec_id", "cluster", rnd("certainty").alias("certainty"))
 
 
 @query("hierarchical_cut")

@@ -162,16 +162,6 @@ def test_characteristic_row_brute_force(spark):
     np.testing.assert_allclose(got.distance, np.sort(d)[:3], rtol=1e-8)
 
 
-def test_single_gaussian_bic(spark):
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(150, 2)) @ np.array([[1, 0.4], [0, 2]])
-    df = spark.createDataFrame([(float(a), float(b)) for a, b in x], "a double, b double")
-    got = L.gmm_bic(df, ["a", "b"], [1]).first()
-    cov = np.cov(x.T, bias=True)
-    ll = -75 * (2 * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1] + 2)
-    assert abs(got.log_lik - ll) < 1e-8 and got.parameters == 5
-
-
 def test_factor_roundtrip(spark):
     w = np.array([[1.0, 0.0], [1.0, 1.0], [0.0, 2.0]])
     z = np.array([[1.0, -1.0], [0.5, 3.0]])
