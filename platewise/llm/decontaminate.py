@@ -246,7 +246,7 @@ def window_sets(benchmark: DataFrame, rate: float, item_col: str, text_col: str)
         yield sc.broadcast([tuple(r) for r in block.collect()]), uuid.uuid4().hex  # bounded by BLOCK_CHARS
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stride: int = SPAN // 2, short: bool = False) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stride: int = 1, short: bool = True) -> DataFrame:
     """One row per document and item it leaks: ids, windows found, least edits of a window."""
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     item_type = to_arrow_type(benchmark.schema[item_col].dataType)
@@ -272,7 +272,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, id_col
     return out.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stride: int = SPAN // 2, short: bool = False) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", stride: int = 1, short: bool = True) -> DataFrame:
     """The documents that leak no item, with all their columns."""
     names = docs.columns
     at = names.index(text_col)

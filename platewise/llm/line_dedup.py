@@ -379,15 +379,19 @@ def line_links(docs: DataFrame, tau: int = TAU, text_col: str = "text") -> DataF
 
 
 def dedup_lines(docs: DataFrame, tau: int = TAU, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line with a word: id, row key, line_no, class_id, n_links, and whether it is its class's first."""
+    """One row per line with a word: id, row key, line_no, class_id, n_links, and whether it is its class's first.
+
+    The first is that of the least id, null before others, then of the least row key (a hash of id and
+    text), so rows of one id with different texts don't both keep a line.
+    """
     rows = line_rows(docs, id_col, text_col)
     links = cut_lineage(line_links(docs, tau, text_col))
-    firsts = rows.groupBy("v").agg(F.min(F.struct("id", "line_no")).alias("first"))
+    firsts = rows.groupBy("v").agg(F.min(F.struct("id", "rid", "line_no")).alias("first"))
     texts_ = firsts.join(links, "v", "left").select("v", F.coalesce("class_id", "v").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "first")
     best = texts_.groupBy("class_id").agg(F.min("first").alias("best"))
     classes = texts_.join(best, "class_id").select("v", "class_id", "n_links", "best")
     out = rows.join(classes, "v")
-    kept = F.struct("id", "line_no").eqNullSafe(F.col("best"))
+    kept = F.struct("id", "rid", "line_no").eqNullSafe(F.col("best"))
     return out.select(F.col("id").alias(id_col), "rid", "line_no", "class_id", "n_links", kept.alias("kept"))
 
 

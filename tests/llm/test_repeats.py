@@ -293,9 +293,9 @@ def test_leaks(spark):
                     want.add((i, n))
     bench = spark.createDataFrame(items, "item_id int, text string")
     df = table(spark, rows)
-    got = {(r.doc_id, r.item_id) for r in find_leaks(df, bench).collect()}
+    got = {(r.doc_id, r.item_id) for r in find_leaks(df, bench, stride=SPAN // 2, short=False).collect()}
     assert got == want and len(want) > 50
-    left = drop_leaks(df, bench)
+    left = drop_leaks(df, bench, stride=SPAN // 2, short=False)
     assert left.columns == df.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, _ in rows if i not in {d for d, _ in want})
     assert find_leaks(empty(spark), bench).count() == 0 and find_leaks(df, bench.limit(0)).count() == 0
 
@@ -328,3 +328,14 @@ def test_leaks_at_every_start(spark):
     assert got.keys() == want.keys() and all(got[k] >= n for k, n in want.items())
     left = drop_leaks(df, bench, stride=1, short=True)
     assert {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
+def test_one_line_stays_of_rows_with_one_id_or_none(spark):
+    """Repeated and null ids with different texts: a shared line is kept once."""
+    shared = "a line that all of these rows have in common."
+    rows = [(1, f"the first text has this line.\n{shared}"), (1, f"another text of the same id altogether.\n{shared}"), (None, f"no id here, but some words.\n{shared}"), (None, f"nor any id in this one either.\n{shared}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    from platewise.llm.line_dedup import drop_repeated_lines
+
+    out = [t for r in drop_repeated_lines(df).collect() for t in r.text.split("\n")]
+    assert out.count(shared) == 1 and len(out) == 5
