@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans
@@ -42,13 +43,22 @@ class FittedPCA:
         self.components, self.explained = components, explained
 
     def transform(self, df: DataFrame, name: str = "pc") -> DataFrame:
-        """Adds an array column with the k scores; small dot products inside the JVM."""
-        mean, scale = self.scaler
-        scores = []
-        for c in range(self.k):
-            terms = [F.lit(float(self.components[i, c] / scale[i])) * (F.col(f) - F.lit(float(mean[i]))) for i, f in enumerate(self.features)]
-            scores.append(reduce(lambda a, b: a + b, terms))
-        return df.withColumn(name, F.array(*scores))
+        """Adds an array column with the k scores, by one matrix product a batch; null where a feature is null."""
+        mean, scale = (np.asarray(v, float) for v in self.scaler)
+        weights, k, width = self.components / scale[:, None], self.k, len(self.features)
+        names = [*df.columns, name]
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{name}` array<double>"])
+        x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in self.features])
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    y = batch.column(batch.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                    scores = ((y - mean) @ weights).ravel()
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * k), pa.array(scores, mask=np.isnan(scores)))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns - 1)], lists], names=names)
+
+        return df.withColumn("_x", x).mapInArrow(run, schema)
 
     def loadings(self, spark) -> DataFrame:
         rows = [(f, c + 1, float(self.components[i, c])) for i, f in enumerate(self.features) for c in range(self.k)]

@@ -13,7 +13,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 SAMPLE = [
     "control_ratio", "plate_effect_correct", "trimmed_robust_z", "blur_label", "well_median_mad", "lethality_degree", "complete_grid",
     "join_interval_count", "sample_per_group", "rank_transform", "corr_spearman", "cluster_label_enrichment", "permutation_test",
-    "gsea_permutation", "bootstrap_moments", "dose_auc", "roc_curve", "factor_project", "vep_explode", "reconcile_tables", "plate_completeness_stream",
+    "gsea_running_sum", "blur_choices", "preprocess_line_sharp", "drug_classifier_optimum", "bootstrap_moments", "dose_auc", "roc_curve", "factor_project", "vep_explode", "reconcile_tables", "plate_completeness_stream",
 ]
 
 
