@@ -140,8 +140,11 @@ def split_level(packs: DataFrame, level: int, least: float) -> DataFrame:
     return packs.select(*[n for n, _ in TREE], "counts").mapInArrow(run, ddl(TREE))
 
 
-def group_key(keys: list[str]) -> Column:
-    return F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
+def group_key(keys: list[str], ids: list[str] | None = None) -> Column:
+    """One text for a group. Without keys the empty text, made of the ids so that Spark keeps it as a join key."""
+    if keys:
+        return F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    return F.substring(F.hex(F.xxhash64(*ids)), 1, 0) if ids else F.lit("")
 
 
 def in_blocks(df: DataFrame, ids: list[str]) -> DataFrame:
@@ -151,16 +154,16 @@ def in_blocks(df: DataFrame, ids: list[str]) -> DataFrame:
 
 
 def grow_forests(train: DataFrame, keys: list[str], ids: list[str], features: list[str], label: Column, choices: DataFrame, trees: int = 100,
-                 depth: int = DEPTH, least: float = 1.0) -> DataFrame:
+                 depth: int = DEPTH, least: float = 1.0, own: Column | None = None) -> DataFrame:
     """One forest per (group, ``k``) of ``choices``, as packs of trees.
 
     choices: (g, k, allowed) with the positions of the features that a forest may use; one with none is not
-    grown. Rows enter as often as they occur in ``train``; their ids tell the draws apart.
+    grown. All rows of a group train its forests, or, with ``own``, only those whose ``own`` is the forest's ``k``. Rows enter as often as they occur in ``train``; their ids tell the draws apart.
     """
     y = label.cast("int")
     sound = F.forall(F.array(*[F.col(f).cast("double") for f in features]), lambda v: v.isNotNull() & is_finite(v))
-    rows = train.where(y.isNotNull() & sound).select(group_key(keys).alias("g"), *ids, y.alias("y"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
-    rows = cut_lineage(in_blocks(rows, ids).select("g", F.lit(None).cast("string").alias("k"), "block", "blocks", "r", "y", "x"))
+    rows = train.where(y.isNotNull() & sound).select(group_key(keys, ids).alias("g"), (F.lit(None) if own is None else own).cast("string").alias("k"), *ids, y.alias("y"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    rows = cut_lineage(in_blocks(rows, ids).select("g", "k", "block", "blocks", "r", "y", "x"))
     marks = F.array(*[F.lit(i / BINS) for i in range(1, BINS)])
     cuts = rows.groupBy("g").agg(F.first("blocks").alias("blocks"), F.flatten(F.array(*[F.percentile_approx(F.col("x")[i], marks, SKETCH_ACCURACY) for i in range(len(features))])).alias("cuts"))
     size = 2 ** (depth + 1) - 1
@@ -182,7 +185,7 @@ def score_forests(df: DataFrame, forests: DataFrame, keys: list[str], ids: list[
     Rows of a group without a forest are left out; values that are not finite count as the largest bin's.
     """
     x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features])
-    left = in_blocks(df.withColumn("g", group_key(keys)).withColumn("x", x), [*keys, *ids]).drop("r")
+    left = in_blocks(df.withColumn("g", group_key(keys, ids)).withColumn("x", x), [*keys, *ids]).drop("r")
     blocks = left.groupBy("g").agg(F.first("blocks").alias("n_blocks"))
     right = cut_lineage(forests.drop("blocks").join(blocks, "g")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     keep = [c for c in left.columns if c not in ("g", "x", "block", "blocks")]

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.expr import hash_text, hash_unit, nsjoin, ratio, with_group_stats
+from platewise.operators.forest import grow_forests, score_forests
 from platewise.operators.joins import key_grid
 from platewise.operators.newton import Prepared, areas, coefficients, fitted, optimality, prepare, searched, start_packs, with_limits
 from platewise.operators.order import group_median, group_quantiles, hash_order, row_order, value_order
@@ -230,12 +231,22 @@ def roc_curve(df: DataFrame, keys: list[str], score: str, positive: Column) -> D
     return v.select(*keys, F.col(score).alias("threshold"), ratio(fp, F.col("total_n") - F.col("total_pos")).alias("fpr"), ratio(tp, "total_pos").alias("tpr"))
 
 
-def transfer_matrix(models: dict, test: DataFrame, line: str, label: str) -> DataFrame:
-    """Accuracy of each line's model on each line's hold-out: one scoring pass per model."""
-    parts = [
-        live_dead_score(m, test).groupBy(line).agg(F.avg((F.col("prediction") == F.col(label).cast("int")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n")).withColumn("model_line", F.lit(name))
-        for name, m in models.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def _hits(scored: DataFrame, keys: list[str], label: str) -> DataFrame:
+    right = (F.col("_prob") > 0.5) == (F.col(label) == 1)
+    return scored.groupBy(*keys).agg(F.avg(right.cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+def transfer_matrix(train: DataFrame, test: DataFrame, line: str, ids: list[str], features: list[str], label: str, trees: int = 10) -> DataFrame:
+    """Accuracy of each line's forest on each line's hold-out: (line, model_line, accuracy, n).
+
+    The forests of all lines grow together, and one pass scores every row with all of them.
+    """
+    kind = train.schema[line].dataType
+    allowed = F.array(*[F.lit(i) for i in range(len(features))]).alias("allowed")
+    choices = cut_lineage(train.where(F.col(line).isNotNull()).select(F.lit("").alias("g"), F.col(line).cast("string").alias("k")).distinct().select("g", "k", allowed))
+    forests = grow_forests(train, [], ids, features, F.col(label) == 1, choices, trees, own=F.col(line))
+    scored = score_forests(test.select(line, *ids, *features, label), forests, [], ids, features, "_prob")
+    return _hits(scored.withColumn("model_line", F.col("k").cast(kind)), [line, "model_line"], label)
 
 
 def threshold_accuracy(df: DataFrame, keys: list[str], score: str, positive: Column, thresholds: list[float]) -> DataFrame:
@@ -251,15 +262,14 @@ def feature_importances(model: PipelineModel, features: list[str], spark) -> Dat
     return spark.createDataFrame([(f, float(v)) for f, v in zip(features, imp)], "feature string, importance double").orderBy(F.col("importance").desc())
 
 
-def channel_combo_sweep(lab: DataFrame, channels: dict[str, list[str]], combos: list[tuple], label: str = "dead", trees: int = 10) -> DataFrame:
-    """Hold-out accuracy of a forest per channel subset; one training job per subset."""
-    parts = []
-    for combo in combos:
-        feats = [f for c in combo for f in channels[c]]
-        model = forest_fit(lab.where("split = 'train'"), feats, label, trees)
-        acc = live_dead_score(model, lab.where("split = 'test'")).agg(F.avg((F.col("prediction") == F.col(label).cast("int")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
-        parts.append(acc.withColumn("channels", F.lit("_".join(sorted(combo)))))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+def channel_combo_sweep(lab: DataFrame, channels: dict[str, list[str]], combos: list[tuple], ids: list[str], label: str = "dead", trees: int = 10) -> DataFrame:
+    """Hold-out accuracy of a forest per channel subset: (accuracy, n, channels). All subsets grow together on the same rows."""
+    features = list(dict.fromkeys(f for c in channels.values() for f in c))
+    rows = [("", "_".join(sorted(combo)), [features.index(f) for c in combo for f in channels[c]]) for combo in combos]
+    choices = lab.sparkSession.createDataFrame(rows, "g string, k string, allowed array<int>")
+    forests = grow_forests(lab.where("split = 'train'"), [], ids, features, F.col(label) == 1, choices, trees)
+    scored = score_forests(lab.where("split = 'test'").select(*ids, *features, label), forests, [], ids, features, "_prob")
+    return _hits(scored.withColumn("channels", F.col("k")), ["channels"], label).select("accuracy", "n", "channels")
 
 
 def feature_importance_rank(df: DataFrame, features: list[str], label: str) -> DataFrame:

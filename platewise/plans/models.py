@@ -159,8 +159,8 @@ def live_dead_score(t):
 @query("transfer_matrix")
 def transfer_matrix(t):
     lab = L.live_dead_train(_regions(t), F.col("dead_ctrl"), F.col("ctrl"), ["uuid"], FEATURES)[1]
-    models = {r: L.forest_fit(lab.where((F.col("split") == "train") & (F.col("region") == r)), FEATURES, "dead") for r in range(5)}
-    return r6(L.transfer_matrix(models, lab.where("split = 'test'"), "region", "dead"), "accuracy")
+    r = L.transfer_matrix(lab.where("split = 'train'"), lab.where("split = 'test'"), "region", ["uuid"], FEATURES, "dead")
+    return r6(r, "accuracy")
 
 
 @query("feature_importances")
@@ -173,7 +173,7 @@ def feature_importances(t):
 def channel_combo_sweep(t):
     _, _, lab = _live_dead(t)
     chans = {"a": ["quantity"], "b": ["price"], "c": ["tax"]}
-    return r6(L.channel_combo_sweep(lab, chans, [("a",), ("b",), ("c",), ("a", "c"), ("a", "b", "c")]), "accuracy")
+    return r6(L.channel_combo_sweep(lab, chans, [("a",), ("b",), ("c",), ("a", "c"), ("a", "b", "c")], ["uuid"]), "accuracy")
 
 
 @query("feature_importance_rank")

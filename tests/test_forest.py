@@ -133,3 +133,21 @@ def test_plates_without_usable_features_keep_their_rows(spark):
     df = spark.createDataFrame([(i, 0, float(i), None if i % 4 else float("nan")) for i in range(20)], "id int, plate int, light double, dark double")
     assert Q.blur_classifier_filter(df, ["plate"], ["light", "dark"], ["light"], ["id"], trees=3).count() == 20
     assert Q.blur_classifier_filter(df.limit(0), ["plate"], ["light", "dark"], ["light"], ["id"], trees=3).count() == 0
+
+
+def test_lines_transfer_and_channels_sweep_in_one_growth(spark):
+    from platewise.operators import learn as L
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(900):
+        line, dead = i % 3, float(rng.random() < 0.5)
+        a = rng.normal(3 * dead if line < 2 else -3 * dead)  # the third line goes the other way
+        rows.append((i, line, dead, float(a), float(rng.normal(4 * dead)), float(rng.normal()), "train" if i < 600 else "test"))
+    df = spark.createDataFrame(rows, "id int, line int, dead double, a double, b double, c double, split string")
+    train, test = df.where("split = 'train'"), df.where("split = 'test'")
+    out = {(r.line, r.model_line): r for r in L.transfer_matrix(train, test, "line", ["id"], ["a", "c"], "dead").collect()}
+    assert len(out) == 9 and all(r.n == 100 for r in out.values())
+    assert all((out[i, j].accuracy > 0.85) == ((i < 2) == (j < 2)) for i in range(3) for j in range(3))
+    sweep = {r.channels: r for r in L.channel_combo_sweep(df, {"x": ["a"], "y": ["b"], "z": ["c"]}, [("x",), ("y",), ("z",), ("x", "y", "z")], ["id"]).collect()}
+    assert sweep["y"].accuracy > 0.93 and sweep["z"].accuracy < 0.65 and sweep["x_y_z"].accuracy > 0.93 and sweep["x"].accuracy < 0.9
