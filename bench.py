@@ -17,7 +17,7 @@ HEADLINE = [
     "control_ratio", "plate_effect_correct", "plate_effect_correct_vector", "size_outlier_filter", "trimmed_robust_z",
     "well_median_mad", "treatment_mean_profile", "quantile_normalize", "join_interval_count", "balanced_sample",
     "corr_spearman", "corr_matrix", "angle_graph", "multinom_aic", "bh_adjust", "gsea_running_sum", "ecdf", "dose_auc",
-    "effect_distance", "pca_fit_transform", "vep_explode", "reconcile_tables", "plate_completeness_stream",
+    "effect_distance", "pca_fit_transform", "permutation_test", "drug_vs_control_classifier", "vep_explode", "reconcile_tables", "plate_completeness_stream",
 ]
 
 
