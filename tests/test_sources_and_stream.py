@@ -65,6 +65,21 @@ def test_hot_plate_is_written_by_many_tasks(spark):
     assert parts > 1
 
 
+def test_many_plates_share_files_whose_number_follows_the_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "PLATE_FOLDERS", 50)
+    df = spark.range(3000).select((F.col("id") % 2).cast("int").alias("line"), (F.col("id") % 600).alias("plate"), F.col("id").alias("uuid"), F.rand(1).alias("x"))
+    p = tmp_path / "many"
+    store.write_features(df, str(p), ["line", "plate", "uuid"], ["x"])
+    assert len(list(p.glob("data/**/*.parquet"))) <= 8  # one for each plate before
+    assert store.load_features(spark, str(p)).columns == ["uuid", "features", "line", "plate"]
+    assert store.load_features(spark, str(p)).count() == 3000
+    assert sorted(r.uuid for r in store.load_plates(spark, str(p), [7]).collect()) == [7, 607, 1207, 1807, 2407]
+    sinks.sink_by_plate(df.drop("line"), str(tmp_path / "sink"))
+    assert len(list((tmp_path / "sink").glob("**/*.parquet"))) <= 8
+    back = spark.read.parquet(str(tmp_path / "sink"))
+    assert back.count() == 3000 and back.select("plate").distinct().count() == 600
+
+
 def test_species_error(spark):
     with pytest.raises(Exception, match="unknown species"):
         spark.createDataFrame([("X1",)], "p string").select(K.species_of("p")).collect()
