@@ -151,3 +151,18 @@ def test_lines_transfer_and_channels_sweep_in_one_growth(spark):
     assert all((out[i, j].accuracy > 0.85) == ((i < 2) == (j < 2)) for i in range(3) for j in range(3))
     sweep = {r.channels: r for r in L.channel_combo_sweep(df, {"x": ["a"], "y": ["b"], "z": ["c"]}, [("x",), ("y",), ("z",), ("x", "y", "z")], ["id"]).collect()}
     assert sweep["y"].accuracy > 0.93 and sweep["z"].accuracy < 0.65 and sweep["x_y_z"].accuracy > 0.93 and sweep["x"].accuracy < 0.9
+
+
+def test_small_groups_grow_in_one_pass_like_blocks(spark, monkeypatch):
+    """The trees of a plate are the same whether its rows are one block or several, and one block needs one meeting."""
+    df = table(spark, 240, 2)
+    grow = lambda: {(r.g, r["pack"]): r for r in T.grow_forests(df, ["plate"], ["id"], ["a", "b", "c"], F.col("y"), all_features(df, ["plate"], ["a", "b", "c"]), 4, 4).collect()}
+    calls, real = [], T.meet
+    monkeypatch.setattr(T, "meet", lambda *a: calls.append(1) or real(*a))
+    whole = grow()
+    assert len(calls) == 1  # one for every level before
+    monkeypatch.setattr(T, "BLOCK_ROWS", 40)
+    split = grow()
+    assert len(whole) == 2 and whole.keys() == split.keys()
+    for key, r in whole.items():
+        assert (r.feat, r.bin, r.value, r.weight) == (split[key].feat, split[key].bin, split[key].value, split[key].weight)
