@@ -199,3 +199,21 @@ def test_polyline(spark):
 def test_greedy_decorrelate():
     c = pd.DataFrame([(1, 1, 1.0), (1, 2, 0.9), (1, 3, 0.1), (2, 2, 1.0), (2, 3, 0.2), (3, 3, 1.0)], columns=["i", "j", "corr"])
     assert [f for f, _ in T.greedy_decorrelate(c, ["a", "b", "c"], ["a"], 0.85)] == ["a", "c"]
+
+
+def test_bootstrap_deals_a_short_table_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(T, "DRAWS_PER_TASK", 1000)
+    df = spark.range(500).select(F.col("id"), (F.col("id") * F.col("id") % 97).cast("double").alias("v")).coalesce(1)
+    out = T.bootstrap_moments(df, ["id"], "v", 20)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()  # one task drew all before
+    assert out.count() == 20
+
+
+def test_interval_bins_follow_the_intervals(spark):
+    """Short intervals are met by near points only; before, all points of 10,000 positions were compared."""
+    iv = spark.range(500).select(F.col("id").alias("iv"), F.lit("1").alias("c"), (F.col("id") * 20).alias("a"), (F.col("id") * 20 + 10).alias("b"))
+    pt = spark.range(10_000).select(F.col("id").alias("p"), F.lit("1").alias("c"))
+    out = J.join_interval_points(pt, iv, "c", "p", "a", "b")
+    assert "/ 10)" in out._jdf.queryExecution().optimizedPlan().toString().replace(".0", "")
+    assert out.count() == 500 * 9
+    assert J.join_interval_points(pt, iv.withColumn("b", F.col("a") - 5), "c", "p", "a", "b").count() == 0
