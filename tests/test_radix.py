@@ -81,3 +81,14 @@ def test_a_wide_table_keeps_its_rows_wide(spark, digits):
 def test_nothing_in_nothing_out(spark):
     df = spark.createDataFrame([], "g int, a double")
     assert R.named_statistics(df, ["g"], ["a"], {"m": 0.5}, "mad").count() == 0
+
+
+def test_the_largest_group_of_a_task_needs_little_memory():
+    import tracemalloc
+
+    x = np.random.default_rng(5).normal(size=(R.TASK_VALUES // 2, 2))
+    tracemalloc.start()
+    R.whole_groups(x, np.zeros(len(x), np.int64), 1, [0.5], True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak + x.nbytes < 120_000_000  # 4 times that before
