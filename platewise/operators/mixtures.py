@@ -2,8 +2,9 @@
 
 All models of a search (every K and reference set; every number of components and covariance family) advance
 together: an iteration is one pass over the rows, in which a task adds up, for each model that still moves, the sums
-its next step needs, by matrix products over a batch. The sums of tasks are added 32 at a time, and what reaches
-the driver is parameters, whose number depends on dimensions and components only. Reference data are never
+its next step needs, by matrix products over a slice; products of a row's values are formed once for all models. The rows are
+dealt to as many tasks as there are cores. The sums of tasks are added 32 at a time until at most 32 are left, which the driver adds:
+sums of that many tasks, whose size depends on dimensions and components only. Reference data are never
 written: a task draws a row's uniform numbers from the hash of (row, set, dimension).
 
 Covariance families, by (volume, shape, orientation): EII and VII spherical, EEI and VVI diagonal, EEE and VVV full;
@@ -23,21 +24,28 @@ from pyspark.sql import functions as F
 
 from platewise.functions.expr import is_finite
 from platewise.operators.forest import spread64
-from platewise.operators.newton import DOUBLES, PACK, added, ddl, table
+from platewise.operators.newton import DOUBLES, FAN, ddl, table
 from platewise.session import cut_lineage
 
 FAMILIES = ["EII", "VII", "EEI", "VVI", "EEE", "VVV"]
 ROUNDS = 3  # of seeding
 FLOOR = 1e-6  # least variance of a component in units of the mean variance
+ROWS_PER_TASK = 2048  # least rows of a task, about; more tasks than cores are never asked for
+SLICE = 1_000_000  # products held at once
 
 Work = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Works = Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]
+PARTS = [("k", pa.string()), ("block", pa.int32()), ("s", DOUBLES)]
 
 
 def vector_rows(df: DataFrame, features: list[str]) -> DataFrame:
     """(r, x): finite feature vectors with a hash that tells rows apart; equal rows share it."""
     x = F.array(*[F.col(f).cast("double") for f in features])
     sound = F.forall("x", lambda v: v.isNotNull() & is_finite(v))
-    return cut_lineage(df.select(x.alias("x")).where(sound).select(F.xxhash64("x").alias("r"), "x"))
+    rows = cut_lineage(df.select(x.alias("x")).where(sound).select(F.xxhash64("x").alias("r"), "x"))
+    # a short table is one file and would be one task in every pass
+    wanted = min(rows.count() // ROWS_PER_TASK + 1, df.sparkSession.sparkContext.defaultParallelism)
+    return cut_lineage(rows.repartition(wanted)) if rows.rdd.getNumPartitions() < wanted else rows
 
 
 def matrices(batches, width: int):
@@ -46,21 +54,39 @@ def matrices(batches, width: int):
             yield batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, width)
 
 
-def sums_over(rows: DataFrame, width: int, works: dict[str, Work]) -> dict[str, np.ndarray]:
+def each(works: dict[str, Work]) -> Works:
+    return lambda r, x: {name: work(r, x) for name, work in works.items()}
+
+
+def sums_over(rows: DataFrame, width: int, works: Works) -> dict[str, np.ndarray]:
     """For each named work the sum of its arrays over all rows."""
-    fields = [*PACK, ("s", DOUBLES), ("block", pa.int32())]
 
     def run(batches):
         total: dict[str, np.ndarray] = {}
+        step = max(64, SLICE // (width * (width + 1) // 2))
         for r, x in matrices(batches, width):
-            for name, work in works.items():
-                s = work(r, x)
-                total[name] = total[name] + s if name in total else s
+            for i in range(0, len(x), step):
+                for name, s in works(r[i:i + step], x[i:i + step]).items():
+                    total[name] = total[name] + s if name in total else s
         block = TaskContext.get().partitionId()
-        yield from table(fields, [{"g": "", "k": k, "pack": 0, "s": s, "block": block} for k, s in total.items()]).to_batches()
-
-    parts = cut_lineage(rows.select("r", "x").mapInArrow(run, ddl(fields)))
-    return {r["k"]: np.array(r["s"]) for r in added(parts, [("s", DOUBLES)], []).collect()}
+        yield from table(PARTS, [{"k": k, "block": block, "s": s} for k, s in total.items()]).to_batches()
+
+    def add(t: pa.Table) -> pa.Table:
+        t = t.sort_by("block")
+        return table(PARTS, [{"k": t["k"][0].as_py(), "block": t["block"][0].as_py() // FAN, "s": np.sum([np.asarray(v.values) for v in t["s"]], axis=0)}])
+
+    src = rows.select("r", "x")
+    tasks = src.rdd.getNumPartitions()
+    parts = src.mapInArrow(run, ddl(PARTS))
+    while tasks > FAN:
+        parts = parts.groupBy("k", F.floor(F.col("block") / F.lit(FAN))).applyInArrow(add, ddl(PARTS))
+        tasks = -(-tasks // FAN)
+    out: dict[str, np.ndarray] = {}
+    for part in sorted(parts.toArrow().to_batches(), key=lambda p: p["block"][0].as_py() if p.num_rows else -1):
+        for k, v in zip(part["k"].to_pylist(), part["s"], strict=True):
+            s = np.asarray(v.values)
+            out[k] = out[k] + s if k in out else s
+    return out
 
 
 def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -119,10 +145,10 @@ def seeds(rows: DataFrame, width: int, sources: list[Source], most: int) -> dict
     first = [np.array(x) for x in (r["x"] for r in rows.orderBy("r").limit(1).collect())]
     found = {s.number: s(np.array([0]), first[0][None, :]) for s in sources}
     for round_ in range(ROUNDS):
-        cost = sums_over(rows, width, {str(s.number): nearest(s, found[s.number]) for s in sources})
+        cost = sums_over(rows, width, each({str(s.number): nearest(s, found[s.number]) for s in sources}))
         more = drawn(rows, width, sources, {s.number: (found[s.number], 2.0 * most / max(cost[str(s.number)][-1], 1e-300)) for s in sources}, round_)
         found = {b: np.unique(np.concatenate([c, more[b]]), axis=0) for b, c in found.items()}
-    counts = sums_over(rows, width, {str(s.number): nearest(s, found[s.number]) for s in sources})
+    counts = sums_over(rows, width, each({str(s.number): nearest(s, found[s.number]) for s in sources}))
     return {b: (c, counts[str(b)][: len(c)]) for b, c in found.items()}
 
 
@@ -161,7 +187,7 @@ def kmeans_all(rows: DataFrame, width: int, sources: list[Source], ks: list[int]
         moving = [key for key, f in fits.items() if not f.converged]
         if not moving:
             break
-        sums = sums_over(rows, width, {f"{b}/{k}": nearest(by[b], fits[b, k].centres) for b, k in moving})
+        sums = sums_over(rows, width, each({f"{b}/{k}": nearest(by[b], fits[b, k].centres) for b, k in moving}))
         for b, k in moving:
             fit, s = fits[b, k], sums[f"{b}/{k}"]
             size = len(fit.centres)
@@ -195,36 +221,29 @@ class Mixture:
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
         """log(weight * density) of every row and component."""
-        g, d = self.means.shape
-        out = np.empty((len(x), g))
-        for j in range(g):
-            away = x - self.means[j]
-            if self.covs.ndim == 3:
-                root = np.linalg.cholesky(self.covs[j])
-                away = np.linalg.solve(root, away.T).T
-                log_det = 2 * np.log(np.diag(root)).sum()
-            else:
-                away = away / np.sqrt(self.covs[j])
-                log_det = np.log(self.covs[j]).sum()
-            out[:, j] = np.log(max(self.weights[j], 1e-300)) - 0.5 * (d * np.log(2 * np.pi) + log_det + (away * away).sum(1))
+        d = self.means.shape[1]
+        full = self.covs.ndim == 3
+        if full:
+            roots = np.linalg.cholesky(self.covs)
+            whiten = np.linalg.inv(roots).transpose(0, 2, 1)
+            log_det = 2 * np.log(np.diagonal(roots, axis1=1, axis2=2)).sum(1)
+        else:
+            whiten = 1 / np.sqrt(self.covs)
+            log_det = np.log(self.covs).sum(1)
+        level = np.log(np.maximum(self.weights, 1e-300)) - 0.5 * (d * np.log(2 * np.pi) + log_det)
+        out = np.empty((len(x), len(level)))
+        for j, (mean, w) in enumerate(zip(self.means, whiten, strict=True)):
+            away = (x - mean) @ w if full else (x - mean) * w
+            out[:, j] = level[j] - 0.5 * np.einsum("nd,nd->n", away, away)
         return out
 
     def shares(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Responsibilities, and the log-likelihood of each row."""
         log_p = self.log_density(x)
         top = log_p.max(1)
-        ll = top + np.log(np.exp(log_p - top[:, None]).sum(1))
-        return np.exp(log_p - ll[:, None]), ll
-
-    def expected(self) -> Work:
-        """Sums that the next parameters follow from."""
-
-        def work(_: np.ndarray, x: np.ndarray) -> np.ndarray:
-            share, ll = self.shares(x)
-            second = np.einsum("ng,ni,nj->gij", share, x, x, optimize=True) if self.covs.ndim == 3 else share.T @ (x * x)
-            return np.concatenate([share.sum(0), (share.T @ x).ravel(), second.ravel(), [ll.sum()]])
-
-        return work
+        share = np.exp(log_p - top[:, None])
+        whole = share.sum(1)
+        return share / whole[:, None], top + np.log(whole)
 
     def updated(self, s: np.ndarray, floor: float, tolerance: float) -> Mixture:
         """The maximising parameters, or the same ones at rest where the likelihood has ceased to grow."""
@@ -238,6 +257,44 @@ class Mixture:
         return Mixture(self.family, n / n.sum(), means, constrained(own, n, self.family, floor), ll)
 
 
+def moments(x: np.ndarray, full: bool) -> np.ndarray:
+    """1, the values, and their squares or all products of two of them, for every row."""
+    if not full:
+        return np.column_stack([np.ones(len(x)), x, x * x])
+    i, j = np.triu_indices(x.shape[1])
+    return np.column_stack([np.ones(len(x)), x, x[:, i] * x[:, j]])
+
+
+def by_component(s: np.ndarray, width: int, full: bool, ll: float) -> np.ndarray:
+    """Sums of ``moments`` per component in the order ``Mixture.updated`` reads."""
+    n, first, second = s[:, 0], s[:, 1:width + 1], s[:, width + 1:]
+    if full:
+        i, j = np.triu_indices(width)
+        square = np.empty((len(s), width, width))
+        square[:, i, j] = square[:, j, i] = second
+        second = square
+    return np.concatenate([n, first.ravel(), second.ravel(), [ll]])
+
+
+def expected(models: dict[str, Mixture]) -> Works:
+    """Sums that the next parameters of all models follow from, short of the mirrored products: (components, moments) and the log-likelihood."""
+
+    def work(_: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+        out = {}
+        for full in (False, True):
+            names = [k for k, m in models.items() if (m.covs.ndim == 3) == full]
+            if not names:
+                continue
+            found = [models[k].shares(x) for k in names]
+            sums = np.concatenate([share for share, _ in found], axis=1).T @ moments(x, full)
+            ends = np.cumsum([share.shape[1] for share, _ in found])[:-1]
+            for k, s, (_, ll) in zip(names, np.split(sums, ends), found, strict=True):
+                out[k] = np.append(s.ravel(), ll.sum())
+        return out
+
+    return work
+
+
 def constrained(own: np.ndarray, n: np.ndarray, family: str, floor: float) -> np.ndarray:
     """Covariances of a family from those of the single components."""
     g, d = len(n), own.shape[1]
@@ -260,34 +317,31 @@ def fit_mixtures(df: DataFrame, features: list[str], components: list[int], fami
     if not n:
         return 0, {}
     groups = kmeans_all(rows, width, [Source(0, low, high)], components, seed)
-    moments = sums_over(rows, width, {"all": lambda _, x: np.concatenate([x.sum(0), (x * x).sum(0)])})["all"]
-    spread = np.maximum(moments[width:] / n - (moments[:width] / n) ** 2, 0.0)
+    total = sums_over(rows, width, lambda _, x: {"all": moments(x, False).sum(0)})["all"]
+    spread = np.maximum(total[width + 1:] / n - (total[1:width + 1] / n) ** 2, 0.0)
     floor = FLOOR * max(float(spread.mean()), 1e-300)
 
-    def hard(centres: np.ndarray, full: bool) -> Work:
-        def work(_: np.ndarray, x: np.ndarray) -> np.ndarray:
-            share = np.eye(len(centres))[distances(x, centres).argmin(1)]
-            second = np.einsum("ng,ni,nj->gij", share, x, x, optimize=True) if full else share.T @ (x * x)
-            return np.concatenate([share.sum(0), (share.T @ x).ravel(), second.ravel(), [0.0]])
-
-        return work
+    def hard(_: np.ndarray, x: np.ndarray) -> dict[str, np.ndarray]:
+        shares = {g: np.eye(len(groups[0, g].centres))[distances(x, groups[0, g].centres).argmin(1)] for g in components}
+        return {f"{full}/{g}": (share.T @ m).ravel() for full in (False, True) for m in [moments(x, full)] for g, share in shares.items()}
 
-    begin = sums_over(rows, width, {f"{full}/{g}": hard(groups[0, g].centres, full) for g in components for full in (False, True)})
+    begin = sums_over(rows, width, hard)
     fits = {}
     for family in families:
         full = family in ("EEE", "VVV")
         for g in components:
             size = len(groups[0, g].centres)
             blank = Mixture(family, np.ones(size), np.zeros((size, width)), np.zeros((size, width, width) if full else (size, width)))
-            fits[family, g] = blank.updated(begin[f"{full}/{g}"], floor, -1.0)
+            fits[family, g] = blank.updated(by_component(begin[f"{full}/{g}"].reshape(size, -1), width, full, 0.0), floor, -1.0)
             fits[family, g].log_lik = -np.inf
     for _ in range(passes):
         moving = [key for key, f in fits.items() if not f.converged]
         if not moving:
             break
-        sums = sums_over(rows, width, {f"{f}/{g}": fits[f, g].expected() for f, g in moving})
+        sums = sums_over(rows, width, expected({f"{f}/{g}": fits[f, g] for f, g in moving}))
         for f, g in moving:
-            fits[f, g] = fits[f, g].updated(sums[f"{f}/{g}"], floor, tolerance)
+            fit, s = fits[f, g], sums[f"{f}/{g}"]
+            fits[f, g] = fit.updated(by_component(s[:-1].reshape(len(fit.weights), -1), width, fit.covs.ndim == 3, float(s[-1])), floor, tolerance)
     return n, fits
 
 

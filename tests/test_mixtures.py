@@ -101,3 +101,29 @@ def test_fewer_rows_than_components(spark):
     assert len(out) == 4
     assert X.mixture_bic(df, names, [1, 3]).count() == 12
     assert X.gap_statistic(df.limit(0), names, 2, 1).count() == 0 and X.mixture_bic(df.limit(0), names, [1]).count() == 0
+
+
+def test_a_short_table_is_dealt_to_the_cores(spark, blobs, monkeypatch):
+    """One file was one task in every pass before, and each pass wrote its sums."""
+    monkeypatch.setattr(X, "ROWS_PER_TASK", 100)
+    df, names = frame(spark, blobs, 1)
+    rows = X.vector_rows(df, names)
+    assert rows.rdd.getNumPartitions() == 4 and rows.count() == 360
+
+
+def test_sums_of_all_models_are_those_of_each(spark, blobs, monkeypatch):
+    df, names = frame(spark, blobs, 7)
+    rows = X.vector_rows(df, names)
+    monkeypatch.setattr(X, "FAN", 2)  # partial sums are added by Spark first
+    means, covs = blobs[[0, 130, 250]], np.array([[1.0, 2, 3], [2, 1, 1], [1, 1, 4]])
+    full = np.array([np.diag(c) + 0.3 for c in covs])
+    models = {"VVI/3": X.Mixture("VVI", np.array([0.2, 0.5, 0.3]), means, covs), "VVV/3": X.Mixture("VVV", np.array([0.2, 0.5, 0.3]), means, full)}
+    got = X.sums_over(rows, 3, X.expected(models))
+    for name, m in models.items():
+        log_p = density(m, blobs)
+        ll = np.log(np.exp(log_p).sum(1))
+        share = np.exp(log_p - ll[:, None])
+        second = np.einsum("ng,ni,nj->gij", share, blobs, blobs) if name == "VVV/3" else share.T @ (blobs * blobs)
+        want = np.concatenate([share.sum(0), (share.T @ blobs).ravel(), second.ravel(), [ll.sum()]])
+        s = got[name]
+        np.testing.assert_allclose(X.by_component(s[:-1].reshape(3, -1), 3, name == "VVV/3", s[-1]), want, rtol=1e-9)
