@@ -8,7 +8,7 @@ exploded nor sorted.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +18,10 @@ from platewise.operators.radix import array_statistics, named_statistics
 from platewise.session import cut_lineage
 
 
+SURFACE_NUMBERS = 1_000_000  # distances of a surface held at once
+SURFACE_CONDITION = 1e8  # of normal equations; beyond it a point is fitted by itself
+
+
 def _long(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
     return df.select(*ids, *[F.col(f).cast("double").alias(f) for f in features]).unpivot(ids, features, "feature", "value")
 
@@ -255,17 +259,47 @@ def _loess_fit(n: np.ndarray, y: np.ndarray, px: np.ndarray, qx: np.ndarray, spa
         scale.append(sd if sd > 0 else 1.0)
     ps, qs = px / scale, qx / scale
     want = max(int(np.floor(n.sum() * span + 1e-5)), 1)
-    out = np.full(len(qs), np.nan)
-    for i, q in enumerate(qs):
-        d = np.sqrt(((ps - q) ** 2).sum(axis=1))
-        order = np.argsort(d, kind="stable")
-        reach = d[order][min(np.searchsorted(np.cumsum(n[order]), want), len(d) - 1)] * (1 if span <= 1 else np.sqrt(span))
-        w = np.where(d < max(reach, 1e-12) * 0.999, (1 - np.minimum(d / max(reach, 1e-12), 1) ** 3) ** 3, 0.0) * n
-        u = ps - q
-        design = np.column_stack([np.ones(len(u)), u[:, 0], u[:, 1], u[:, 0] ** 2, u[:, 0] * u[:, 1], u[:, 1] ** 2])
-        sw = np.sqrt(w)
-        beta, *_ = np.linalg.lstsq(design * sw[:, None], y * sw, rcond=None)
-        out[i] = beta[0]
+    step = max(1, SURFACE_NUMBERS // len(ps))
+    return np.concatenate([_loess_at(n, y, ps, qs[i:i + step], want, span) for i in range(0, len(qs), step)])
+
+
+def _quadratic(u: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.ones(len(u)), u[:, 0], u[:, 1], u[:, 0] ** 2, u[:, 0] * u[:, 1], u[:, 1] ** 2])
+
+
+def _loess_at(n: np.ndarray, y: np.ndarray, ps: np.ndarray, qs: np.ndarray, want: int, span: float) -> np.ndarray:
+    """The fits at all points qs at once.
+
+    A quadratic about q spans what one about the middle does, so all points share a basis and their normal equations are
+    one product with the weights; a step on the residuals makes up for squaring the condition. Where the
+    equations are near singular, least squares of the single point decide.
+    """
+    d = np.sqrt((ps[None, :, 0] - qs[:, None, 0]) ** 2 + (ps[None, :, 1] - qs[:, None, 1]) ** 2)
+    order = np.argsort(d, axis=1)
+    place = np.minimum((np.cumsum(n[order], axis=1) < want).sum(axis=1), len(ps) - 1)
+    rows = np.arange(len(qs))
+    reach = np.maximum(d[rows, order[rows, place]] * (1 if span <= 1 else np.sqrt(span)), 1e-12)[:, None]
+    w = np.where(d < reach * 0.999, (1 - np.minimum(d / reach, 1) ** 3) ** 3, 0.0) * n
+    middle, level = ps.mean(axis=0), y.mean()
+    basis, rest = _quadratic(ps - middle), y - level
+    i, j = np.triu_indices(6)
+    gram = np.empty((len(qs), 6, 6))
+    gram[:, i, j] = gram[:, j, i] = w @ (basis[:, i] * basis[:, j])
+    try:
+        inverse = np.linalg.inv(gram)
+    except np.linalg.LinAlgError:
+        inverse = np.full_like(gram, np.nan)
+        for k in rows:
+            if np.linalg.matrix_rank(gram[k]) == 6:
+                inverse[k] = np.linalg.inv(gram[k])
+    beta = np.zeros((len(qs), 6))
+    for _ in range(2):
+        beta += np.einsum("qij,qj->qi", inverse, (w * (rest - beta @ basis.T)) @ basis)
+    out = level + (_quadratic(qs - middle) * beta).sum(axis=1)
+    condition = np.abs(gram).sum(axis=1).max(axis=1) * np.abs(inverse).sum(axis=1).max(axis=1)
+    for k in np.flatnonzero(~(condition < SURFACE_CONDITION)):
+        sw = np.sqrt(w[k])
+        out[k] = np.linalg.lstsq(_quadratic(ps - qs[k]) * sw[:, None], y * sw, rcond=None)[0][0]
     return out
 
 
@@ -279,19 +313,20 @@ def well_surface_correct(df: DataFrame, screen: str, row: str, col: str, value:
     cells = df.groupBy(screen, row, col).agg(
         F.count(F.lit(1)).alias("rows"), F.count(F.when(control, F.col(value))).alias("n"), F.avg(F.when(control, F.col(value))).alias("y"))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = pdf[pdf.n > 0]
-        q = pdf[[row, col]].to_numpy(float)
-        f = _loess_fit(c.n.to_numpy(float), c.y.to_numpy(float), c[[row, col]].to_numpy(float), q, span) if len(c) >= 6 else np.full(len(pdf), np.nan)
+    def fit(t: pa.Table) -> pa.Table:
+        n, y, rows = (t[c].to_numpy().astype(float) for c in ("n", "y", "rows"))
+        at = np.column_stack([t[c].to_numpy().astype(float) for c in (row, col)])
+        c = n > 0
+        f = _loess_fit(n[c], y[c], at[c], at, span) if c.sum() >= 6 else np.full(len(n), np.nan)
         o = np.argsort(f)
-        cum = np.cumsum(pdf.rows.to_numpy()[o])
-        total = cum[-1]
+        cum = np.cumsum(rows[o])
+        total = int(cum[-1])
         mid = f[o][np.searchsorted(cum, [(total - 1) // 2, total // 2], side="right")].mean()
-        return pd.DataFrame({screen: pdf[screen], row: pdf[row], col: pdf[col], "norm_fac": f, "_shift": f - mid})
+        return t.select([screen, row, col]).append_column("norm_fac", pa.array(f)).append_column("_shift", pa.array(f - mid))
 
     types = {f.name: f.dataType.simpleString() for f in cells.schema}
     schema = f"`{screen}` {types[screen]}, `{row}` {types[row]}, `{col}` {types[col]}, norm_fac double, _shift double"
-    surface = cells.groupBy(screen).applyInPandas(fit, schema)
+    surface = cells.groupBy(screen).applyInArrow(fit, schema)
     out = attach(df, surface, [screen, row, col])
     return out.withColumn(f"{value}_norm", F.col(value) - F.col("_shift")).drop("_shift")
 

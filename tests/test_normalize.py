@@ -99,6 +99,25 @@ def test_surface_is_recovered(spark):
     np.testing.assert_allclose(out.y_norm, out.norm_fac.median(), rtol=1e-6)
 
 
+def test_surface_points_are_fitted_together(monkeypatch):
+    """Every point was a least-squares call of its own before; now only points whose neighbours do not fix a quadratic."""
+    rng = np.random.default_rng(8)
+    grid = np.array([(r, c) for r in range(1, 17) for c in range(1, 25)], float)
+    at = rng.permutation(len(grid))[:180]
+    n, y = rng.integers(1, 4, 180).astype(float), rng.normal(30_000, 9_000, 180)
+    slow = N.np.linalg.lstsq
+    calls = []
+    monkeypatch.setattr(N.np.linalg, "lstsq", lambda *a, **k: calls.append(1) or slow(*a, **k))
+    fast = N._loess_fit(n, y, grid[at], grid, 0.75)
+    assert not calls
+    monkeypatch.setattr(N, "SURFACE_CONDITION", 0.0)
+    np.testing.assert_allclose(fast, N._loess_fit(n, y, grid[at], grid, 0.75), rtol=1e-9)
+    assert len(calls) == len(grid)
+    line = grid[grid[:, 0] == 1][:9]
+    monkeypatch.setattr(N, "SURFACE_CONDITION", 1e8)
+    assert np.isfinite(N._loess_fit(np.ones(9), y[:9], line, grid, 0.75)).all() and len(calls) == 2 * len(grid)
+
+
 def test_trimmed_stats(plates, pieces):
     got = N.trimmed_stats(plates.where("plate < 9"), ["plate"], "x", 0.1).toPandas().set_index("plate")
     for plate, sub in plates.where("plate < 9").toPandas().groupby("plate"):
