@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -682,32 +683,64 @@ def mutation_count_filter(df: DataFrame, gene: str, line: str, more_than: int =
     return df.select(gene, line).distinct().groupBy(gene).agg(F.count(F.lit(1)).alias("lines")).where(F.col("lines") > more_than)
 
 
+POLYLINE_NUMBERS = 1_000_000  # coordinates of paths held at once
+
+
+def nearest_place(at: np.ndarray, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and arc length of the nearest place, for points (2, n) with a path of their own each, (vertices, 2, n).
+
+    Of places equally near the first counts. A point that is not finite is infinitely far from the start.
+    """
+    done, best, lam = np.zeros(at.shape[1]), np.full(at.shape[1], np.inf), np.zeros(at.shape[1])
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        for a, b in zip(corners[:-1], corners[1:], strict=True):
+            along, away = b - a, at - a
+            squared = along[0] * along[0] + along[1] * along[1]
+            t = np.where(squared == 0, 0.0, (away[0] * along[0] + away[1] * along[1]) / squared)
+            t = np.minimum(np.maximum(t, 0.0), 1.0)
+            rest = away - t * along
+            d, length = np.sqrt(rest[0] * rest[0] + rest[1] * rest[1]), np.sqrt(squared)
+            nearer = d < best
+            best = np.where(nearer, d, best)
+            lam = np.where(nearer, done + t * length, lam)
+            done = done + length
+    return best, lam
+
+
 def project_to_polyline(points: DataFrame, path: DataFrame, keys: list[str], ids: list[str], x: str, y: str, step: str) -> DataFrame:
     """Nearest place of each point on its group's polyline: distance, arc length, and whether
     the distance is at most the group's median.
 
-    A path is short (one vertex per dose); it is packed into an array per group and the
-    nearest segment found inside the row, so points are not multiplied by segments.
+    A path is short (one vertex per dose); it is packed into an array per group and goes with each
+    point to the task, so points are not multiplied by segments: all points of a batch meet one segment at a time.
     """
-    verts = path.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(step), F.col(x).alias("x"), F.col(y).alias("y")))).alias("_v"))
-    p = nsjoin(points.select(*keys, *ids, x, y), verts, keys).where(F.size("_v") > 1)
-    seg = F.transform(F.sequence(F.lit(0), F.size("_v") - 2), lambda i: F.struct(
-        F.get("_v", i)["x"].alias("ax"), F.get("_v", i)["y"].alias("ay"), F.get("_v", i + 1)["x"].alias("bx"), F.get("_v", i + 1)["y"].alias("by")))
-
-    def place(s):
-        dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
-        len2 = dx * dx + dy * dy
-        t = F.least(F.greatest(F.coalesce(F.try_divide((F.col(x) - s["ax"]) * dx + (F.col(y) - s["ay"]) * dy, len2), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-        ex, ey = F.col(x) - s["ax"] - t * dx, F.col(y) - s["ay"] - t * dy
-        return F.struct(F.sqrt(ex * ex + ey * ey).alias("d"), t.alias("t"), F.sqrt(len2).alias("len"))
-
-    p = p.withColumn("_s", F.transform(seg, place))
-    zero = F.struct(F.lit(0.0).alias("done"), F.lit(float("inf")).alias("d"), F.lit(0.0).alias("lam"))
-    best = F.aggregate("_s", zero, lambda acc, s: F.struct(
-        (acc["done"] + s["len"]).alias("done"),
-        F.when(s["d"] < acc["d"], s["d"]).otherwise(acc["d"]).alias("d"),
-        F.when(s["d"] < acc["d"], acc["done"] + s["t"] * s["len"]).otherwise(acc["lam"]).alias("lam")))
-    p = p.withColumn("_b", best).select(*keys, *ids, F.col("_b.d").alias("dist"), F.col("_b.lam").alias("lambda"))
+    packed = F.sort_array(F.collect_list(F.struct(F.col(step), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))))
+    nan = F.lit(float("nan"))
+    flat = F.flatten(F.transform(packed, lambda v: F.array(F.coalesce(v["x"], nan), F.coalesce(v["y"], nan))))
+    verts = cut_lineage(path.groupBy(*keys).agg(flat.alias("_v")).where(F.size("_v") > 2))
+    own = [F.coalesce(F.col(c).cast("double"), nan).alias(n) for c, n in ((x, "_x"), (y, "_y"))]
+    p = nsjoin(points.select(*keys, *ids, *own), verts, keys)
+    kept = [*keys, *ids]
+    schema = ", ".join([*(f"`{c}` {p.schema[c].dataType.simpleString()}" for c in kept), "dist double", "lambda double"])
+
+    def place(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.column_stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("_x", "_y")])
+            v = batch.column(batch.schema.get_field_index("_v"))
+            sizes, numbers = v.value_lengths().to_numpy(), v.flatten().to_numpy()
+            start = np.cumsum(sizes) - sizes
+            dist, lam = np.empty(len(at)), np.empty(len(at))
+            for size in np.unique(sizes):
+                own = np.flatnonzero(sizes == size)
+                for rows in np.array_split(own, -(-len(own) * int(size) // POLYLINE_NUMBERS)):
+                    corners = numbers[start[rows][None, :] + np.arange(size)[:, None]].reshape(-1, 2, len(rows))
+                    dist[rows], lam[rows] = nearest_place(at[rows].T, corners)
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(dist), pa.array(lam, mask=np.isnan(lam))], names=[*kept, "dist", "lambda"])
+
+    p = p.mapInArrow(place, schema)
     p = cut_lineage(p)  # read three times below
     med = group_median(p, keys, "dist", "_med")
     return nsjoin(p, med, keys).withColumn("on_path", F.col("dist") <= F.col("_med")).drop("_med")

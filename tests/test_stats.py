@@ -196,6 +196,29 @@ def test_polyline(spark):
     assert got.on_path[[1, 2, 3]].tolist() == [True, True, False]
 
 
+def test_polyline_of_many_groups(spark, monkeypatch):
+    """Paths of unlike length, in slices, against the plain search; a point was a chain of interpreted array functions before."""
+    monkeypatch.setattr(T, "POLYLINE_NUMBERS", 50)
+    rng = np.random.default_rng(2)
+    paths = {k: rng.normal(size=(m, 2)) for k, m in enumerate([1, 2, 5, 9])}
+    paths[2][3] = paths[2][2]  # a segment without length
+    path = spark.createDataFrame([(k, i, *map(float, v)) for k, p in paths.items() for i, v in enumerate(p)], "k int, s int, x double, y double")
+    at = rng.normal(size=(200, 2)) * 2
+    rows = [(i % 4, i, float(x), float(y)) for i, (x, y) in enumerate(at)] + [(1, 900, None, 0.0), (1, 901, float("nan"), 0.0)]
+    out = T.project_to_polyline(spark.createDataFrame(rows, "k int, id int, x double, y double"), path, ["k"], ["id"], "x", "y", "s")
+    got = {r.id: r for r in out.collect()}
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString() and len(got) == 152
+    for i, p in enumerate(at):
+        if i % 4:
+            a, d = paths[i % 4][:-1], np.diff(paths[i % 4], axis=0)
+            length = np.sqrt((d * d).sum(1))
+            t = np.clip(np.where(length > 0, ((p - a) * d).sum(1) / np.maximum(length, 1e-300) ** 2, 0), 0, 1)
+            far = np.sqrt(((p - a - t[:, None] * d) ** 2).sum(1))
+            j = far.argmin()
+            np.testing.assert_allclose([got[i].dist, got[i]["lambda"]], [far[j], length[:j].sum() + t[j] * length[j]], atol=1e-12)
+    assert got[900].dist == got[901].dist == math.inf and got[900]["lambda"] == 0
+
+
 def test_greedy_decorrelate():
     c = pd.DataFrame([(1, 1, 1.0), (1, 2, 0.9), (1, 3, 0.1), (2, 2, 1.0), (2, 3, 0.2), (3, 3, 1.0)], columns=["i", "j", "corr"])
     assert [f for f, _ in T.greedy_decorrelate(c, ["a", "b", "c"], ["a"], 0.85)] == ["a", "c"]
