@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.expr import MAD_TO_SD, attach, nsjoin, ratio
+from platewise.operators import radix
 from platewise.operators.order import group_median, group_median_mad, row_order, value_order
 from platewise.operators.radix import array_statistics, named_statistics
 from platewise.session import cut_lineage
@@ -143,14 +144,109 @@ def boxcox_lambda(df: DataFrame, keys: list[str], value: str, max_lambda: float
     return box.select(*keys, F.col("best").alias("lam"), "abs_skew")
 
 
+def _boxcox_root(v: np.ndarray, max_lambda: float, trim: float = 0.05, tolerance: float = 1e-8) -> float:
+    """λ of ``boxcox_lambda`` for the values of one group, NaN where they are constant."""
+    v = np.sort(v[~np.isnan(v)])
+    cut = int(np.floor(trim * len(v)))
+    v, w = np.unique(v[cut:len(v) - cut], return_counts=True)
+    if len(v) < 2:
+        return np.nan
+    x, w = (v - v[0]) / (v[-1] - v[0]) + 1e-6, w / w.sum()
+
+    def skews(lam: np.ndarray) -> np.ndarray:
+        power = np.where(np.abs(lam) < 1e-12, 1.0, lam)[:, None]
+        t = np.where(np.abs(lam)[:, None] < 1e-12, np.log(x)[None, :], (x[None, :] ** power - 1) / power)
+        t -= (t @ w)[:, None]
+        return ((t * t * t) @ w) / ((t * t) @ w) ** 1.5
+
+    lo, hi = (0.0, 1.0) if skews(np.ones(1))[0] > 0 else (1.0, float(max_lambda))
+    width, best = max(1.0, float(max_lambda) - 1.0), 0.0
+    while width > tolerance:
+        width /= 32
+        lam = lo + (hi - lo) * np.arange(33) / 32
+        skew = skews(lam)
+        lam, skew = lam[~np.isnan(skew)], skew[~np.isnan(skew)]
+        if not len(lam):
+            break
+        best = lam[np.abs(skew).argmin()]
+        lo, hi = lam[skew <= 0].max(initial=lam.min()), lam[skew >= 0].min(initial=lam.max())
+    return float(best)
+
+
 def boxcox_transform(df: DataFrame, plate: str, control: Column, ids: list[str], features: list[str], max_lambda: float = 5.0) -> DataFrame:
     """Box–Cox per plate and feature with λ from the controls; keeps each plate's median and MAD.
 
-    Long result (ids, plate, feature, value, lam); constant control features pass through.
+    Long result (ids, plate, feature, value, lam); constant control features pass through. The rows are written once
+    and dealt by plate once, wide; plates that fit a task are finished there. Larger ones go by long form.
     """
+    wide = cut_lineage(df.select(*ids, plate, F.coalesce(control, F.lit(False)).alias("_control"), *[F.col(f).cast("double").alias(f) for f in features]))
+    large = cut_lineage(wide.groupBy(plate).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * len(features) > radix.TASK_VALUES).select(plate))
+    if large.isEmpty():
+        return _boxcox_in_task(wide, plate, ids, features, max_lambda)
+    rest = _boxcox_in_task(radix.without(wide, large, [plate]), plate, ids, features, max_lambda)
+    return rest.unionByName(_boxcox_long(cut_lineage(nsjoin(wide, large, [plate])), plate, ids, features, max_lambda))
+
+
+def _boxcox_in_task(wide: DataFrame, plate: str, ids: list[str], features: list[str], max_lambda: float) -> DataFrame:
+    """``boxcox_transform`` for plates that fit a task; the rows of a plate follow each other in a partition."""
+    kept = [*ids, plate]
+    schema = f"{radix.key_schema(wide, kept)}, feature string, value double, lam double"
+
+    def result(table: pa.Table):
+        code, first = radix.group_codes([table[plate]])
+        groups, control = len(first), table["_control"].to_numpy()
+        x = np.column_stack([table[f].to_numpy().astype(float) for f in features])
+        null = np.column_stack([table[f].is_null().to_numpy() for f in features])
+        starts = np.sort(first)
+        lam = np.full((groups, len(features)), np.nan)
+        for a, b in zip(starts, np.append(starts[1:], len(x)), strict=True):
+            own = x[a:b][control[a:b]]
+            lam[code[a]] = [_boxcox_root(own[:, j], max_lambda) for j in range(len(features))]
+        # NaN is the largest number
+        numbers = np.where(np.isnan(x), np.where(null, -np.inf, np.nan), x)
+        low, high = np.empty_like(lam), np.empty_like(lam)
+        low[code[starts]] = np.fmin.reduceat(np.where(np.isnan(x), np.inf, x), starts, axis=0)
+        high[code[starts]] = np.maximum.reduceat(numbers, starts, axis=0)
+        own_lam = lam[code]
+        power = np.where(np.abs(own_lam) < 1e-12, 1.0, own_lam)
+        y = np.where((high == low)[code], np.nan, (x - low[code]) / (high - low)[code]) + 2e-6
+        t = np.where(np.abs(own_lam) < 1e-12, np.log(y), (y ** power - 1) / power)
+        before, after = (radix.whole_groups(v, code, groups, [0.5], True)[1] for v in (x, t))
+        centre, spread, own_spread = before[:, :, 0], before[:, :, 1], after[:, :, 1]
+        moved = (t - after[code][:, :, 0]) * (spread / np.where(own_spread == 0, np.nan, own_spread))[code] + centre[code]
+        same = np.isnan(own_lam)
+        value = np.where(same, x, moved)
+        # no number where the plate is constant or has no spread left
+        none = null | ~same & ((high == low) | np.isnan(own_spread) | (own_spread == 0) | np.isnan(spread))[code]
+        who = table.select(kept).combine_chunks()
+        for j, f in enumerate(features):
+            columns = [*who.columns, pa.array([f]).take(pa.array(np.zeros(len(x), np.int32))), pa.array(value[:, j], mask=none[:, j]), pa.array(own_lam[:, j], mask=same[:, j])]
+            yield from pa.Table.from_arrays(columns, names=[*kept, "feature", "value", "lam"]).to_batches(max_chunksize=10_000)
+
+    def run(batches):
+        rest: pa.Table | None = None
+        with np.errstate(all="ignore"):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                table = pa.Table.from_batches([batch])
+                table = pa.concat_tables([rest, table]) if rest is not None else table
+                code, _ = radix.group_codes([table[plate]])
+                cut = int(np.flatnonzero(code != code[-1])[-1]) + 1 if (code != code[-1]).any() else 0
+                if cut:
+                    yield from result(table.slice(0, cut))
+                rest = table.slice(cut)
+            if rest is not None:
+                yield from result(rest)
+
+    return wide.repartition(F.col(plate)).sortWithinPartitions(plate).mapInArrow(run, schema)
+
+
+def _boxcox_long(df: DataFrame, plate: str, ids: list[str], features: list[str], max_lambda: float) -> DataFrame:
+    """``boxcox_transform`` for plates of any size, with controls marked by ``_control``."""
     keys = [plate, "feature"]
     rows = _long(df, [*ids, plate], features)
-    lam = boxcox_lambda(_long(df.where(control), [plate], features), keys, "value", max_lambda)
+    lam = boxcox_lambda(_long(df.where("_control"), [plate], features), keys, "value", max_lambda)
     stats = group_median_mad(rows, keys, "value", "_med", "_mad")
     span = rows.groupBy(*keys).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     model = nsjoin(nsjoin(stats, span, keys), lam.select(*keys, "lam"), keys, "left")

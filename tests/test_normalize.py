@@ -87,6 +87,25 @@ def test_boxcox_keeps_median_and_mad(plates):
         assert np.isclose(sub.value.median(), r.median()) and np.isclose(mad(sub.value), mad(r))
 
 
+def test_boxcox_of_a_plate_in_a_task_is_that_of_the_long_form(spark, plates, monkeypatch):
+    """Plates that fit a task pass one shuffle; every row went by long form through a search of joins before."""
+    odd = [("c1", "L1", 20, True, 2.0, 2.0), ("c2", "L1", 20, True, 2.0, 3.0), ("c3", "L1", 20, False, 5.0, None), ("c4", "L1", 20, False, 6.0, 4.0),
+           ("k1", "L1", 21, True, 1.0, 1.0), ("k2", "L1", 21, True, 2.0, float("nan")), ("k3", "L1", 21, True, 4.0, 7.0), ("k4", "L1", None, True, 1.0, 1.0), ("k5", "L1", None, False, 3.0, 3.0)]
+    df = plates.unionByName(spark.createDataFrame(odd, plates.schema))
+    run = lambda: {(r.uuid, r.feature): (r.value, r.lam) for r in N.boxcox_transform(df, "plate", F.col("ctrl"), ["uuid"], ["x", "g"]).collect()}
+    slow = N.boxcox_lambda
+    monkeypatch.setattr(N, "boxcox_lambda", None)
+    fast = run()
+    monkeypatch.setattr(N, "boxcox_lambda", slow)
+    monkeypatch.setattr(N.radix, "TASK_VALUES", 5)  # all but the smallest plate by long form
+    assert len(fast) == 2 * df.count()
+    others = run()
+    assert fast.keys() == others.keys()
+    for k, (value, lam) in others.items():
+        for a, b in ((value, fast[k][0]), (lam, fast[k][1])):
+            assert (a is None) == (b is None) and (a is None or np.isclose(a, b, rtol=1e-6, atol=1e-6, equal_nan=True)), (k, others[k], fast[k])
+
+
 def test_surface_is_recovered(spark):
     rows = []
     for r in range(1, 17):
