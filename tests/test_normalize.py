@@ -89,8 +89,8 @@ def test_boxcox_keeps_median_and_mad(plates):
 
 def test_boxcox_of_a_plate_in_a_task_is_that_of_the_long_form(spark, plates, monkeypatch):
     """Plates that fit a task pass one shuffle; every row went by long form through a search of joins before."""
-    odd = [("c1", "L1", 20, True, 2.0, 2.0), ("c2", "L1", 20, True, 2.0, 3.0), ("c3", "L1", 20, False, 5.0, None), ("c4", "L1", 20, False, 6.0, 4.0),
-           ("k1", "L1", 21, True, 1.0, 1.0), ("k2", "L1", 21, True, 2.0, float("nan")), ("k3", "L1", 21, True, 4.0, 7.0), ("k4", "L1", None, True, 1.0, 1.0), ("k5", "L1", None, False, 3.0, 3.0)]
+    odd = [("c1", "L1", 20, True, 2.0, 2.0), ("c2", "L1", 20, True, 2.0, 3.0), ("c3", "L1", 20, False, 5.0, None), ("c4", "L1", 20, True, 2.0, 7.0),
+           ("k0", "L1", 21, True, 1.5, 2.0), ("k1", "L1", 21, True, 1.0, 1.0), ("k2", "L1", 21, True, 2.0, float("nan")), ("k3", "L1", 21, True, 4.0, 7.0), ("k4", "L1", None, True, 1.0, 1.0), ("k5", "L1", None, False, 3.0, 3.0)]
     df = plates.unionByName(spark.createDataFrame(odd, plates.schema))
     run = lambda: {(r.uuid, r.feature): (r.value, r.lam) for r in N.boxcox_transform(df, "plate", F.col("ctrl"), ["uuid"], ["x", "g"]).collect()}
     slow = N.boxcox_lambda
