@@ -58,3 +58,12 @@ def test_no_nested_loops(spark, name):
 @needs_data
 def test_group_aggregate_replaces_the_window(spark):
     assert "Window" not in plan(entry.queries()["share_of_total"](spark, SF))
+
+
+@needs_data
+def test_well_summaries_are_per_well_and_concentration(spark):
+    keys = ["line", "plate", "rep", "well", "drug", "conc"]
+    got = entry.queries()["well_mean_summaries"](spark, SF).toPandas()
+    rows = duck(SF).execute("SELECT count(DISTINCT (l_suppkey, l_partkey % 384, l_linestatus, l_discount, p_brand)) FROM lineitem JOIN part ON l_partkey = p_partkey").fetchone()[0]
+    assert set(keys) <= set(got.columns) and len(got) == rows and not got.duplicated(keys).any()
+    assert compare(got, duck(SF).execute(entry.oracle_sql()["well_mean_summaries"]).df()).startswith("ok")
