@@ -169,3 +169,37 @@ def test_factor_roundtrip(spark):
     out = L.factor_reconstruct(L.factor_project(df, "v", w), ["factor1", "factor2"], w).orderBy("id").collect()
     np.testing.assert_allclose([[r.factor1, r.factor2] for r in out], z)
     np.testing.assert_allclose([r.reconstructed for r in out], [r.v for r in out])
+
+
+def test_control_splits_use_every_control(spark, screen, blocks):
+    """Each split deals all controls of its line: half of them play the cases, and every row searches or is classified."""
+    df, _ = screen
+    parts = L.classifier_parts(df.where("ctrl"), ["line"], None, F.lit(True), ["id"], ["x", "y"], 2, 3, "null")
+    names = parts.names.withColumn("split", F.explode(F.sequence(F.lit(1), F.lit(3)))).withColumn("c", F.lit(0.5))
+    rows = parts.rows.collect()
+    sides = {main: W.with_limits(parts, W.split_packs(names, main, parts.width, [(None, f) for f in range(3)])).collect() for main in (False, True)}
+    used = {g: set() for g in {r.g for r in rows}}
+    for one, two in zip(*[sorted(s, key=lambda p: (p.g, p.split)) for s in sides.values()], strict=True):
+        mine = [r for r in rows if r.g == one.g]
+        r = np.array([x.r for x in mine])
+        assert one.limits == two.limits and (W.mixed(r, np.array([one.split]))[:, 0].astype(np.int64) <= one.limits[0]).sum() == len(r) // 2
+        halves = [W.fold_of({"r": r}, {"split": p.split, "main": p.main, "folds": np.array(p.folds)})[0]["r"] for p in (one, two)]
+        assert sorted(np.concatenate(halves)) == sorted(r) and min(map(len, halves)) > 0
+        used[one.g] |= set(halves[1])
+    assert all(len(used[g]) > 0.7 * sum(r.g == g for r in rows) for g in used)
+
+
+def test_areas_of_many_blocks_equal_those_of_one(spark, screen, monkeypatch):
+    df, _ = screen
+    tied = df.withColumn("x", F.round("x", 1))
+    out = []
+    for rows in (10_000, 60):
+        monkeypatch.setattr(W, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(W, "CASE_NUMBERS", 40 if rows == 60 else 500_000)
+        out.append([L.drug_vs_control_classifier(tied, ["line"], "drug", F.col("ctrl"), ["id"], ["x", "y"], c_grid=[0.1, 1.0], param_folds=2, folds=3).toPandas(),
+                    L.control_split_null(tied, "line", F.col("ctrl"), ["id"], ["x", "y"], splits=2, c_grid=[0.1, 1.0], folds=3).toPandas()])
+    for a, b in zip(*out, strict=True):
+        keys = list(a.columns[:2])
+        a, b = (t.sort_values(keys).reset_index(drop=True) for t in (a, b))
+        assert len(a) == 4 and (a[keys] == b[keys]).all().all()
+        np.testing.assert_allclose(a.drop(columns=keys).to_numpy(float), b.drop(columns=keys).to_numpy(float), atol=1e-5)
