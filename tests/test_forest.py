@@ -166,3 +166,13 @@ def test_small_groups_grow_in_one_pass_like_blocks(spark, monkeypatch):
     assert len(whole) == 2 and whole.keys() == split.keys()
     for key, r in whole.items():
         assert (r.feat, r.bin, r.value, r.weight) == (split[key].feat, split[key].bin, split[key].value, split[key].weight)
+
+
+def test_nodes_and_whole_arrays_score_alike_and_nodes_are_few(spark, blocks):
+    df = table(spark, 300, 2)
+    args = df, ["plate"], ["id"], ["a", "b", "c"], F.col("y"), all_features(df, ["plate"], ["a", "b", "c"])
+    nodes, whole = T.grow_nodes(*args, trees=5), T.grow_forests(*args, trees=5)
+    scores = [{r.id: r.prob for r in T.score_forests(df, f, ["plate"], ["id"], ["a", "b", "c"]).collect()} for f in (nodes, whole)]
+    assert scores[0] == scores[1] and len(scores[0]) == 300
+    sizes = lambda f, c: sum(len(r[c]) for r in f.collect())
+    assert sizes(nodes, "split") == sizes(nodes, "value") < sizes(whole, "feat") / 5
