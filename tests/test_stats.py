@@ -240,3 +240,16 @@ def test_interval_bins_follow_the_intervals(spark):
     assert "/ 10)" in out._jdf.queryExecution().optimizedPlan().toString().replace(".0", "")
     assert out.count() == 500 * 9
     assert J.join_interval_points(pt, iv.withColumn("b", F.col("a") - 5), "c", "p", "a", "b").count() == 0
+
+
+def test_pairs_of_floats_travel_as_floats_and_are_exact(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(90, 5)).astype(np.float32)
+    df = spark.createDataFrame([("k", i, [float(v) for v in r]) for i, r in enumerate(x)], "k string, id int, v array<float>")
+    pairs = P.block_pairs(df, ["k"], "id", "v", "euclid", block=40)
+    shuffled = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "cast(v" not in shuffled and P.BLOCK > 512
+    got = pairs.toPandas()
+    assert len(got) == 90 * 89 // 2
+    d = x.astype(float)
+    np.testing.assert_array_equal(got.value, np.sqrt(((d[got.a] - d[got.b]) ** 2).sum(axis=1)))
